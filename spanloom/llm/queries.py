@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import lines
+from spanloom.llm import lines, spans
 from spanloom.sources.tables import key_of, load
 
 
@@ -18,6 +18,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_runs(spark, folder).select("profile", "first_id", "last_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.pairs(load(spark, folder, "documents"))
+
+
+def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every document with a shared span: how much of it stands elsewhere too."""
+    docs = load(spark, folder, "documents")
+    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("chars"))
+    return spans.shares(docs).join(sizes, "doc_id").withColumn("share", F.col("shared_chars") / F.col("chars"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLES: dict[str, str] = {}
