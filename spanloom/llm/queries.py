@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import lines, spans
+from spanloom.llm import lines, sentences, spans
 from spanloom.sources.tables import key_of, load
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_ends(load(spark, folder, "cues"), key_of("profile")).select(F.col("owner").alias("profile"), "cue_id", "end_pos").distinct()
+
+
 def p3_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Every run of one line: its first and last cue, count and duration."""
     return lines.runs(load(spark, folder, "cues"), key_of("profile")).withColumnRenamed("owner", "profile")
@@ -29,6 +33,6 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(docs).join(sizes, "doc_id").withColumn("share", F.col("shared_chars") / F.col("chars"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_runs": p3_runs, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLES: dict[str, str] = {}
