@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import lines, sentences, spans
+from spanloom.llm import lines, mixing, packing, sentences, spans, tokens
 from spanloom.sources.tables import key_of, load
 
 
@@ -22,6 +22,24 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_runs(spark, folder).select("profile", "first_id", "last_id")
 
 
+def p7_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """A container of every box for every document, sizes in tokens."""
+    return packing.pack(tokens.sized(load(spark, folder, "documents")), load(spark, folder, "capacities"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p7_boxes(spark, folder))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents of each plan with their repeats."""
+    return mixing.mix(tokens.sized(load(spark, folder, "documents")), load(spark, folder, "mix_plan"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(*mixing.mix(tokens.sized(load(spark, folder, "documents")), load(spark, folder, "mix_plan")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.pairs(load(spark, folder, "documents"))
 
@@ -33,6 +51,6 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(docs).join(sizes, "doc_id").withColumn("share", F.col("shared_chars") / F.col("chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_runs": p3_runs, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_runs": p3_runs, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLES: dict[str, str] = {}
