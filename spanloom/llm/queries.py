@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import lines, mixing, packing, sentences, spans, tokens
+from spanloom.llm import language, lines, mixing, packing, sentences, spans, tokens
 from spanloom.sources.tables import key_of, load
 
 
@@ -22,6 +22,36 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_runs(spark, folder).select("profile", "first_id", "last_id")
 
 
+def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, foreign cues and sessions with their languages: (doc_id, label, ...), (id, ...), (session_id, label, ...)."""
+    docs = load(spark, folder, "documents")
+    net = language.fitted(docs)
+    cues = language.classified_cues(load(spark, folder, "cues"), key_of("profile"), net)
+    owners = language.of_owners(cues)
+    texts = language.languages(docs.withColumnRenamed("lang", "label"), net, ["doc_id", "label"])
+    sessions = load(spark, folder, "sessions").select("session_id", key_of("profile").alias("owner"), F.col("language.code").alias("label")).join(owners, "owner")
+    return texts, language.foreign(cues, owners), sessions.select("session_id", "label", F.col("main").alias("lang"), F.col("share").alias("confidence"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts, cues, sessions = _languages(spark, folder)
+    rows = [
+        sessions.where(language.mislabelled(sessions, F.col("label"))).select(F.lit("sessions").alias("tbl"), F.col("session_id").alias("row_key"), "lang"),
+        texts.where(language.mislabelled(texts, F.col("label"))).select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("row_key"), "lang"),
+        cues.select(F.lit("cues").alias("tbl"), F.col("id").alias("row_key"), "lang"),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).where("row_key is not null").distinct()
+
+
+def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each session, document and foreign cue, with a confidence."""
+    texts, cues, sessions = _languages(spark, folder)
+    x = sessions.select(F.lit("sessions").alias("tbl"), F.col("session_id").alias("row_key"), "lang", F.col("confidence").cast("double").alias("confidence"))
+    x = x.unionByName(texts.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("row_key"), "lang", F.col("confidence").cast("double").alias("confidence")))
+    x = x.unionByName(cues.select(F.lit("cues").alias("tbl"), F.col("id").alias("row_key"), "lang", F.col("confidence").cast("double").alias("confidence")))
+    return x.groupBy("tbl", "row_key").agg(F.max_by("lang", F.struct("confidence", "lang")).alias("lang"), F.max("confidence").alias("confidence"))
+
+
 def p7_boxes(spark: SparkSession, folder: str) -> DataFrame:
     """A container of every box for every document, sizes in tokens."""
     return packing.pack(tokens.sized(load(spark, folder, "documents")), load(spark, folder, "capacities"))
@@ -51,6 +81,6 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(docs).join(sizes, "doc_id").withColumn("share", F.col("shared_chars") / F.col("chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_runs": p3_runs, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLES: dict[str, str] = {}
