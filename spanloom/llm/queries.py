@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import language, lines, mixing, packing, sentences, spans, tokens
+from spanloom.llm import language, lines, mixing, names, packing, sentences, spans, tokens
 from spanloom.sources.tables import key_of, load
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return sentences.sentence_ends(load(spark, folder, "cues"), key_of("profile")).select(F.col("owner").alias("profile"), "cue_id", "end_pos").distinct()
+    return sentences.sentence_ends(load(spark, folder, "cues"), key_of("profile")).select(F.col("owner").alias("profile"), "cue_id", "end_pos")
 
 
 def p3_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,6 +52,16 @@ def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
     return x.groupBy("tbl", "row_key").agg(F.max_by("lang", F.struct("confidence", "lang")).alias("lang"), F.max("confidence").alias("confidence"))
 
 
+def p5_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Every glossary row with the number of the one it names."""
+    glossary, contexts, nick = (load(spark, folder, t) for t in ("glossary", "contexts", "nicknames"))
+    return names.same_names(glossary, key_of("media"), contexts, key_of("media"), nick)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.pairs_of(p5_names(spark, folder))
+
+
 def p7_boxes(spark: SparkSession, folder: str) -> DataFrame:
     """A container of every box for every document, sizes in tokens."""
     return packing.pack(tokens.sized(load(spark, folder, "documents")), load(spark, folder, "capacities"))
@@ -81,6 +91,6 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(docs).join(sizes, "doc_id").withColumn("share", F.col("shared_chars") / F.col("chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLES: dict[str, str] = {}
