@@ -54,45 +54,47 @@ def _words(words: list[str] | tuple[str, ...]) -> str:
     return "|".join(w.replace(".", f"[.{_DOT}]") for w in sorted(words, key=len, reverse=True))
 
 
-_NOT_IN_WORD = "(?<![\\p{L}\\p{N}])"
+_ALONE = "(?<![\\p{L}\\p{N}])"
+_ON = f"{_WS}*[\\p{{Ll}}\\p{{N}}{_CJK}]"
 
-#: (pattern, what it becomes), applied in order; each replacement is as long as its match
-MASKS: list[tuple[str, str]] = [
+#: (what a text must hold for the rule to be tried, pattern, what it becomes), in order. Each replacement is as long as
+#: its match, and each pattern begins with the mark itself, so that a scan stops only at marks.
+MASKS: list[tuple[str, str, str]] = [
     # decimals, times, versions, grouped numbers
-    ("(?<=\\p{N})[.．](?=\\p{N})", _DOT),
+    (".", "[.．](?=\\p{N})(?<=\\p{N}.)", _DOT),
     # addresses; then file names and dotted abbreviations: a letter or digit straight before, a small letter after
-    (f"(?<=://[^\\s{_SEP}]{{1,200}})[.?!](?=[^\\s{_SEP}])", _DOT),
-    ("(?<=[\\p{L}\\p{N}&&[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}]])\\.(?=\\p{Ll}|[ºª°])", _DOT),
+    ("://", f"[.?!](?=[^\\s{_SEP}])(?<=://[^\\s{_SEP}]{{1,200}}.)", _DOT),
+    (".", "\\.(?=\\p{Ll}|[ºª°])(?<=[\\p{L}\\p{N}&&[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}]]\\.)", _DOT),
     # a single letter: an initial or part of an abbreviation; 'a.m.' and the like end a sentence before a capital
-    (f"(?<=[.{_DOT}]{_WS}?[dmдп])\\.(?={_WS}+[\\p{{Ll}}\\p{{N}},;])", _DOT),
-    (f"{_NOT_IN_WORD}(?<!т[.{_DOT}]{_WS}{{0,2}}|[ap][{_DOT}])(\\p{{Lu}})\\.(?={_WS}*[\\p{{L}}\\p{{N}}-])", f"$1{_DOT}"),
-    (f"{_NOT_IN_WORD}(?<![ap][{_DOT}])(\\p{{Ll}})\\.(?={_WS}*\\p{{Ll}})", f"$1{_DOT}"),
-    (f"{_NOT_IN_WORD}(?<![ap][{_DOT}])(\\p{{Ll}})\\.(?={_WS}*\\p{{Lu}}[.{_DOT}])", f"$1{_DOT}"),
-    (f"{_NOT_IN_WORD}([zZ])\\.(?={_WS}*B)", f"$1{_DOT}"),
-    (f"(?i)(?<=\\bp[.{_DOT}]{_WS}{{0,2}})(ex|ej|es)\\.(?={_WS}*[\\p{{L}}\\p{{N}}])", f"$1{_DOT}"),
+    (".", f"\\.(?={_WS}+[\\p{{Ll}}\\p{{N}},;])(?<=[.{_DOT}]{_WS}?[dmдп]\\.)", _DOT),
+    (".", f"\\.(?={_WS}*[\\p{{L}}\\p{{N}}-])(?<={_ALONE}\\p{{Lu}}\\.)(?<!т[.{_DOT}]{_WS}{{0,2}}.\\.|[ap]{_DOT}.\\.)", _DOT),
+    (".", f"\\.(?={_WS}*(?:\\p{{Ll}}|\\p{{Lu}}[.{_DOT}]))(?<={_ALONE}\\p{{Ll}}\\.)(?<![ap]{_DOT}.\\.)", _DOT),
+    (".", f"\\.(?={_WS}*B)(?<={_ALONE}[zZ]\\.)", _DOT),
+    (".", f"(?i)\\.(?={_WS}*[\\p{{L}}\\p{{N}}])(?<={_ALONE}p[.{_DOT}]{_WS}{{0,2}}(?:ex|ej|es)\\.)", _DOT),
     # abbreviations
-    (f"(?iu){_NOT_IN_WORD}({_words(BEFORE_NAME)})\\.(?={_WS}*[\\p{{L}}\\p{{N}}“«„\"])", f"$1{_DOT}"),
-    (f"(?iu){_NOT_IN_WORD}({_words(BEFORE_NUMBER)})\\.(?={_WS}*\\p{{N}})", f"$1{_DOT}"),
-    (f"(?iu){_NOT_IN_WORD}({_words(MAY_END)})\\.(?={_WS}*(?-i:[\\p{{Ll}}\\p{{N}},;:]))", f"$1{_DOT}"),
+    (".", f"(?iu)\\.(?={_WS}*[\\p{{L}}\\p{{N}}“«„\"])(?<={_ALONE}(?:{_words(BEFORE_NAME)})\\.)", _DOT),
+    (".", f"(?iu)\\.(?={_WS}*\\p{{N}})(?<={_ALONE}(?:{_words(BEFORE_NUMBER)})\\.)", _DOT),
+    (".", f"(?iu)\\.(?={_WS}*(?-i:[\\p{{Ll}}\\p{{N}},;:]))(?<={_ALONE}(?:{_words(MAY_END)})\\.)", _DOT),
     # German ordinals
-    (f"(?<=\\b(?:{'|'.join(BEFORE_ORDINAL_DE)}){_WS})(\\p{{N}}{{1,4}})\\.(?={_WS}+\\p{{L}})", f"$1{_DOT}"),
-    (f"(?<=\\p{{N}})\\.(?={_WS}+(?:{'|'.join(MONTHS_DE)})\\b)", _DOT),
+    (".", f"\\.(?={_WS}+\\p{{L}})(?<=\\p{{N}}\\.)(?<={_ALONE}(?:{'|'.join(BEFORE_ORDINAL_DE)}){_WS}\\p{{N}}{{1,4}}\\.)", _DOT),
+    (".", f"\\.(?={_WS}+(?:{'|'.join(MONTHS_DE)})\\b)(?<=\\p{{N}}\\.)", _DOT),
     # broken off: a word begun again, or going on with a small letter, a number or a script without capitals
-    (f"(?<=[.…])[.…](?={_WS}*[\\p{{Ll}}\\p{{N}}{_CJK}])|(?:(?<![.…])\\.(?=[.…]+{_WS}*[\\p{{Ll}}\\p{{N}}{_CJK}]))|…(?=…*{_WS}*[\\p{{Ll}}\\p{{N}}{_CJK}])", _MORE),
-    (f"(?iu)\\b(\\p{{L}}{{1,20}})\\.\\.\\.(?={_WS}+\\1\\b)", f"$1{_MORE * 3}"),
-    (f"(?iu)\\b(\\p{{L}}{{1,20}})…(?={_WS}+\\1\\b)", f"$1{_MORE}"),
-    (f"(?<=\\p{{Lu}}{{2}})[.…](?=[.…]+{_WS}+\\p{{Lu}}{{2}})|(?<=\\p{{Lu}}{{2}}[.…]{{1,3}})[.…](?=[.…]*{_WS}+\\p{{Lu}}{{2}})", _MORE),
+    ("..", f"\\.(?:(?<=\\.\\.)(?={_ON})|(?<!\\.\\.)(?=\\.+{_ON}))", _MORE),
+    ("…", f"…(?=…*{_ON})", _MORE),
+    ("...", f"(?iu)\\b(\\p{{L}}{{1,20}}+)\\.\\.\\.(?={_WS}+\\1\\b)", f"$1{_MORE * 3}"),
+    ("…", f"(?iu)\\b(\\p{{L}}{{1,20}}+)…(?={_WS}+\\1\\b)", f"$1{_MORE}"),
+    ("..", f"[.](?=\\.*{_WS}+\\p{{Lu}}{{2}})(?<=\\p{{Lu}}{{2}}\\.{{1,3}})(?=\\.|(?<=\\.\\.))", _MORE),
     # a name with a mark of its own, inside a sentence
-    (f"(?<=[\\p{{L}}\\p{{N}}]{_WS})(\\p{{Lu}}[\\p{{L}}\\p{{N}}]*)!(?={_WS}+\\p{{Ll}})", f"$1{_BANG}"),
+    ("!", f"!(?={_WS}+\\p{{Ll}})(?<=[\\p{{L}}\\p{{N}}]{_WS}\\p{{Lu}}[\\p{{L}}\\p{{N}}]{{0,30}}!)", _BANG),
     # after the closing quote, or after a dash, the sentence goes on
-    (f"[{_T}](?=[{_T}]*{_CLOSERS}+{_WS}*(?:[,;，、]|[–—]{_WS}*\\p{{Ll}}))", _ASK),
-    (f"[{_T}](?=[{_T}]*{_CLOSERS}+{_WS}*\\p{{Ll}})(?<![:：]{_WS}{{0,3}}[{_OPEN}][^{_OPEN}{_CLOSE}]{{0,250}})", _ASK),
-    (f"[{_T}](?=[{_T}]*{_WS}*[–—]{_WS}*\\p{{Ll}})", _BANG),
-    (f"[{_T}](?=[{_T}]*[」』”\"’｣]+{_WS}?(?:{'|'.join(QUOTATIVES)}))", _ASK),
+    ("", f"[{_T}](?=[{_T}]*{_CLOSERS}+{_WS}*(?:[,;，、]|[–—]{_WS}*\\p{{Ll}}))", _ASK),
+    ("", f"[{_T}](?=[{_T}]*{_CLOSERS}+{_WS}*\\p{{Ll}})(?<![:：]{_WS}{{0,3}}[{_OPEN}][^{_OPEN}{_CLOSE}]{{0,250}})", _ASK),
+    ("", f"[{_T}](?=[{_T}]*{_WS}*[–—]{_WS}*\\p{{Ll}})", _BANG),
+    ("", f"[{_T}](?=[{_T}]*[」』”\"’｣]+{_WS}?(?:{'|'.join(QUOTATIVES)}))", _ASK),
     # a quoted part at the start of a sentence, with the speaker after it
-    (f"((?:^|(?<=[{_T}{_CLOSE}\"][\\s\\u00a0{_SEP}]{{0,3}})|(?<=[-–—－]\\s{{0,2}}))[{_OPEN}][^{_OPEN}{_CLOSE}]{{1,250}}?)[{_T}](?=[”»」』\"“｣]{_WS}*(?:\\p{{Lu}}[\\p{{L}}’'-]*(?:{_WS}+\\p{{Lu}}[\\p{{L}}’'-]*)?{_WS}+\\p{{Ll}}|[{_CJK}]))", f"$1{_ASK}"),
+    ("", f"([{_OPEN}](?<=(?:^|[{_T}{_CLOSE}\"][\\s\\u00a0{_SEP}]{{0,3}}|[-–—－]\\s{{0,2}})[{_OPEN}])[^{_OPEN}{_CLOSE}]{{1,250}}?)[{_T}](?=[”»」』\"“｣]{_WS}*(?:\\p{{Lu}}[\\p{{L}}’'-]*(?:{_WS}+\\p{{Lu}}[\\p{{L}}’'-]*)?{_WS}+\\p{{Ll}}|[{_CJK}]))", f"$1{_ASK}"),
     # marks before that one in such a part
-    (f"[{_T}](?=[^{_OPEN}{_CLOSE}{_ASK}]{{0,300}}{_ASK}[{_T}{_ASK}]*(?:{_CLOSERS}|[{_CLOSE}\"]))(?<=[{_OPEN}][^{_OPEN}{_CLOSE}]{{0,250}})", _ASK),
+    (_ASK, f"[{_T}](?=[^{_OPEN}{_CLOSE}{_ASK}]{{0,300}}{_ASK}[{_T}{_ASK}]*(?:{_CLOSERS}|[{_CLOSE}\"]))(?<=[{_OPEN}][^{_OPEN}{_CLOSE}]{{0,250}})", _ASK),
 ]
 
 _MARK = f"[{_T}]++(?![{_MASKS}])(?:{_CLOSERS})*+(?:{_SEP}[{_CLOSE}]++(?=[{_SEP}\\s]|$))?"
@@ -100,10 +102,17 @@ _BRACKETED = "^[\\s\\u00a0\\u3000]*(?:[\\(（﹙][^\\(\\)（）﹙﹚]*[\\)）
 _WORD = "[\\p{L}\\p{N}]"
 
 
+def _where_held(needs: str, pattern: str, to: str):  # noqa: ANN202
+    return lambda t: F.when(F.contains(t, F.lit(needs)), F.regexp_replace(t, pattern, to)).otherwise(t)
+
+
 def masked(text: Column) -> Column:
     """The text, as long as before, without the marks that end no sentence."""
-    for pattern, to in MASKS:
-        text = F.regexp_replace(text, pattern, to)
+    for needs, pattern, to in MASKS:
+        if needs in ("", ".", "!"):
+            text = F.regexp_replace(text, pattern, to)
+        else:  # the lambda holds the text so far, which would otherwise stand in the expression twice
+            text = F.transform(F.array(text), _where_held(needs, pattern, to))[0]
     return text
 
 
@@ -137,15 +146,21 @@ def sentence_ends(df: DataFrame, owner: Column, pause_ms: int = PAUSE_MS, chunk_
     x = x.withColumn("twin", F.coalesce(twin, F.lit(False))).where("not twin")
     cut = F.col("alone") | F.lag("alone").over(w) | (F.col("start_ms") - F.lag("end_ms").over(w) >= pause_ms)
     x = x.withColumn("nth", F.row_number().over(w)).withColumn("cut", F.when(F.col("nth") == 1, 0).otherwise(F.coalesce(cut.cast("int"), F.lit(0)))).withColumn("block", F.sum("cut").over(w))
+    x = x.withColumn("cue", F.struct("start_ms", F.coalesce("end_ms", F.lit(-(1 << 62))).alias("end_ms"), "id", F.translate("text", _PRIVATE, "�" * len(_PRIVATE)).alias("text"), "alone"))
     # the first block of a chunk may go on from the chunk before: chunks are few, so one window per owner settles it
     ends = x.groupBy("owner", "chunk").agg(F.min_by(F.struct("start_ms", "alone"), "nth").alias("a"), F.max_by(F.struct("end_ms", "alone"), "nth").alias("z"), F.max("block").alias("blocks"))
     v = Window.partitionBy("owner").orderBy("chunk")
     fresh = F.coalesce(F.col("a.alone") | F.lag("z.alone").over(v) | (F.col("a.start_ms") - F.lag("z.end_ms").over(v) >= pause_ms), F.lag("chunk").over(v).isNull())
-    # the block that the chunk's last block belongs to: its own, if it began here
-    ends = ends.withColumn("fresh", fresh).withColumn("tail", F.when(F.col("fresh") | (F.col("blocks") > 0), F.struct("chunk", F.when(F.col("blocks") > 0, F.col("blocks")).otherwise(F.lit(0)).alias("block"))))
-    ends = ends.withColumn("root", F.when(F.col("fresh"), F.struct("chunk", F.lit(0).cast("long").alias("block"))).otherwise(F.last("tail", True).over(v.rowsBetween(Window.unboundedPreceding, -1))))
-    x = x.join(ends.select("owner", "chunk", "root"), ["owner", "chunk"]).withColumn("key", F.when(F.col("block") == 0, F.col("root")).otherwise(F.struct("chunk", "block")))
-    texts = x.groupBy("owner", "key").agg(F.array_sort(F.collect_list(F.struct("start_ms", F.coalesce("end_ms", F.lit(-(1 << 62))).alias("end_ms"), "id", F.translate("text", _PRIVATE, "�" * len(_PRIVATE)).alias("text"), "alone"))).alias("cues"))
+    ends = ends.withColumn("fresh", fresh).withColumn("closed", F.lead("fresh").over(v))
+    # where the chunk's last block began: here, unless the whole chunk is one block that goes on from before
+    ends = ends.withColumn("tail", F.when(F.col("fresh") | (F.col("blocks") > 0), F.struct("chunk", "blocks")))
+    ends = ends.withColumn("root", F.when(F.col("fresh"), F.struct("chunk", F.lit(0).cast("long").alias("blocks"))).otherwise(F.last("tail", True).over(v.rowsBetween(Window.unboundedPreceding, -1))))
+    # cues are already together by chunk; only blocks that cross a chunk's border are moved again
+    parts = x.groupBy("owner", "chunk", "block").agg(F.collect_list("cue").alias("cues")).join(ends.select("owner", "chunk", "fresh", "closed", "blocks", "root"), ["owner", "chunk"])
+    crosses = ((F.col("block") == 0) & ~F.col("fresh")) | ((F.col("block") == F.col("blocks")) & ~F.coalesce("closed", F.lit(True)))
+    key = F.when(F.col("block") == 0, F.col("root")).otherwise(F.struct("chunk", F.col("block").alias("blocks")))
+    crossing = parts.where(crosses).withColumn("key", key).groupBy("owner", "key").agg(F.flatten(F.collect_list("cues")).alias("cues"))
+    texts = parts.where(~crosses).select("owner", "cues").unionByName(crossing.select("owner", "cues")).withColumn("cues", F.array_sort("cues"))
     whole = F.array_join(F.col("cues.text"), _SEP)
     texts = texts.withColumn("parts", F.split(F.when(F.col("cues")[0]["alone"], whole).otherwise(marked(whole)), _SEP))
     each = texts.select("owner", "cues", F.size("cues").alias("n"), F.posexplode("parts").alias("k", "part"))
