@@ -35,6 +35,7 @@ _LEFT_OUT = frozenset("and of de la le et und y e".split())
 _FINAL = re.compile(r"[’'`´]s?$", re.I)
 _SPLIT = re.compile(r"[\s,&+/\-‐–—·_]+")
 _OTHER = re.compile(r"[^\w]+")
+_PARTS = re.compile(r"[\s·・‧=\-‐•]+")
 _RENDER = re.compile(r"\(.*?\)|（.*?）|[\W_]+")
 
 
@@ -46,6 +47,19 @@ def rendering(s: str | None) -> str:
     return _RENDER.sub("", unicodedata.normalize("NFKC", s)) if s else ""
 
 
+def parts(s: str | None) -> list[str]:
+    """A rendering's parts, where it shows them."""
+    return [x for x in (rendering(p) for p in _PARTS.split(unicodedata.normalize("NFKC", s))) if x] if s else []
+
+
+def _apart(a: list[str], b: list[str], i: int) -> bool:
+    """Whether two renderings of two parts differ wholly in part i."""
+    if len(a) != 2 or len(b) != 2:
+        return False
+    n = max(len(a[i]), len(b[i]))
+    return distance(a[i], b[i], n) > 0.7 * n
+
+
 def words_of(source: str) -> tuple[list[str], bool]:
     """The words that tell whom a name means, a trailing full stop kept for a shortened one; whether it is letters only."""
     s = source.strip()
@@ -186,8 +200,10 @@ def _renders(a: str, b: str) -> float | None:
     return 1 - distance(a, b, n) / n
 
 
-def link(a: list[str], a_caps: bool, ra: str, b: list[str], b_caps: bool, rb: str, nick: dict[str, list[str]], told: bool = False) -> int:
+def link(a: list[str], a_caps: bool, ra: str | None, b: list[str], b_caps: bool, rb: str | None, nick: dict[str, list[str]], told: bool = False) -> int:
     """2 the same, 1 the same if nobody else fits, 0 not the same. ``told``: another table calls one a variant of the other."""
+    pa_, pb_ = parts(ra), parts(rb)
+    ra, rb = rendering(ra), rendering(rb)
     r = _renders(ra, rb)
     part = bool(ra and rb) and (ra.endswith(rb) or rb.endswith(ra) or ra.startswith(rb) or rb.startswith(ra)) and min(len(ra), len(rb)) >= 2
     ja, jb = "".join(a).replace(".", ""), "".join(b).replace(".", "")
@@ -229,6 +245,9 @@ def link(a: list[str], a_caps: bool, ra: str, b: list[str], b_caps: bool, rb: st
             o, e = (x[-1], y[-1]) if g >= 0.9 else (x[0], y[0])
             if min(len(o), len(e)) >= 6 and distance(o, e, 2) <= 2:
                 g, s = max(g, 0.8), max(s, 0.8)
+        # misspelt, or another one's name: the part of the rendering tells
+        if s == 0.8 and _apart(pa_, pb_, 1) or g == 0.8 and _apart(pa_, pb_, 0):
+            continue
         if s >= 0.8 and g >= 0.8 and (s == 1 or g >= 0.9 or r is None or r >= 0.5) and (r is None or r >= 0.35 or s == 1 and g == 1 and r >= 0.3):
             best = 2
         elif min(s, g) == 0.5 and max(s, g) >= 0.8:
@@ -265,7 +284,7 @@ def _read(nick: dict[str, list[str]]):  # noqa: ANN202
 def _verify(nick: dict[str, list[str]]):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            kind = [link(list(aw), ac, rendering(ar), list(bw), bc, rendering(br), nick, t) for aw, ac, ar, bw, bc, br, t in zip(x["aw"], x["ac"], x["ar"], x["bw"], x["bc"], x["br"], x["told"])]
+            kind = [link(list(aw), ac, ar, list(bw), bc, br, nick, t) for aw, ac, ar, bw, bc, br, t in zip(x["aw"], x["ac"], x["ar"], x["bw"], x["bc"], x["br"], x["told"])]
             out = x[["a", "b"]].assign(kind=kind)
             yield out[out["kind"] > 0]
 
