@@ -37,8 +37,7 @@ def code_of(label: Column) -> Column:
     """One of the codes above in whatever case, with a region or in three letters; null if missing; else as it is."""
     low = F.lower(F.trim(label))
     base = F.when(low.rlike("^(zh|zho|chi)[-_]yue"), F.lit("yue")).otherwise(F.substring_index(F.substring_index(low, "-", 1), "_", 1))
-    for three, two in CODES.items():
-        base = F.when(base == three, F.lit(two)).otherwise(base)
+    base = F.coalesce(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])[base], base)
     return F.when(low.isin(*MISSING), F.lit(None)).otherwise(base)
 
 
@@ -218,28 +217,26 @@ def _classify(net: Network, keys: list[str]):  # noqa: ANN202
         names = np.array(LANGUAGES)
         for b in batches:
             p, n = text_probabilities(net, [t or "" for t in b["text"].to_pylist()], True)
-            order = np.argsort(-p, axis=1, kind="stable")
-            rows = np.arange(len(p))
-            one, two = p[rows, order[:, 0]], p[rows, order[:, 1]]
-            keep = np.flatnonzero(one > 0)
-            cols = [b[k].take(pa.array(keep)) for k in keys]
+            keep = np.flatnonzero(n > 0)
+            p, best = p[keep].astype(np.float32), p[keep].argmax(1)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), len(LANGUAGES)).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(names[order[keep, 0]], pa.string()), pa.array(one[keep].astype(np.float32)), pa.array(names[order[keep, 1]], pa.string()), pa.array(two[keep].astype(np.float32)), pa.array(n[keep].astype(np.int64))],
-                [*keys, "lang", "confidence", "second", "second_confidence", "letters"],
+                [*[b[k].take(pa.array(keep)) for k in keys], pa.array(names[best], pa.string()), pa.array(p[np.arange(len(p)), best]), lists, pa.array(n[keep].astype(np.int64))],
+                [*keys, "lang", "confidence", "chances", "letters"],
             )
 
     return run
 
 
 def languages(df: DataFrame, net: Network, keys: list[str]) -> DataFrame:
-    """The columns ``keys`` with lang, confidence and the runner-up of each row's ``text``.
+    """The columns ``keys`` with lang, confidence, the chances of all languages and the letters of each row's ``text``.
 
     Rows whose text is null, empty or without a letter have no language and are left out; other rows are kept as often
     as they stand. All windows of a text count, however long it is.
     """
     x = df.select(*keys, "text").where("text is not null")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.select(*keys).schema)
-    return x.mapInArrow(_classify(net, keys), f"{schema}, lang string, confidence float, second string, second_confidence float, letters long")
+    return x.mapInArrow(_classify(net, keys), f"{schema}, lang string, confidence float, chances array<float>, letters long")
 
 
 #: How much likelier another language must be than the owner's own before a line counts as foreign.
@@ -257,7 +254,7 @@ def of_owners(lines: DataFrame) -> DataFrame:
 def foreign(lines: DataFrame, owners: DataFrame, odds: float = FOREIGN_ODDS) -> DataFrame:
     """Lines in another language than their owner's: (owner, id, lang, confidence); see ``LEAST_LETTERS``."""
     x = lines.where(F.col("letters") >= LEAST_LETTERS).join(owners.select("owner", "main"), "owner").where("lang <> main")
-    own = F.when(F.col("second") == F.col("main"), F.col("second_confidence")).otherwise(F.least("second_confidence", (1 - F.col("confidence") - F.col("second_confidence")) / 2))
+    own = F.element_at("chances", F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("main")).cast("int"))
     return x.where(F.col("confidence") >= odds * F.greatest(own, F.lit(1e-6))).select("owner", "id", "lang", "confidence")
 
 
