@@ -23,6 +23,9 @@ FAN_IN = 8
 #: Items a task packs at most, about.
 TASK_ITEMS = 200_000
 
+#: Boxes of different capacity, at most: they are part of the plan, not of the data.
+MOST_BOXES = 1000
+
 _BIN = "box string, capacity long, used long, open boolean, items array<struct<doc_id:long,piece:int,from_token:long,tokens:long>>"
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("from_token", pa.int64()), ("tokens", pa.int64())])
 _SCHEMA = pa.schema([("box", pa.string()), ("capacity", pa.int64()), ("used", pa.int64()), ("open", pa.bool_()), ("items", pa.list_(_ITEM))])
@@ -82,9 +85,12 @@ def pack(docs: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
     boxes = boxes.select("box", F.col("capacity").cast("long").alias("capacity")).where("box is not null and capacity > 0").distinct()
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens")).where("doc_id is not null")
     x = materialize(x.repartition("doc_id"), "sizes")
-    # a few boxes meet every document: a product with a table of fixed size, made as an array in each row
-    few = boxes.agg(F.array_sort(F.collect_list(F.struct("box", "capacity"))).alias("boxes"))
-    x = x.join(few.withColumn("k", F.lit(0)), F.lit(0) == F.col("k")).select("doc_id", "tokens", F.explode("boxes").alias("b")).select("doc_id", "tokens", "b.box", "b.capacity")
+    # the few boxes become an array in each row
+    few = boxes.orderBy("box", "capacity").limit(MOST_BOXES + 1).collect()
+    if len(few) > MOST_BOXES:
+        raise ValueError(f"more than {MOST_BOXES} boxes")
+    held = F.array(*[F.struct(F.lit(b.box).alias("box"), F.lit(b.capacity).cast("long").alias("capacity")) for b in few]) if few else F.array().cast("array<struct<box:string,capacity:bigint>>")
+    x = x.select("doc_id", "tokens", F.explode(held).alias("b")).select("doc_id", "tokens", "b.box", "b.capacity")
     full = F.when(F.col("tokens") > F.col("capacity"), F.floor(F.col("tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("int")
     x = x.withColumn("full", full)
     item = lambda piece, tokens: F.struct("doc_id", piece.cast("int").alias("piece"), (piece * F.col("capacity")).alias("from_token"), tokens.alias("tokens"))
