@@ -57,27 +57,33 @@ def _words(words: list[str] | tuple[str, ...]) -> str:
 _ALONE = "(?<![\\p{L}\\p{N}])"
 _ON = f"{_WS}*[\\p{{Ll}}\\p{{N}}{_CJK}]"
 
-#: (what a text must hold for the rule to be tried, pattern, what it becomes), in order. Each replacement is as long as
-#: its match, and each pattern begins with the mark itself, so that a scan stops only at marks.
-MASKS: list[tuple[str, str, str]] = [
+#: What makes a full stop no end, tried at each full stop
+DOTS = [
     # decimals, times, versions, grouped numbers
-    (".", "[.．](?=\\p{N})(?<=\\p{N}.)", _DOT),
-    # addresses; then file names and dotted abbreviations: a letter or digit straight before, a small letter after
-    ("://", f"[.?!](?=[^\\s{_SEP}])(?<=://[^\\s{_SEP}]{{1,200}}.)", _DOT),
-    (".", "\\.(?=\\p{Ll}|[ºª°])(?<=[\\p{L}\\p{N}&&[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}]]\\.)", _DOT),
+    "(?=\\p{N})(?<=\\p{N}.)",
+    # file names and dotted abbreviations: a letter or digit straight before, a small letter after
+    "(?=\\p{Ll}|[ºª°])(?<=[\\p{L}\\p{N}&&[^\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}]]\\.)",
     # a single letter: an initial or part of an abbreviation; 'a.m.' and the like end a sentence before a capital
-    (".", f"\\.(?={_WS}+[\\p{{Ll}}\\p{{N}},;])(?<=[.{_DOT}]{_WS}?[dmдп]\\.)", _DOT),
-    (".", f"\\.(?={_WS}*[\\p{{L}}\\p{{N}}-])(?<={_ALONE}\\p{{Lu}}\\.)(?<!т[.{_DOT}]{_WS}{{0,2}}.\\.|[ap]{_DOT}.\\.)", _DOT),
-    (".", f"\\.(?={_WS}*(?:\\p{{Ll}}|\\p{{Lu}}[.{_DOT}]))(?<={_ALONE}\\p{{Ll}}\\.)(?<![ap]{_DOT}.\\.)", _DOT),
-    (".", f"\\.(?={_WS}*B)(?<={_ALONE}[zZ]\\.)", _DOT),
-    (".", f"(?i)\\.(?={_WS}*[\\p{{L}}\\p{{N}}])(?<={_ALONE}p[.{_DOT}]{_WS}{{0,2}}(?:ex|ej|es)\\.)", _DOT),
+    f"(?={_WS}+[\\p{{Ll}}\\p{{N}},;])(?<=[.{_DOT}]{_WS}?[dmдп]\\.)",
+    f"(?={_WS}*[\\p{{L}}\\p{{N}}-])(?<={_ALONE}\\p{{Lu}}\\.)(?<!т[.{_DOT}]{_WS}{{0,2}}.\\.|[ap][.{_DOT}].\\.)",
+    f"(?={_WS}*(?:\\p{{Ll}}|\\p{{Lu}}[.{_DOT}]))(?<={_ALONE}\\p{{Ll}}\\.)(?<![ap][.{_DOT}].\\.)",
+    f"(?={_WS}*B)(?<={_ALONE}[zZ]\\.)",
+    f"(?={_WS}*[\\p{{L}}\\p{{N}}])(?<={_ALONE}[pP][.{_DOT}]{_WS}{{0,2}}(?i:ex|ej|es)\\.)",
     # abbreviations
-    (".", f"(?iu)\\.(?={_WS}*[\\p{{L}}\\p{{N}}“«„\"])(?<={_ALONE}(?:{_words(BEFORE_NAME)})\\.)", _DOT),
-    (".", f"(?iu)\\.(?={_WS}*\\p{{N}})(?<={_ALONE}(?:{_words(BEFORE_NUMBER)})\\.)", _DOT),
-    (".", f"(?iu)\\.(?={_WS}*(?-i:[\\p{{Ll}}\\p{{N}},;:]))(?<={_ALONE}(?:{_words(MAY_END)})\\.)", _DOT),
+    f"(?={_WS}*[\\p{{L}}\\p{{N}}“«„\"])(?<={_ALONE}(?iu:{_words(BEFORE_NAME)})\\.)",
+    f"(?={_WS}*\\p{{N}})(?<={_ALONE}(?iu:{_words(BEFORE_NUMBER)})\\.)",
+    f"(?={_WS}*[\\p{{Ll}}\\p{{N}},;:])(?<={_ALONE}(?iu:{_words(MAY_END)})\\.)",
     # German ordinals
-    (".", f"\\.(?={_WS}+\\p{{L}})(?<=\\p{{N}}\\.)(?<={_ALONE}(?:{'|'.join(BEFORE_ORDINAL_DE)}){_WS}\\p{{N}}{{1,4}}\\.)", _DOT),
-    (".", f"\\.(?={_WS}+(?:{'|'.join(MONTHS_DE)})\\b)(?<=\\p{{N}}\\.)", _DOT),
+    f"(?={_WS}+\\p{{L}})(?<=\\p{{N}}\\.)(?<={_ALONE}(?:{'|'.join(BEFORE_ORDINAL_DE)}){_WS}\\p{{N}}{{1,4}}\\.)",
+    f"(?={_WS}+(?:{'|'.join(MONTHS_DE)})\\b)(?<=\\p{{N}}\\.)",
+]
+
+#: (what a text must hold for the rule to be tried, pattern, what it becomes), in order. Each replacement is as long as
+#: its match, and each pattern begins with the mark itself, so that a scan stops only at marks.
+MASKS: list[tuple[str, str, str]] = [
+    (".", f"[.．](?:{'|'.join(DOTS)})", _DOT),
+    # addresses
+    ("://", f"[.?!](?=[^\\s{_SEP}])(?<=://[^\\s{_SEP}]{{1,200}}.)", _DOT),
     # broken off: a word begun again, or going on with a small letter, a number or a script without capitals
     ("..", f"\\.(?:(?<=\\.\\.)(?={_ON})|(?<!\\.\\.)(?=\\.+{_ON}))", _MORE),
     ("…", f"…(?=…*{_ON})", _MORE),
