@@ -143,7 +143,8 @@ def runs(df: DataFrame, owner: Column, chunk_ms: int = CHUNK_MS) -> DataFrame:
     pieces = x.repartition("owner", "chunk").sortWithinPartitions("owner", "chunk", "start_ms", "end_ms", "id").mapInArrow(_runs, _PIECE)
     w = Window.partitionBy("owner").orderBy("chunk", "run")
     e = pieces.where("edge").withColumn("before", F.lag("last_line").over(w))
-    e = e.withColumn("new", F.when(_same("before", "first_line"), 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
+    # two runs of one chunk are two runs, whatever stands between them
+    e = e.withColumn("new", F.when((F.lag("chunk").over(w) < F.col("chunk")) & _same("before", "first_line"), 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
     joined = e.groupBy("owner", "island").agg(F.min_by("first_id", F.struct("chunk", "run")).alias("first_id"), F.max_by("last_id", F.struct("chunk", "run")).alias("last_id"), F.sum("n").alias("n"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     cols = ["owner", "first_id", "last_id", "n", "start_ms", "end_ms"]
     return joined.where("n > 1").select(*cols).unionByName(pieces.where("not edge").select(*cols)).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
