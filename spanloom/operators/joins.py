@@ -31,13 +31,13 @@ def contained(inner: DataFrame, outer: DataFrame, keys: list[str], lo: str, hi:
 def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, mark: str, value: str, forward: bool = False, strict: bool = False) -> DataFrame:
     """``points`` with the last mark not after ``at`` (or the first not before it) and its value, by one sort of both.
 
-    Adds the columns ``mark`` and ``value``, null where there is none; equal marks give the smallest value, or the
-    largest when looking forward.
+    Adds the columns ``mark`` and ``value``, null where there is none; of equal marks the one with the smallest value
+    counts. With ``strict`` a mark at the very moment does not.
     """
     cols = points.columns
-    side = points.select(F.struct(*cols).alias("_row"), *keys, F.col(at).alias("_t"), F.lit(None).cast("struct<m:bigint,v:string>").alias("_m"), F.lit(1 if strict == forward else 0).alias("_o"))
-    other = marks.where(F.col(mark).isNotNull()).select(F.lit(None).cast(side.schema["_row"].dataType).alias("_row"), *keys, F.col(mark).alias("_t"), F.struct(F.col(mark).cast("long").alias("m"), F.col(value).cast("string").alias("v")).alias("_m"), F.lit(0 if strict == forward else 1).alias("_o"))
-    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc() if forward else F.col("_t"), F.col("_o").desc() if not forward and strict else F.col("_o"), F.col("_m").desc())
+    side = points.select(F.struct(*cols).alias("_row"), *keys, F.col(at).alias("_t"), F.lit(None).cast("struct<m:bigint,v:string>").alias("_m"), F.lit(0 if strict else 1).alias("_o"))
+    other = marks.where(F.col(mark).isNotNull()).select(F.lit(None).cast(side.schema["_row"].dataType).alias("_row"), *keys, F.col(mark).alias("_t"), F.struct(F.col(mark).cast("long").alias("m"), F.col(value).cast("string").alias("v")).alias("_m"), F.lit(1 if strict else 0).alias("_o"))
+    w = Window.partitionBy(*keys).orderBy(F.col("_t").desc() if forward else F.col("_t"), "_o", F.col("_m").desc())
     found = side.unionByName(other).withColumn("_f", F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("_row is not null")
     return found.select(*[F.col(f"_row.{c}").alias(c) for c in cols], F.col("_f.m").alias(mark), F.col("_f.v").alias(value))
 

@@ -34,7 +34,8 @@ def export_state(ranges: DataFrame, lengths: DataFrame, owner: list[str]) -> Dat
     merged = spans.merge(ranges, owner)
     g = merged.groupBy(*owner).agg(F.array_sort(F.collect_list(F.array("start_ms", "end_ms"))).alias("ranges"))
     x = lengths.join(g, owner, "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<array<bigint>>")))
-    done = (F.size("ranges") == 1) & (F.col("ranges")[0][0] == 0) & (F.col("ranges")[0][1] == F.col("duration_ms"))
+    only = F.get("ranges", F.lit(0))
+    done = F.coalesce((F.size("ranges") == 1) & (F.get(only, F.lit(0)) == 0) & (F.get(only, F.lit(1)) == F.col("duration_ms")), F.lit(False))
     return x.select(*owner, done.alias("complete"), F.when(done, ".srt").otherwise(".partial.srt").alias("suffix"), F.to_json(F.struct("duration_ms", F.col("ranges").alias("coverage"))).alias("sidecar"))
 
 
