@@ -13,6 +13,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_ends(load(spark, folder, "cues"), key_of("profile")).select(F.col("owner").alias("profile"), "cue_id", "end_pos")
 
 
+def p1_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of every profile with the cues and times it covers."""
+    return sentences.sentences(load(spark, folder, "cues"), key_of("profile")).withColumnRenamed("owner", "profile")
+
+
 def p3_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Every run of one line: its first and last cue, count and duration."""
     return lines.runs(load(spark, folder, "cues"), key_of("profile")).withColumnRenamed("owner", "profile")
@@ -91,6 +96,6 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(docs).join(sizes, "doc_id").withColumn("share", F.col("shared_chars") / F.col("chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLES: dict[str, str] = {}

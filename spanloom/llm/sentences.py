@@ -127,22 +127,13 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(masked(text), f"({_MARK})", f"$1{_END}")
 
 
-def restored(masked_text: Column, raw: Column) -> Column:
-    """The raw text's characters in place of the placeholders: raw is as long, so it is its prefix of that length."""
-    return F.substring(raw, F.lit(1), F.length(masked_text))
+def restored(masked_text: Column, raw: Column, at: int | Column = 1) -> Column:
+    """The raw text's characters in place of the placeholders, from the place ``at`` on: both are as long."""
+    return F.substring(raw, F.lit(at) if isinstance(at, int) else at, F.length(masked_text))
 
 
-def sentence_ends(df: DataFrame, owner: Column, pause_ms: int = PAUSE_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """One row per sentence end: (owner, cue_id, end_pos, start_ms, end_ms), of cues (id, start_ms, end_ms, text).
-
-    ``end_pos`` counts the code points of the cue's raw text up to the sentence's last character. Cues are read in the
-    order start_ms, end_ms, id. A sentence also ends before a pause of ``pause_ms`` (an unknown end_ms makes no
-    pause), before and after a cue wholly in brackets, and where no cue follows.
-
-    Rows with a null owner, id, start or text, or without a letter or digit, are left out first; rows delivered twice
-    (same owner, id, start) count once. Further columns are ignored; an empty input gives an empty result. A text of
-    any length is read whole.
-    """
+def _marked_cues(df: DataFrame, owner: Column, pause_ms: int, chunk_ms: int) -> DataFrame:
+    """(owner, block, n, k, cue, last, bits): every cue's text cut behind the signs, in blocks between pauses and brackets."""
     x = df.select(owner.alias("owner"), "id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "text")
     x = x.where(F.col("owner").isNotNull() & F.col("id").isNotNull() & F.col("start_ms").isNotNull() & F.col("text").rlike(_WORD))
     x = x.withColumn("chunk", F.floor(F.col("start_ms") / chunk_ms)).withColumn("alone", F.col("text").rlike(_BRACKETED))
@@ -169,11 +160,45 @@ def sentence_ends(df: DataFrame, owner: Column, pause_ms: int = PAUSE_MS, chunk_
     texts = parts.where(~crosses).select("owner", "cues").unionByName(crossing.select("owner", "cues")).withColumn("cues", F.array_sort("cues"))
     whole = F.array_join(F.col("cues.text"), _SEP)
     texts = texts.withColumn("parts", F.split(F.when(F.col("cues")[0]["alone"], whole).otherwise(marked(whole)), _SEP))
-    each = texts.select("owner", "cues", F.size("cues").alias("n"), F.posexplode("parts").alias("k", "part"))
-    each = each.select("owner", F.element_at("cues", F.col("k") + 1).alias("cue"), (F.col("k") + 1 == F.col("n")).alias("last"), F.split("part", _END).alias("bits"))
+    texts = texts.withColumn("block", F.struct(F.col("cues")[0]["start_ms"].alias("at"), F.col("cues")[0]["id"].alias("id")))
+    each = texts.select("owner", "block", "cues", F.size("cues").alias("n"), F.posexplode("parts").alias("k", "part"))
+    return each.select("owner", "block", "k", F.element_at("cues", F.col("k") + 1).alias("cue"), (F.col("k") + 1 == F.col("n")).alias("last"), F.split("part", _END).alias("bits"))
+
+
+def sentence_ends(df: DataFrame, owner: Column, pause_ms: int = PAUSE_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """One row per sentence end: (owner, cue_id, end_pos, start_ms, end_ms), of cues (id, start_ms, end_ms, text).
+
+    ``end_pos`` counts the code points of the cue's raw text up to the sentence's last character. Cues are read in the
+    order start_ms, end_ms, id. A sentence also ends before a pause of ``pause_ms`` (an unknown end_ms makes no
+    pause), before and after a cue wholly in brackets, and where no cue follows.
+
+    Rows with a null owner, id, start or text, or without a letter or digit, are left out first; rows delivered twice
+    (same owner, id, start) count once. Further columns are ignored; an empty input gives an empty result. A text of
+    any length is read whole.
+    """
+    each = _marked_cues(df, owner, pause_ms, chunk_ms)
     # the text after the last sign ends a sentence where the block ends
     tail = F.when(F.col("last") & F.element_at("bits", -1).rlike(_WORD), F.array(F.length(F.regexp_replace(F.array_join("bits", ""), "[\\s\\u00a0\\u3000]+$", "")))).otherwise(F.array().cast("array<int>"))
     inner = F.transform(F.sequence(F.lit(1), F.size("bits") - 1), lambda i: F.length(F.array_join(F.slice("bits", 1, i), "")))
     inner = F.when(F.size("bits") > 1, inner).otherwise(F.array().cast("array<int>"))
     real_end = F.when(F.col("cue.end_ms") > -(1 << 62), F.col("cue.end_ms"))
     return each.select("owner", F.col("cue.id").alias("cue_id"), F.explode(F.concat(inner, tail)).alias("end_pos"), F.col("cue.start_ms").alias("start_ms"), real_end.alias("end_ms"))
+
+
+def sentences(df: DataFrame, owner: Column, pause_ms: int = PAUSE_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Whole sentences: (owner, first_id, last_id, cues, start_ms, end_ms, text), cut as by :func:`sentence_ends`.
+
+    A sentence over several cues is joined by blanks, by nothing between two letters of a script without them. Times
+    are those of its first and last cue. Cases as in :func:`sentence_ends`.
+    """
+    each = _marked_cues(df, owner, pause_ms, chunk_ms)
+    # placeholders are as long as what they stand for, so each bit is given back from its place in the raw text
+    behind = lambda i: F.length(F.array_join(F.slice("bits", F.lit(1), i), ""))
+    each = each.withColumn("bits", F.transform("bits", lambda b, i: restored(b, F.col("cue.text"), behind(i) + 1)))
+    w = Window.partitionBy("owner", "block").orderBy("k")
+    before = F.coalesce(F.sum(F.size("bits") - 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = each.withColumn("before", before).select("owner", "block", "k", "cue", "before", F.posexplode("bits").alias("j", "bit")).where(F.col("bit").rlike("\\S"))
+    x = x.groupBy("owner", "block", (F.col("before") + F.col("j")).alias("nth")).agg(F.array_sort(F.collect_list(F.struct("k", "bit", "cue"))).alias("parts"))
+    text = F.regexp_replace(F.array_join(F.transform("parts.bit", lambda b: F.regexp_replace(b, "^[\\s\\u00a0\\u3000]+|[\\s\\u00a0\\u3000]+$", "")), " "), "(?<=[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}。、！？「」，：；]) (?=[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}。、！？「」，：；])", "")
+    first, last = F.col("parts")[0]["cue"], F.element_at("parts", -1)["cue"]
+    return x.select("owner", first["id"].alias("first_id"), last["id"].alias("last_id"), F.size("parts").alias("cues"), first["start_ms"].alias("start_ms"), F.when(last["end_ms"] > -(1 << 62), last["end_ms"]).alias("end_ms"), text.alias("text"))

@@ -67,3 +67,10 @@ def test_mask_keeps_length(spark):
     df = df.withColumn("r", sentences.restored(F.col("m"), F.col("t")))
     for r in df.collect():
         assert len(r.m) == len(r.t) and r.r == r.t
+
+
+def test_whole_sentences(spark):
+    cues = [("a", "1", 0, 500, "Dr. Reed met", ""), ("a", "2", 600, 900, "Mrs. Fox. They", ""), ("a", "3", 1000, None, "left... then! Go.", ""), ("a", "4", 1100, 1200, "予", ""), ("a", "5", 1300, 1400, "備だ。", "")]
+    df = spark.createDataFrame(cues, "p string, id string, start_ms long, end_ms long, text string, owner string")
+    got = sorted((r.start_ms, r.first_id, r.last_id, r.cues, r.end_ms, r.text) for r in sentences.sentences(df, F.col("p")).collect())
+    assert got == [(0, "1", "2", 2, 900, "Dr. Reed met Mrs. Fox."), (600, "2", "3", 2, None, "They left... then!"), (1000, "3", "3", 1, None, "Go."), (1100, "4", "5", 2, 1400, "予備だ。")]
