@@ -102,6 +102,26 @@ def _suffixes(least: int):  # noqa: ANN202
     return run
 
 
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes sorted by prefix those whose prefix more than one record holds; holds back one record's rows at most."""
+    held: pa.Table | None = None
+    at, inner = None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = (pa.concat_tables([held, t]) if held is not None else t).combine_chunks()
+        h, d = t["h"].to_numpy(), t["doc_id"].to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        many = np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)
+        many[0] |= inner and h[0] == at
+        at, inner = h[-1], bool(many[-1])
+        held = None if inner else t.slice(cut[-1])
+        keep = np.flatnonzero(np.repeat(many, np.diff(np.append(cut, len(h)))))
+        if len(keep):
+            yield from t.take(pa.array(keep)).combine_chunks().to_batches()
+
+
 def _around(least: int):  # noqa: ANN202
     """(doc_id, text, at: [(h, pos)]) to (h, doc_id, pos, left, around): up to least - PREFIX code points before, least after."""
 
@@ -205,9 +225,8 @@ def nodes(df: DataFrame, least: int = 200, stretches: bool = False) -> DataFrame
         raise ValueError(f"a span has at least {2 * PREFIX} code points")
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(f"doc_id is not null and length(text) >= {least}")
     found = docs.mapInArrow(_suffixes(least), "h long, doc_id long, pos int")
-    # a subtree held by one record has no shared node; the count needs no list of records
-    w = found.groupBy("h").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("two")).where("one < two").select("h")
-    kept = found.join(w.hint("shuffle_hash"), "h", "left_semi")
+    # a subtree held by one record has no shared node
+    kept = found.repartition("h").sortWithinPartitions("h").mapInArrow(_inner, "h long, doc_id long, pos int")
     at = kept.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos")).alias("at"))
     near = docs.join(at, "doc_id").mapInArrow(_around(least), "h long, doc_id long, pos int, left int, around string")
     return near.repartition("h").sortWithinPartitions("h").mapInArrow(_nodes(least, stretches), "a array<long>, b array<long>, doc_id long, lo long, hi long")
