@@ -28,6 +28,8 @@ WIDTHS, FILTERS = (2, 3, 4, 6), 20
 WINDOW = 192
 #: Labelled documents per language that are used for training, and stretches taken from each.
 TRAIN_DOCS, TRAIN_CUTS = 240, 10
+#: Characters of a training document from which these are taken; bounds what the driver holds.
+TRAIN_CHARS = 20_000
 EPOCHS, BATCH, SEED = 14, 256, 7
 _PAD = max(WIDTHS) - 1
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -208,7 +210,7 @@ def fitted(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Network:
     x = docs.select("doc_id", code_of(F.col("lang")).alias("code"), F.length("text").alias("n")).where(F.col("code").isin(*LANGUAGES) & (F.col("n") >= 40))
     w = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("doc_id", "code")
-    rows = docs.select("doc_id", F.substring("text", 1, 20_000).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).select("text", "code").collect()
+    rows = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).select("text", "code").collect()
     return train(sorted((r.text, r.code) for r in rows))
 
 
@@ -258,6 +260,24 @@ def foreign(lines: DataFrame, owners: DataFrame, odds: float = FOREIGN_ODDS) ->
     return x.where(F.col("confidence") >= odds * F.greatest(own, F.lit(1e-6))).select("owner", "id", "lang", "confidence")
 
 
+#: Foreign lines of one language that begin within this time of the last one's start are one stretch.
+STRETCH_MS = 30_000
+
+
+def stretches(found: DataFrame, cues: DataFrame, owner: Column, within_ms: int = STRETCH_MS) -> DataFrame:
+    """Foreign stretches: (owner, lang, first_id, last_id, lines, start_ms, end_ms, confidence), the mean of its lines'.
+
+    ``found`` comes from :func:`foreign`; only foreign lines are put in order, so a long owner is no large task. An
+    unknown or impossible end counts as the start.
+    """
+    t = cues.select(owner.alias("owner"), "id", "start_ms", F.greatest("start_ms", F.coalesce("end_ms", "start_ms")).alias("end_ms")).where("start_ms is not null").dropDuplicates(["owner", "id"])
+    x = found.dropDuplicates(["owner", "id"]).join(t, ["owner", "id"])
+    w = Window.partitionBy("owner", "lang").orderBy("start_ms", "id")
+    x = x.withColumn("new", F.coalesce((F.col("start_ms") - F.lag("start_ms").over(w) > within_ms).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(w))
+    at = F.struct("start_ms", "id")
+    return x.groupBy("owner", "lang", "part").agg(F.min_by("id", at).alias("first_id"), F.max_by("id", at).alias("last_id"), F.count(F.lit(1)).alias("lines"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.avg("confidence").alias("confidence")).drop("part")
+
+
 def mislabelled(df: DataFrame, label: Column) -> Column:
     """Whether a row's label is missing or says another language than its column ``lang``."""
     return F.coalesce(code_of(label) != F.col("lang"), F.lit(True))

@@ -232,7 +232,7 @@ def link(a: list[str], a_caps: bool, ra: str | None, b: list[str], b_caps: bool,
     if len(a) == 1 or len(b) == 1:
         one, many = (a[0], b) if len(a) == 1 else (b[0], a)
         # run together with a missing blank
-        if distance(ja, jb, 1) <= 1 and min(len(ja), len(jb)) >= 8:
+        if distance(ja, jb, 1) <= 1 and (min(len(ja), len(jb)) >= 8 or min(len(ja), len(jb)) >= 5 and (r or 0) > 0.8):
             return 2 if r is None or r >= 0.5 else 0
         if _alike(one, many[-1], nick) >= 0.8 and len(one.rstrip(".")) >= 3:
             return 1 if r is None or part or r >= 0.3 else 0

@@ -57,6 +57,11 @@ def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
     return x.groupBy("tbl", "row_key").agg(F.max_by("lang", F.struct("confidence", "lang")).alias("lang"), F.max("confidence").alias("confidence"))
 
 
+def p4_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of cues in another language than their profile's, with a confidence."""
+    return language.stretches(_languages(spark, folder)[1], load(spark, folder, "cues"), key_of("profile")).withColumnRenamed("owner", "profile")
+
+
 def p5_names(spark: SparkSession, folder: str) -> DataFrame:
     """Every glossary row with the number of the one it names."""
     glossary, contexts, nick = (load(spark, folder, t) for t in ("glossary", "contexts", "nicknames"))
@@ -96,6 +101,6 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(docs).join(sizes, "doc_id").withColumn("share", F.col("shared_chars") / F.col("chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLES: dict[str, str] = {}

@@ -54,6 +54,10 @@ def test_tables(spark, net):
     owners = language.of_owners(lines)
     assert [(r.owner, r.main) for r in owners.collect()] == [("p", "en")]
     assert [(r.id, r.lang) for r in language.foreign(lines, owners).collect()] == [("x", "ru")]
+    times = [(k, i, n * 1000, None) for n, (k, i, _) in enumerate(cues)]
+    far = language.foreign(lines, owners)
+    got = language.stretches(far, spark.createDataFrame(times, "k string, id string, start_ms long, end_ms long"), F.col("k")).collect()
+    assert [(r.lang, r.first_id, r.last_id, r.lines, r.start_ms, r.end_ms) for r in got] == [("ru", "x", "x", 1, 20_000, 20_000)]
     assert language.languages(spark.createDataFrame([], "doc_id long, text string"), net, ["doc_id"]).count() == 0
 
 
