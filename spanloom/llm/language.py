@@ -27,10 +27,10 @@ WIDTHS, FILTERS = (2, 3, 4, 6), 20
 #: Bytes of a window.
 WINDOW = 192
 #: Labelled documents per language that are used for training, and stretches taken from each.
-TRAIN_DOCS, TRAIN_CUTS = 240, 10
+TRAIN_DOCS, TRAIN_CUTS = 200, 8
 #: Characters of a training document from which these are taken; bounds what the driver holds.
 TRAIN_CHARS = 20_000
-EPOCHS, BATCH, SEED = 14, 256, 7
+EPOCHS, BATCH, SEED = 10, 256, 7
 _PAD = max(WIDTHS) - 1
 _LETTERS = re.compile(r"[^\W\d_]")
 
