@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import joins, measures, store
+from spanloom.operators import joins, measures, replies, store
 from spanloom.plans import frames as fr
 from spanloom.sources.tables import key_of, load
 
@@ -201,6 +201,22 @@ def glossary_precedence(spark: SparkSession, folder: str) -> DataFrame:
     return store.precedence([c, g], ["media", "target", "source"], ["rendering"])
 
 
+def ledger_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Why a glossary row may not enter the ledger: pinned by a context window, or its first word is a common one."""
+    g = _glossary(spark, folder).withColumn("head", F.lower(F.regexp_extract("source", f"^({measures.WORD})", 1)))
+    pinned = load(spark, folder, "contexts").select(key_of("media").alias("media"), "target", F.explode("variants").alias("x", "source")).where("media is not null and source is not null").select("media", "target", "source").distinct().withColumn("pin", F.lit(True))
+    common = measures.common_words(fr.cues(spark, folder).where("media is not null").select("media", "id", "text").distinct(), ["media"], "text").select("media", F.col("word").alias("head"), F.lit(True).alias("common"))
+    x = g.join(pinned, ["media", "target", "source"], "left").join(common, ["media", "head"], "left")
+    return x.select("seq", "media", "source", F.when(F.col("pin"), "pinned").when(F.col("common"), "common").otherwise("candidate").alias("reason"))
+
+
+def reply_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks' cues as a fenced reply that must answer the ids of the chunk's own cues, all or nothing."""
+    x = load(spark, folder, "chunks").select("seq", "payload.cues").where("size(cues) > 0").distinct()
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.transform("cues", lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text")))), F.lit("\n```"))
+    return x.select("seq", replies.translations(reply, F.array_distinct("cues.id")).isNotNull().alias("valid"))
+
+
 # --- text ----------------------------------------------------------------------------------------------------------
 
 
@@ -276,7 +292,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         neighbour_context, previous_pairs, gap_split, batches, overlap_check, boundary_reconcile, recent_terms, score_summary, worst_scores, verdict_zip, verdict_validation, fragment_count, word_case_stats, common_words, name_mentions, known_languages,
-        latency_rank, realtime_factor, cache_status, chunk_upsert, profile_register, clear_media, ledger_insert, ledger_second_batch, cue_dedupe, glossary_precedence, clean_lengths, ending_flags, subtitle_width, joined_texts, srt_stamps, digest_ids, name_tokens, fuzzy_names, script_check,
+        latency_rank, realtime_factor, cache_status, chunk_upsert, profile_register, clear_media, ledger_insert, ledger_second_batch, cue_dedupe, glossary_precedence, ledger_candidates, reply_validation, clean_lengths, ending_flags, subtitle_width, joined_texts, srt_stamps, digest_ids, name_tokens, fuzzy_names, script_check,
     )
 }
 
@@ -313,6 +329,11 @@ ORACLES = {
     "cue_dedupe": f"WITH x AS (SELECT {fr.sql_key('profile')} profile, seq, start_ms ms, unnest(payload.cues) c FROM chunks), r AS (SELECT *, row_number() OVER (PARTITION BY profile, c.id ORDER BY ms DESC, seq DESC) r FROM x WHERE profile <> '' AND ms IS NOT NULL AND c.id IS NOT NULL) SELECT profile, c.id AS id, seq, c.start_ms start_ms FROM r WHERE r = 1",
     "glossary_precedence": f"""WITH {_G}, e AS (SELECT {fr.sql_key('media')} media, target, unnest(map_entries(variants)) v FROM contexts), c AS (SELECT media, target, v.key source, min(v.value) rendering FROM e WHERE media <> '' AND v.value IS NOT NULL GROUP BY 1, 2, 3),
  g AS (SELECT media, target, source, arg_min(rendering, (seq, rendering)) rendering FROM gl GROUP BY 1, 2, 3), u AS (SELECT *, 0 AS rank FROM c UNION ALL SELECT *, 1 FROM g) SELECT media, target, source, arg_min(rendering, rank) rendering, min(rank) AS rank FROM u GROUP BY 1, 2, 3""",
+    "ledger_candidates": f"""WITH {fr.CUES}, {_G}, t AS (SELECT DISTINCT media, id, text FROM cu WHERE media <> ''), w AS (SELECT media, unnest(regexp_extract_all(text, '{_WD}')) w FROM t),
+ k AS (SELECT media, lower(w) h FROM w GROUP BY 1, 2 HAVING count(*) FILTER (WHERE regexp_matches(w, '^\\p{{Ll}}')) >= greatest(1, count(*) FILTER (WHERE NOT regexp_matches(w, '^\\p{{Ll}}')))),
+ p AS (SELECT DISTINCT {fr.sql_key('media')} media, target, unnest(map_values(variants)) v FROM contexts)
+ SELECT seq, media, source, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.media = gl.media AND p.target = gl.target AND p.v = gl.source) THEN 'pinned' WHEN EXISTS (SELECT 1 FROM k WHERE k.media = gl.media AND k.h = lower(regexp_extract(gl.source, '^{_WD}'))) THEN 'common' ELSE 'candidate' END reason FROM gl""",
+    "reply_validation": """WITH x AS (SELECT DISTINCT seq, payload.cues cues FROM chunks WHERE len(payload.cues) > 0) SELECT seq, len(cues) = len(list_distinct([c.id for c in cues])) AND len([1 for c in cues if coalesce(length(trim(c.text)) >= 1 AND length(c.text) <= 1000 AND NOT regexp_matches(c.text, '<think|\\[THOUGHT\\]'), false)]) = len(cues) AS valid FROM x""",
     "clean_lengths": f"WITH d AS (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\n', ' <b>' || chr(10) || '{{x}}', 'g'), '<[^>]*>|\\{{[^}}]*\\}}', '', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '^{_BL}+|{_BL}+$', '', 'g') t FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(t) chars, md5(t) AS hash FROM d",
     "ending_flags": f"""WITH {_C} SELECT profile, id, regexp_matches({_BARE}, '[.!?。！？]$') AND NOT regexp_matches({_BARE}, '(?i)(?:^|[^\\p{{L}}])(?:mr|mrs|ms|dr|prof|sr|jr|st|vs|[a-z])\\.$') sentence, regexp_matches({_BARE}, '[,;:，、；：]$') clause,
  regexp_matches({_ST}, '[''’\\-‐]$') OR list_contains(string_split('a an the and or but of to in on at for with from by as is are was were that which who his her their my your our', ' '), lower(regexp_extract({_ST}, '([A-Za-z]+)[^A-Za-z]*$', 1))) weak FROM c""",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import folds, joins, measures, models, spans, store
+from spanloom.operators import folds, joins, measures, models, replies, spans, store
 from spanloom.sources import captions
 from spanloom.streaming import sessions
 
@@ -157,3 +157,29 @@ def test_session_decisions():
     assert verdicts == ["OPENED", "STALE_SEQUENCE", "ACCEPTED", "SEEK", "STALE_EPOCH", "STALE_ACK", "ACCEPTED", "EXPIRED"]
     assert sessions.retry("ASR_FAILED", 0, 16_000) == ("half", 8000) and sessions.retry("ASR_FAILED", 1, 8000) == ("hole", 0)
     assert sessions.retry("LANGUAGE_UNCERTAIN", 0, 10_000) == ("longer", 20_000) and sessions.retry("LANGUAGE_UNCERTAIN", 1, 20_000) == ("skip", 0)
+
+
+def test_replies(spark):
+    def parsed(col, text, ids):
+        df = spark.createDataFrame([(text, ids)], "r string, ids array<string>")
+        return df.select(col(F.col("r"), F.col("ids")).alias("x")).first().x
+
+    ok = '```json\n[{"id": "a", "text": "x"}, {"id": "b", "text": "y"}]\n```'
+    assert [r.text for r in parsed(replies.translations, ok, ["a", "b"])] == ["x", "y"]
+    for bad in (ok.replace('"b"', '"a"'), ok.replace('"b"', '"c"'), ok.replace('"y"', '" "'), ok.replace('"y"', '"<think>"'), "none", None):
+        assert parsed(replies.translations, bad, ["a", "b"]) is None
+    v = '[{"id": "a", "score": 4, "source_ok": false, "issue": "misheard"}]'
+    assert [tuple(r) for r in parsed(replies.verdicts, v, ["a"])] == [("a", 4, False, "misheard")]
+    for bad in (v.replace("4", "9"), v.replace("4", "true"), v.replace("4", "2.5"), v.replace("false", "1"), "[]"):
+        assert parsed(replies.verdicts, bad, ["a"]) is None
+
+
+def test_seams():
+    u = lambda a, b: {"start_ms": a, "end_ms": b, "text": "w"}
+    assert folds.draft_frontier([u(0, 500), u(8500, 9500)], 10_000, False) == 8500
+    assert folds.draft_frontier([u(0, 500)], 10_000, True) == 10_000 and folds.draft_frontier([], 10_000, False, cut_ms=1500) is None
+    assert folds.start_from_previous([u(700, 1200), u(1300, 1400)], 1000)[0]["start_ms"] == 1000
+    assert folds.start_from_previous([u(900, 1200)], 1000)[0]["start_ms"] == 900
+    assert folds.clip_right([u(0, 1100)], 1000)[-1]["end_ms"] == 1000 and folds.clip_right([u(0, 1300)], 1000) is None
+    s = [{"index": 0, "language": "en"}, {"index": 1, "language": "ja"}, {"index": 2}]
+    assert folds.choose_stream(s, {"language": "ja"})["index"] == 1 and folds.choose_stream(s, {"language": "fr"})["index"] == 2 and folds.choose_stream(s, {}) is None
