@@ -125,7 +125,12 @@ def _segments(w: str, k: int) -> list[tuple[int, str]]:
 
 def index_keys(w: str) -> list[str]:
     k = errors_for(len(w))
-    return [f"{len(w)}.{i}.{seg}" for i, (_, seg) in enumerate(_segments(w, k))]
+    parts = _segments(w, k)
+    out = [f"{len(w)}.{i}.{seg}" for i, (_, seg) in enumerate(parts)]
+    if k == 1:  # neighbours swapped across the border harm both segments
+        at = parts[1][0]
+        out.append(f"{len(w)}.0.{w[: at - 1]}{w[at]}")
+    return out
 
 
 def probe_keys(w: str) -> list[str]:
@@ -134,7 +139,6 @@ def probe_keys(w: str) -> list[str]:
     reach = max(errors_for(len(w)), errors_for(len(w) + 1))
     for n in range(max(1, len(w) - reach), len(w) + reach + 1):
         k = errors_for(n)
-        # a swap of neighbours may harm two segments, and moves no other; so one more error is looked up by shifts
         for i, (at, seg) in enumerate(_segments("x" * n, k)):
             for p in range(max(0, at - k), min(len(w) - len(seg), at + k) + 1):
                 out.add(f"{n}.{i}.{w[p : p + len(seg)]}")

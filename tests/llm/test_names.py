@@ -32,6 +32,9 @@ def test_distance_and_lookup():
         assert names.distance(a, b, 2) == min(d, 3)
         if len(b) >= 4 and d <= min(names.errors_for(len(a)), names.errors_for(len(b))):
             assert set(names.index_keys(a)) & set(names.probe_keys(b)), (a, b)
+        k = rng.randrange(len(a) - 1)
+        swapped = a[:k] + a[k + 1] + a[k] + a[k + 2 :]
+        assert set(names.index_keys(a)) & set(names.probe_keys(swapped)), (a, swapped)
 
 
 def groups(spark, rows, said=()):
