@@ -144,9 +144,10 @@ def realtime_factor(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cache_status(spark: SparkSession, folder: str) -> DataFrame:
-    c = load(spark, folder, "chunks").agg(F.countDistinct("seq").alias("chunks"))
-    p = load(spark, folder, "profiles").agg(F.countDistinct("profile").alias("profiles"))
-    return c.join(p, F.lit(True))
+    c = load(spark, folder, "chunks").select(F.struct(F.lit(0).alias("t"), F.col("seq").cast("string").alias("k")).alias("x")).where("x.k is not null")
+    p = load(spark, folder, "profiles").select(F.struct(F.lit(1).alias("t"), F.col("profile").alias("k")).alias("x")).where("x.k is not null")
+    x = c.unionByName(p).distinct()
+    return x.agg(F.count_if(F.col("x.t") == 0).alias("chunks"), F.count_if(F.col("x.t") == 1).alias("profiles"))
 
 
 # --- stores --------------------------------------------------------------------------------------------------------
@@ -258,7 +259,7 @@ def name_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
-    """ASCII glossary words against the film's first hundred known names: nearest within one or two edits, first wins."""
+    """ASCII glossary words against the film's earlier names with the same first letter: nearest within one or two edits, first wins."""
     g = _glossary(spark, folder).where("source rlike '^[A-Za-z]{4,}$'").select("media", "target", "source", "seq")
     known = g.groupBy("media", "target", "source").agg(F.min("seq").alias("ord"))
     a = known.select("media", "target", F.col("source").alias("name"), F.lower(F.substring("source", 1, 1)).alias("c"), F.col("ord").alias("mine"))

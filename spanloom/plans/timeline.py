@@ -91,7 +91,10 @@ def coverage_strip(spark: SparkSession, folder: str) -> DataFrame:
 
     def window(islands: DataFrame) -> DataFrame:
         r = islands.select("profile", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
-        x = s.join(r, "profile").where("b > position_ms and a < position_ms + 90000")
+        # either side stands in the 90 s buckets it meets; a pair that meets in two counts once
+        near = s.withColumn("bucket", F.explode(F.array(F.floor(F.col("position_ms") / 90_000), F.floor(F.col("position_ms") / 90_000) + 1)))
+        r = r.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / 90_000), F.floor((F.col("b") - 1) / 90_000))))
+        x = near.join(r, ["profile", "bucket"]).where("b > position_ms and a < position_ms + 90000").select("k", "position_ms", "a", "b").distinct()
         lo, hi = spans.clip(F.col("a"), F.col("b"), F.col("position_ms"), F.col("position_ms") + 90_000)
         return x.select("k", lo.alias("start_ms"), hi.alias("end_ms")).where("start_ms < end_ms")
 
