@@ -161,8 +161,13 @@ def _marked_cues(df: DataFrame, owner: Column, pause_ms: int, chunk_ms: int) ->
     whole = F.array_join(F.col("cues.text"), _SEP)
     texts = texts.withColumn("parts", F.split(F.when(F.col("cues")[0]["alone"], whole).otherwise(marked(whole)), _SEP))
     texts = texts.withColumn("block", F.struct(F.col("cues")[0]["start_ms"].alias("at"), F.col("cues")[0]["id"].alias("id")))
-    each = texts.select("owner", "block", "cues", F.size("cues").alias("n"), F.posexplode("parts").alias("k", "part"))
-    return each.select("owner", "block", "k", F.element_at("cues", F.col("k") + 1).alias("cue"), (F.col("k") + 1 == F.col("n")).alias("last"), F.split("part", _END).alias("bits"))
+    each = texts.select("owner", "block", F.size("cues").alias("n"), F.posexplode(F.arrays_zip("cues", "parts")).alias("k", "x"))
+    return each.select("owner", "block", "k", F.col("x.cues").alias("cue"), (F.col("k") + 1 == F.col("n")).alias("last"), F.split("x.parts", _END).alias("bits"))
+
+
+def _places(bits: str) -> Column:
+    """Where each bit of a cue's text ends."""
+    return F.aggregate(bits, F.array().cast("array<int>"), lambda a, b: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + F.length(b)))
 
 
 def sentence_ends(df: DataFrame, owner: Column, pause_ms: int = PAUSE_MS, chunk_ms: int = CHUNK_MS) -> DataFrame:
@@ -179,8 +184,7 @@ def sentence_ends(df: DataFrame, owner: Column, pause_ms: int = PAUSE_MS, chunk_
     each = _marked_cues(df, owner, pause_ms, chunk_ms)
     # the text after the last sign ends a sentence where the block ends
     tail = F.when(F.col("last") & F.element_at("bits", -1).rlike(_WORD), F.array(F.length(F.regexp_replace(F.array_join("bits", ""), "[\\s\\u00a0\\u3000]+$", "")))).otherwise(F.array().cast("array<int>"))
-    inner = F.transform(F.sequence(F.lit(1), F.size("bits") - 1), lambda i: F.length(F.array_join(F.slice("bits", 1, i), "")))
-    inner = F.when(F.size("bits") > 1, inner).otherwise(F.array().cast("array<int>"))
+    inner = F.slice(_places("bits"), F.lit(1), F.size("bits") - 1)
     real_end = F.when(F.col("cue.end_ms") > -(1 << 62), F.col("cue.end_ms"))
     return each.select("owner", F.col("cue.id").alias("cue_id"), F.explode(F.concat(inner, tail)).alias("end_pos"), F.col("cue.start_ms").alias("start_ms"), real_end.alias("end_ms"))
 
@@ -193,8 +197,7 @@ def sentences(df: DataFrame, owner: Column, pause_ms: int = PAUSE_MS, chunk_ms:
     """
     each = _marked_cues(df, owner, pause_ms, chunk_ms)
     # placeholders are as long as what they stand for, so each bit is given back from its place in the raw text
-    behind = lambda i: F.length(F.array_join(F.slice("bits", F.lit(1), i), ""))
-    each = each.withColumn("bits", F.transform("bits", lambda b, i: restored(b, F.col("cue.text"), behind(i) + 1)))
+    each = each.withColumn("ends", _places("bits")).withColumn("bits", F.transform("bits", lambda b, i: restored(b, F.col("cue.text"), F.coalesce(F.get("ends", i - 1), F.lit(0)) + 1)))
     w = Window.partitionBy("owner", "block").orderBy("k")
     before = F.coalesce(F.sum(F.size("bits") - 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     x = each.withColumn("before", before).select("owner", "block", "k", "cue", "before", F.posexplode("bits").alias("j", "bit")).where(F.col("bit").rlike("\\S"))

@@ -74,3 +74,9 @@ def test_whole_sentences(spark):
     df = spark.createDataFrame(cues, "p string, id string, start_ms long, end_ms long, text string, owner string")
     got = sorted((r.start_ms, r.first_id, r.last_id, r.cues, r.end_ms, r.text) for r in sentences.sentences(df, F.col("p")).collect())
     assert got == [(0, "1", "2", 2, 900, "Dr. Reed met Mrs. Fox."), (600, "2", "3", 2, None, "They left... then!"), (1000, "3", "3", 1, None, "Go."), (1100, "4", "5", 2, 1400, "予備だ。")]
+
+
+def test_long_texts(spark):
+    cues = [("a", "1", 0, 500, "One is here. " * 20_000, "")] + [("b", f"{i:05}", i * 100, i * 100 + 50, "and so on", "") for i in range(4000)]
+    ends = run(spark, cues)
+    assert len(ends) == 20_001 and ends[19_999] == ("a", "1", 20_000 * 13 - 1) and ends[-1] == ("b", "03999", 9)
