@@ -42,8 +42,9 @@ BEFORE_NAME = (
 ).split()
 #: an abbreviation if a number follows
 BEFORE_NUMBER = "no nos nr vol vols fig figs p pp pg pag pág págs ch cap chap sec art núm num n nº bd jg kap abb stk zz стр рис гл №".split()
-#: the last word of a sentence if no small letter, number or comma follows
-MAY_END = "etc usw ecc inc ltd co corp bros jr sr esq u.a u.s.w seq".split()
+#: the last word of a sentence if no small letter, number or comma follows; those of a list only inside a cue
+MAY_END = "inc ltd co corp bros jr sr esq seq".split()
+LIST_END = "etc usw ecc u.a u.s.w".split()
 MONTHS_DE = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split()
 BEFORE_ORDINAL_DE = "am zum vom dem den der des die das im beim ab bis".split()
 #: after a closing quote the sentence goes on with these (Japanese and Korean quotative particles)
@@ -72,7 +73,8 @@ DOTS = [
     # abbreviations
     f"(?={_WS}*[\\p{{L}}\\p{{N}}“«„\"])(?<={_ALONE}(?iu:{_words(BEFORE_NAME)})\\.)",
     f"(?={_WS}*\\p{{N}})(?<={_ALONE}(?iu:{_words(BEFORE_NUMBER)})\\.)",
-    f"(?={_WS}*[\\p{{Ll}}\\p{{N}},;:])(?<={_ALONE}(?iu:{_words(MAY_END)})\\.)",
+    f"(?={_WS}*(?:[\\p{{Ll}}\\p{{N}},;:]|\\p{{Lu}}{{2}}))(?<={_ALONE}(?iu:{_words(MAY_END)})\\.)",
+    f"(?=[\\s\\u00a0]*[\\p{{Ll}}\\p{{N}},;:])(?<={_ALONE}(?iu:{_words(LIST_END)})\\.)",
     # German ordinals
     f"(?={_WS}+\\p{{L}})(?<=\\p{{N}}\\.)(?<={_ALONE}(?:{'|'.join(BEFORE_ORDINAL_DE)}){_WS}\\p{{N}}{{1,4}}\\.)",
     f"(?={_WS}+(?:{'|'.join(MONTHS_DE)})\\b)(?<=\\p{{N}}\\.)",

@@ -76,6 +76,11 @@ def test_whole_sentences(spark):
     assert got == [(0, "1", "2", 2, 900, "Dr. Reed met Mrs. Fox."), (600, "2", "3", 2, None, "They left... then!"), (1000, "3", "3", 1, None, "Go."), (1100, "4", "5", 2, 1400, "予備だ。")]
 
 
+def test_list_ends_with_the_cue(spark):
+    cues = [("a", "1", 0, 500, "the keys, etc.", ""), ("a", "2", 600, 900, "run", ""), ("a", "3", 1000, 1200, "Fox Inc.", ""), ("a", "4", 1300, 1400, "sent it, etc. and more.", "")]
+    assert run(spark, cues) == [("a", "1", 14), ("a", "4", 23)]
+
+
 def test_long_texts(spark):
     cues = [("a", "1", 0, 500, "One is here. " * 20_000, "")] + [("b", f"{i:05}", i * 100, i * 100 + 50, "and so on", "") for i in range(4000)]
     ends = run(spark, cues)
