@@ -248,8 +248,7 @@ def srt_stamps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def digest_ids(spark: SparkSession, folder: str) -> DataFrame:
-    x = _cues(spark, folder).where(F.col("text").rlike("^[A-Za-z ,.!?]+\\z"))
-    return x.select("profile", "id", F.substring(tx.digest(tx.json_string(F.col("profile")), F.col("start_ms"), F.col("end_ms"), tx.json_string(F.col("text"))), 1, 24).alias("digest"))
+    return _cues(spark, folder).select("profile", "id", F.substring(tx.digest(tx.json_string(F.col("profile")), F.col("start_ms"), F.col("end_ms"), tx.json_string(F.col("text"))), 1, 24).alias("digest"))
 
 
 def name_tokens(spark: SparkSession, folder: str) -> DataFrame:
