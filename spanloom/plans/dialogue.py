@@ -258,13 +258,18 @@ def name_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
-    """ASCII glossary words against the film's earlier names with the same first letter: nearest within one or two edits, first wins."""
-    g = _glossary(spark, folder).where("source rlike '^[A-Za-z]{4,}$'").select("media", "target", "source", "seq")
-    known = g.groupBy("media", "target", "source").agg(F.min("seq").alias("ord"))
-    a = known.select("media", "target", F.col("source").alias("name"), F.lower(F.substring("source", 1, 1)).alias("c"), F.col("ord").alias("mine"))
-    b = known.select("media", "target", F.col("source").alias("known"), F.lower(F.substring("source", 1, 1)).alias("c"), "ord")
+    """Glossary sources of four or more characters against the film's earlier ones of any length with the same first letter.
+
+    The nearest within one or two edits counts, the first learned of equally near ones.
+    """
+    x = _glossary(spark, folder).groupBy("media", "target", F.col("source").alias("known")).agg(F.min("seq").alias("ord"))
+    x = x.withColumn("k", tx.casefold(F.col("known"))).withColumn("c", tx.casefold(F.substring("known", 1, 1)))
+    a = x.where(F.length("known") >= 4).select("media", "target", F.col("known").alias("name"), F.col("k").alias("n"), F.substring("k", 1, 1).alias("c"), F.col("ord").alias("mine"))
+    # an edit changes the length by one at most, so only near lengths meet
+    a = a.withColumn("len", F.explode(F.sequence(F.length("n") - 2, F.length("n") + 2)))
+    b = x.withColumn("len", F.length("k"))
     most = F.when(F.greatest(F.length("name"), F.length("known")) <= 5, 1).otherwise(2)
-    x = a.join(b, ["media", "target", "c"]).where("name <> known and ord < mine").withColumn("d", F.levenshtein(F.lower("name"), F.lower("known"))).where(F.col("d") <= most)
+    x = a.join(b, ["media", "target", "c", "len"]).where("ord < mine").withColumn("d", F.levenshtein("n", "k", 2)).where((F.col("d") >= 0) & (F.col("d") <= most))
     return x.groupBy("media", "target", "name").agg(F.min_by("known", F.struct("d", "ord")).alias("known"), F.min("d").alias("d"))
 
 

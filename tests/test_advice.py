@@ -3,6 +3,9 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
+from spanloom.functions import text as tx
 from spanloom.plans import dialogue
 
 
@@ -19,3 +22,36 @@ def test_digest_ids_of_any_text(spark, tmp_path):
     folder = write(spark, tmp_path, "cues", [('p"1', "m", str(i), 10 * i, 10 * i + 5, t) for i, t in enumerate(texts)], CUES)
     want = {str(i): hashlib.sha256(json.dumps(['p"1', 10 * i, 10 * i + 5, t], ensure_ascii=False).encode()).hexdigest()[:24] for i, t in enumerate(texts)}
     assert {r.id: r.digest for r in dialogue.digest_ids(spark, folder).collect()} == want
+
+
+GLOSSARY = "seq long, media string, target string, source string, rendering string, first_ms long"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last = row
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_casefold(spark):
+    new = {0x1C89, 0xA7CB, 0xA7CC, 0xA7DA, 0xA7DC, *range(0x10D50, 0x10D66)}  # of Unicode 16, which the JVM doesn't know
+    df = spark.createDataFrame([(chr(i),) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000 and i not in new] + [("ΟΔΟΣ",), ("Straße",)], "t string")
+    assert [r.t for r in df.select("t", tx.casefold(F.col("t")).alias("f")).collect() if r.f != r.t.casefold()] == []
+
+
+def test_fuzzy_names_of_any_script(spark, tmp_path):
+    names = ["Ann", "Anna", "José Marín", "Jose Marin", "Jean-Luc", "Jean-Lux", "O'Brien", "O’Brian", "St. Ann", "St Ann", "Надежда", "Надежна", "надежда", "さくらもち", "さくらもじ", "Мир", "Миру", "Straße", "STRASSE", "Penhallow", "Penhalow", "Penhalo", "Pen", "Élan", "elan", "ΟΔΟΣ", "οδοσα", "Al"]
+    folder = write(spark, tmp_path, "glossary", [(i, m, "ja", n, "x", 0) for m, order in (("m", names), ("w", names[::-1])) for i, n in enumerate(order)], GLOSSARY)
+    want = {}
+    for m, order in (("m", names), ("w", names[::-1])):
+        for i, n in enumerate(order):
+            if len(n) >= 4:
+                near = [(d, j, k) for j, k in enumerate(order[:i]) if k[:1].casefold() == n.casefold()[:1] and (d := distance(n.casefold(), k.casefold())) <= (1 if max(len(n), len(k)) <= 5 else 2)]
+                if near:
+                    want[m, n] = (min(near)[2], min(near)[0])
+    assert {(r.media, r.name): (r.known, r.d) for r in dialogue.fuzzy_names(spark, folder).collect()} == want
+    assert want["m", "Jose Marin"] == ("José Marín", 2) and want["m", "Anna"] == ("Ann", 1)
