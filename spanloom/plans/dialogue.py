@@ -252,8 +252,8 @@ def digest_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of documents that look like names or acronyms, with how often they stand."""
-    x = load(spark, folder, "documents").where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    """Words of documents that look like names or acronyms, without a possessive ending, with how often they stand."""
+    x = load(spark, folder, "documents").where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(measures.WORD), F.lit(0))).alias("w")).select(tx.without_possessive(F.col("w")).alias("w"))
     return x.where(tx.looks_like_name(F.col("w")) | tx.is_acronym(F.col("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.any_value(tx.is_acronym(F.col("w"))).alias("acronym"))
 
 

@@ -55,3 +55,11 @@ def test_fuzzy_names_of_any_script(spark, tmp_path):
                     want[m, n] = (min(near)[2], min(near)[0])
     assert {(r.media, r.name): (r.known, r.d) for r in dialogue.fuzzy_names(spark, folder).collect()} == want
     assert want["m", "Jose Marin"] == ("José Marín", 2) and want["m", "Anna"] == ("Ann", 1)
+
+
+def test_name_tokens_of_any_script(spark, tmp_path):
+    texts = ["Renée met Schlüter, Jean-Luc and O’Brien.", "Надежда и Schlüter's NATO, США, a Schlüter.", "Hansens' Ningún dog; McCoy II"]
+    folder = write(spark, tmp_path, "documents", [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {"Renée": 1, "Schlüter": 3, "Jean-Luc": 1, "Надежда": 1, "NATO": 1, "США": 1, "Hansens": 1, "Ningún": 1, "McCoy": 1, "II": 1}
+    got = {r.w: (r.n, r.acronym) for r in dialogue.name_tokens(spark, folder).collect()}
+    assert got == {w: (n, w.isupper()) for w, n in want.items()}
