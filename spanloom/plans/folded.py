@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import folds, models
@@ -23,7 +23,9 @@ def _blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def sentence_groups(spark: SparkSession, folder: str) -> DataFrame:
     schema = "profile string, block long, id string, start_ms long, end_ms long, text string, unit long, continues boolean"
-    return folds.fold(_blocks(spark, folder), ["profile", "block"], _ORDER, folds.sentence_units, schema)
+    w = Window.partitionBy("profile").orderBy(*_ORDER)
+    x = _blocks(spark, folder).withColumn("before", F.when(F.lag("block").over(w) < F.col("block"), F.lag("text").over(w)))
+    return folds.fold(x, ["profile", "block"], _ORDER, folds.sentence_units, schema)
 
 
 def _words(rows: list[dict]) -> list[dict]:

@@ -6,7 +6,8 @@ import json
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.plans import dialogue
+from spanloom.operators import folds
+from spanloom.plans import dialogue, folded
 
 
 def write(spark, folder, table, rows, schema):
@@ -63,3 +64,11 @@ def test_name_tokens_of_any_script(spark, tmp_path):
     want = {"Renée": 1, "Schlüter": 3, "Jean-Luc": 1, "Надежда": 1, "NATO": 1, "США": 1, "Hansens": 1, "Ningún": 1, "McCoy": 1, "II": 1}
     got = {r.w: (r.n, r.acronym) for r in dialogue.name_tokens(spark, folder).collect()}
     assert got == {w: (n, w.isupper()) for w, n in want.items()}
+
+
+def test_sentence_groups_continue_across_blocks(spark, tmp_path):
+    texts = ["We were", "going home.", "Then he", "left and", "She stayed."]
+    folder = write(spark, tmp_path, "cues", [(p, "m", str(i), 20_000 * i, 20_000 * i + 900, t) for p in "pq" for i, t in enumerate(texts)], CUES)
+    got = sorted((r.profile, r.id, r.block, r.continues) for r in folded.sentence_groups(spark, folder).collect())
+    assert got == [(p, str(i), i + 1, i > 0 and not folds.finished(texts[i - 1])) for p in "pq" for i in range(5)]
+    assert [x[-1] for x in got[:5]] == [False, True, False, True, True]
