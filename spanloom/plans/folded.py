@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import folds, models
 from spanloom.plans import frames as fr
+from spanloom.session import materialize
 from spanloom.sources import captions
-from spanloom.sources.tables import load
+from spanloom.sources.tables import key_of, load
 from spanloom.streaming import sessions
 
 _ORDER = ["start_ms", "end_ms", "id"]
 #: No rule reaches across a longer pause.
 PAUSE = 7000
+#: Languages of Latin script that films are heard in.
+_LATIN = "en eng de deu ger es spa fr fra fre it ita pt por".split()
 
 
 def _blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,10 +70,33 @@ def speech_segments(spark: SparkSession, folder: str) -> DataFrame:
     return folds.fold(x, ["user_id", "day"], ["ts", "event_id"], rule, "user_id long, day date, start long, end long")
 
 
+def _latin_films(spark: SparkSession, folder: str, x: DataFrame) -> DataFrame:
+    """Profiles most of whose chunks of known language are in one of Latin script or, as labels may be wrong, most of whose letters in ``x`` are."""
+    c = load(spark, folder, "chunks").select(key_of("profile").alias("profile"), "seq", F.regexp_extract(F.lower("payload.language.code"), "[a-z]+", 0).alias("code")).where("profile is not null").distinct()
+    c = c.where(~F.col("code").isin("", "und", "auto")).groupBy("profile").agg((F.count_if(F.col("code").isin(_LATIN)) * 2 > F.count(F.lit(1))).alias("said"))
+    n = lambda letters: F.sum(F.length(F.regexp_replace("text", f"[^{letters}]", "")))
+    t = x.groupBy("profile").agg((n("\\p{IsLatin}") * 2 > n("\\p{L}")).alias("shown"))
+    return t.join(c, "profile", "left").where(F.col("shown") | F.coalesce("said", F.lit(False))).select("profile")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [{"profile": r["profile"], "block": r["block"], "head": run[0][0] if run[0][1] else None, "rest": [w for w, first in run if not first]} for r in b.to_pylist() for run in folds.name_runs(r["text"])]
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("profile", pa.string()), ("block", pa.int64()), ("head", pa.string()), ("rest", pa.list_(pa.string()))]))
+
+
 def film_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Names that cues of Latin-script films bring up, per block of a profile."""
-    rule = lambda rows: [{"name": n} for n in folds.proper_nouns([r["text"] for r in rows], most=None)]
-    return folds.fold(_blocks(spark, folder).where(F.col("text").rlike("[A-Za-z]")), ["profile", "block"], _ORDER, rule, "profile string, block long, name string")
+    """Names that cues of films in a language of Latin script bring up, per block of a profile.
+
+    A word that begins a sentence counts if it stands inside one anywhere in the film: those words are gathered per
+    profile first, then joined to the runs of each block.
+    """
+    x = _blocks(spark, folder).select("profile", "block", "text")
+    x = x.join(_latin_films(spark, folder, x), "profile", "left_semi")
+    runs = materialize(x.mapInArrow(_runs, "profile string, block long, head string, rest array<string>"), "names")
+    inside = runs.select("profile", F.explode("rest").alias("head")).distinct().withColumn("inside", F.lit(True))
+    words = F.concat(F.when(F.col("inside"), F.array("head")).otherwise(F.array().cast("array<string>")), "rest")
+    return runs.join(inside, ["profile", "head"], "left").select("profile", "block", F.array_join(words, " ").alias("name")).where("name <> ''").distinct()
 
 
 def srt_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -72,3 +72,12 @@ def test_sentence_groups_continue_across_blocks(spark, tmp_path):
     got = sorted((r.profile, r.id, r.block, r.continues) for r in folded.sentence_groups(spark, folder).collect())
     assert got == [(p, str(i), i + 1, i > 0 and not folds.finished(texts[i - 1])) for p in "pq" for i in range(5)]
     assert [x[-1] for x in got[:5]] == [False, True, False, True, True]
+
+
+def test_film_names_of_the_whole_film(spark, tmp_path):
+    texts = ["We saw Umberto.", "Umberto left.", "Oriana Bell came. Then Надя spoke.", "走れ"]
+    films = {"a": "eng", "b": "JA", "c": None, "d": "ja"}  # d's label is wrong
+    write(spark, tmp_path, "cues", [(p, p, f"{p}{i}", 20_000 * i, 20_000 * i + 900, t + "走れ" * 40 * (p == "b")) for p in films for i, t in enumerate(texts)], CUES)
+    folder = write(spark, tmp_path, "chunks", [(p, i, ({"code": code},)) for p, code in films.items() for i in range(2)], "profile string, seq long, payload struct<language struct<code string>>")
+    want = [(p, k, n) for p in "acd" for k, n in ((1, "Umberto"), (2, "Umberto"), (3, "Bell"), (3, "Надя"))]
+    assert sorted((r.profile, r.block, r.name) for r in folded.film_names(spark, folder).collect()) == want
