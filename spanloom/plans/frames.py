@@ -14,6 +14,32 @@ def sql_key(col: str) -> str:
     return f"lower(trim({col}, {_BLANKS}))"
 
 
+_BL = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x1c-\\x1f]"
+
+
+def sql_strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{_BL}+|{_BL}+$', '', 'g')"
+
+
+def sql_bare(text: str) -> str:
+    """Without blanks at either end and without closing marks behind."""
+    return f"regexp_replace({sql_strip(text)}, '[''\"”’)\\]}}】」』]+$', '')"
+
+
+def sql_joined(texts: str) -> str:
+    """Stripped texts joined by blanks, none between two ideographs or kana; two passes, for a match takes both neighbours."""
+    tight = lambda t: f"regexp_replace({t}, '([\\x{{3000}}-\\x{{9fff}}]) ([\\x{{3000}}-\\x{{9fff}}])', '\\1\\2', 'g')"
+    return tight(tight(f"array_to_string(list_filter({texts}, lambda x: x <> ''), ' ')"))
+
+
+def sql_clean(text: str) -> str:
+    return sql_strip(f"regexp_replace(regexp_replace({text}, '<[^>]*>|\\{{[^}}]*\\}}', '', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g')")
+
+
+def sql_stamp(ms: str) -> str:
+    return f"printf('%02d:%02d:%02d,%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+
+
 def cues(spark: SparkSession, folder: str) -> DataFrame:
     """Heard cues with a key, a text and a possible interval, each once."""
     x = load(spark, folder, "cues").select(key_of("profile").alias("profile"), key_of("media").alias("media"), "id", "start_ms", "end_ms", "text")

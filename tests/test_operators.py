@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import folds, joins, measures, models, replies, spans, store
+from spanloom.operators import folds, joins, measures, models, nouns, replies, spans, store
 from spanloom.sources import captions
 from spanloom.streaming import sessions
 
@@ -84,30 +84,173 @@ def test_text_rules(spark):
     assert df.select(tx.join_texts(F.col("a")).alias("x")).first().x == "今日は good day"
 
 
-def test_folds():
-    u = lambda a, b, t: {"start_ms": a, "end_ms": b, "text": t}
-    assert folds.coalesce_instant([u(0, 100, "go"), u(100, 100, "to"), u(160, 400, "town")]) == ([u(0, 100, "go"), u(100, 400, "to town")], None)
-    assert folds.coalesce_instant([u(0, 100, "go"), u(100, 100, "to"), u(5000, 5400, "town")])[0] == [u(0, 100, "go to"), u(5000, 5400, "town")]
-    assert folds.hysteresis([0.9] * 7, 7 * 512) == [] and folds.hysteresis([0.9] * 10, 10 * 512) == [(0, 5120)]
+def u(a, b, t):
+    return {"start_ms": a, "end_ms": b, "text": t}
+
+
+def told(words):
+    return [(w["start_ms"], w["end_ms"], w["text"], w.get("joined", False)) for w in words]
+
+
+def c(i, a, b, t):
+    return {"id": i, "start_ms": a, "end_ms": b, "text": t}
+
+
+def test_instant_words():
+    def got(*words):
+        kept, cut, reason = folds.coalesce_instant([u(*w) for w in words])
+        return told(kept), cut, reason
+
+    assert got((0, 100, "we"), (100, 100, "a"), (160, 400, "re")) == ([(0, 100, "we", False), (100, 400, "a re", True)], None, None)
+    # more than three in a row, none of them at the end of the word before
+    assert got((0, 300, "p"), (300, 600, "q"), *[(700, 700, x) for x in "abcd"], (900, 1200, "r")) == ([(0, 300, "p", False), (300, 600, "q", False)], 700, "span")
+    assert got((0, 300, "p"), (400, 400, "q"), (2100, 2400, "r")) == ([(0, 300, "p", False)], 400, "span")
+    # at the end the stretched word goes as well
+    assert got((0, 300, "p"), (9000, 11_100, "q"), (11_100, 11_100, "r")) == ([(0, 300, "p", False)], 9000, "end")
+    assert got((0, 300, "p"), (700, 700, "q")) == ([(0, 700, "p q", True)], None, None)
+    assert got((5, 5, "alone")) == ([], 5, "end")
+    # endings join the word they lie on, what is left the next one
+    assert got((100, 500, "4"), (500, 500, "5"), (500, 500, "0"), (3000, 3000, "p"), (3040, 3300, "q")) == ([(100, 500, "4 5 0", True), (3000, 3300, "p q", True)], None, None)
+    assert got((0, 500, "p"), *[(500, 500, x) for x in "abcd"], (3000, 3200, "q"))[1:] == (500, "span")
+    assert got((0, 300, "p"), (300, 2300, "long"), (2300, 2300, "q"), (5000, 5200, "r"))[1:] == (2300, "span")
+
+
+def test_instant_words_before_a_window():
+    kept, cut, reason, skipped = folds.coalesce_owned([u(0, 0, "p"), u(1600, 1760, "q"), u(1760, 2080, "r")], 1000)
+    assert [w["text"] for w in kept] == ["q", "r"] and (cut, reason) == (None, None) and [w["text"] for w in skipped] == ["p"]
+    words = [u(1200, 1500, "p"), u(1600, 1600, "q"), u(4000, 4200, "r")]
+    assert folds.coalesce_owned(words, 1000) == (words[:1], 1600, "span", [])
+    assert folds.coalesce_owned(words, 0) == (*folds.coalesce_instant(words), [])
+
+
+def test_seam_phantoms():
+    left = [u(200, 600, "p"), u(650, 990, "q")]
+    assert folds.drop_seam_phantoms([*left, u(1000, 1040, "x"), u(8800, 9200, "r")], 1000) == ([*left, u(8800, 9200, "r")], 1)
+    chain = [u(960, 1040, "a"), u(1040, 1080, "b"), u(1080, 1120, "c"), u(1120, 1160, "d"), u(6000, 6400, "e")]
+    assert folds.drop_seam_phantoms(chain, 1000) == (chain[3:], 3)
+    for kept in ([u(1000, 1400, "p"), u(1500, 1900, "q")], [u(3000, 3080, "p"), u(6000, 6400, "q")], [u(1000, 1040, "alone")]):
+        assert folds.drop_seam_phantoms(kept, 1000) == (kept, 0)
+
+
+def test_transcripts():
+    assert folds.transcript_after("Well, go. (Now run)", ["well", "GO"]) == " (Now run)"
+    assert folds.transcript_after("走れ。いま", ["走", "れ"]) == "いま" and folds.transcript_after("Well", ["Well"]) == ""
+    assert folds.transcript_after("Well", ["ill"]) is None and folds.transcript_after("Well", ["Welles"]) is None
+    assert folds.restore_transcript(["Go", "now", "he", "said"], "“Go, now!” he said.") == ["“Go,", " now!”", " he", " said."]
+    assert folds.restore_transcript(["he", "said", "go"], "He said: “Go!”") == ["He", " said:", " “Go!”"]
+    assert folds.restore_transcript(["go"], "went") is None and folds.restore_transcript(["go", "?"], "go ?") is None and folds.restore_transcript([], "") is None
+    assert folds.restore_transcript(["Go", "now"], "Go, now. 「Then」 on", prefix=True) == ["Go,", " now."]
+    assert folds.restore_transcript(["stras", "se"], "straße") is None  # two words share a character
+    assert folds.valid_units([u(0, 10, "a"), u(10, 20, "b")], 20, "A, b!") and not folds.valid_units([u(0, 10, "a"), u(10, 20, "b")], 20, "A b c")
+    assert folds.valid_units([u(0, 10, "a"), u(10, 20, "b")], 20, "A b c", prefix=True) and not folds.valid_units([u(0, 10, "b")], 20, "A b", prefix=True)
+    for bad in ([], [u(-1, 2, "a")], [u(3, 2, "a")], [u(0, 0, "a")], [u(0, float("nan"), "a")], [u(0, 1100, "a")], [u(0, 10, "a"), u(5, 20, "b")], [u(0, 10, " ")]):
+        assert not folds.valid_units(bad, 1000, "ab", prefix=True)
+
+
+def test_assemble():
+    def got(*words, **kw):
+        return [(x["start_ms"], x["end_ms"], x["text"]) for x in folds.assemble([u(*w) for w in words], **kw)]
+
+    assert got((0, 900, "We"), (950, 1800, "walked."), (1850, 1930, "I did."), (1980, 3000, "Then"), (3050, 3800, "we ran.")) == [(0, 1930, "We walked. I did."), (1980, 3800, "Then we ran.")]
+    twice = folds.assemble([u(0, 200, "yes"), u(1000, 1200, "yes")], key="p")
+    assert [x["text"] for x in twice] == ["yes", "yes"] and twice[0]["id"] != twice[1]["id"] and all(len(x["id"]) == 24 for x in twice)
+    assert got((0, 200, "a"), (250, 500, "b"), zero_ms=40_000, core_start=40_200, core_end=41_000) == [(40_250, 40_500, "b")]
+    assert got((0, 800, "今日"), (800, 1500, "は")) == [(0, 1500, "今日は")]
+    assert got((0, 900, "Go,"), (900, 1500, " now"), verbatim=True) == [(0, 1500, "Go, now")]
+    assert got((0, 1000, "one"), (1700, 2700, "two")) == [(0, 1000, "one"), (1700, 2700, "two")]
+    # a clause ends a caption that is long enough; a weak word goes with the next caption if enough is left
+    assert got((0, 1900, "well,"), (1950, 2900, "then")) == [(0, 1900, "well,"), (1950, 2900, "then")]
+    long = [(i * 400, i * 400 + 380, w) for i, w in enumerate("he told them everything about the summer and the house by sea".split())]
+    assert [t for _, _, t in got(*long)][0] == "he told them everything about the summer and the house"
+    assert [t for _, _, t in got(*[(a, b, t) for a, b, t in long[:10]], (4000, 4600, "of"), (4620, 5200, "stone"))][0] == "he told them everything about the summer and the house"
+    assert got() == []
+
+
+def test_sentence_units():
+    def got(*cues):
+        x = folds.sentence_units([c(str(i), *q) for i, q in enumerate(cues)])
+        return [r["unit"] for r in x], {r["unit"] for r in x if r["continues"]}
+
+    assert got((0, 500, "We"), (600, 1500, "went home."), (1600, 2500, "So then"), (2500, 3200, "we slept.")) == ([0, 0, 1, 1], set())
+    assert got((0, 400, "Wait"), (4000, 4400, "for me.")) == ([0, 1], {1})
+    assert got(*[(i * 2000, i * 2000 + 1900, "word") for i in range(5)]) == ([0, 0, 0, 1, 1], {1})
+    assert got((0, 1000, "x" * 50), (1000, 2000, "y" * 50))[0] == [0, 1]
+    assert got((0, 1600, "Wait"), (3680, 4080, "and see."))[0] == [0, 0] and got((0, 1600, "Wait"), (3680, 4080, "Ann is here."))[0] == [0, 1]
+    assert got((0, 1600, "Wait"), (5000, 5080, "no."))[0] == [0, 1]
+    assert got((0, 1520, "彼の名は"), (3840, 3920, "だった。"))[0] == [0, 0] and got((0, 1600, "見ろよ"), (8000, 8400, "ねえ"))[0] == [0, 1]
+    assert got((0, 1760, "島から渡っ"), (6400, 6480, "た。"))[0] == [0, 0] and got((0, 1600, "渡っ"), (7200, 7280, "た。"))[0] == [0, 1]
+    # Hangul counts as a script with case would
+    assert got((0, 1600, "그는"), (3680, 4080, "갔다"))[0] == [0, 1]
+    # a tail that doesn't fit takes the line it ends along
+    assert got((0, 2160, "彼の本当の名は、"), (3840, 5360, "本当に彼"), (7680, 7760, "だった。")) == ([0, 1, 1], {1})
+
+
+def test_hold_back():
+    x = [c("a", 500, 2500, "Not one."), c("b", 3000, 3400, "We")]
+    assert folds.hold_back(x, 0, 4000, 2000) == (x[:1], 3000) and folds.hold_back(x[:1], 0, 4000, 2000) is None and folds.hold_back([], 0, 4000, 2000) is None
+    tail = [c("a", 500, 2500, "Done."), c("b", 3000, 9000, "and then on and on")]
+    assert folds.hold_back(tail, 0, 9500, 2000) is None and folds.hold_back(tail, 0, 9500, 2000, 7000) == (tail[:1], 3000)
+    short = [c("a", 500, 1500, "Short."), c("b", 1600, 3000, "We")]
+    assert folds.hold_back(short, 0, 4000, 2000) is None and folds.hold_back(short, 0, 4000, 1000) == (short[:1], 1600)
+    assert folds.hold_back([c("a", 2500, 3000, "We"), c("b", 3100, 4000, "go")], 0, 5000, 2000) == ([], 2500)
+
+
+def test_speech():
+    at = lambda ms: round(ms * 16 / 512)
+    assert folds.hysteresis([0.1, 0.49, 0.3] * 50, 150 * 512) == []
+    assert folds.hysteresis([0.0] * 5 + [0.9] * at(224) + [0.0] * 10, (15 + at(224)) * 512) == []
+    assert folds.hysteresis([0.0] * 5 + [0.9] * at(320) + [0.0] * 10, (15 + at(320)) * 512) == [(5 * 512, (5 + at(320)) * 512)]
     assert folds.hysteresis([0.9] * 10 + [0.1] * 2 + [0.9] * 10 + [0.0] * 10, 32 * 512) == [(0, 22 * 512)]
-    assert folds.hysteresis([0.9] * 10 + [0.4] * 10, 20 * 512) == [(0, 20 * 512)]
-    assert [x["text"] for x in folds.drop_seam_phantoms([u(1000, 1050, "a"), u(1060, 1500, "b")], 1000, 1100)] == ["b"]
-    assert folds.transcript_after("Well, go. (Now run)", "well GO") == "(Now run)"
-    assert folds.transcript_after("Well", "ill") is None
-    assert folds.restore_transcript("“Go, now!” he said.", ["go", "now", "he", "said"]) == ["“Go,", "now!”", "he", "said."]
-    assert folds.restore_transcript("go", ["went"]) is None
-    c = lambda i, a, b, t: {"id": i, "start_ms": a, "end_ms": b, "text": t}
-    units = folds.sentence_units([c("1", 0, 900, "We go"), c("2", 1000, 1900, "home."), c("3", 2000, 2500, "Yes"), c("4", 9000, 9500, "No.")])
-    assert [(x["unit"], x["continues"]) for x in units] == [(0, False), (0, False), (1, False), (2, True)]
-    kept = folds.keep_unless_overlap([c("1", 0, 1000, "a"), c("2", 100, 900, "a"), c("3", 500, 1500, "b"), c("4", 1000, 1200, "c")])
-    assert [(x["id"], x["conflict"]) for x in kept] == [("1", False), ("3", True), ("4", False)]
-    assert folds.accept_names([("Al", "X"), ("Alice", "X"), ("Bo", "Y")], ["Alice and Bo"], {"Zed": "Y"}) == {"Alice": "X"}
-    ready, held = folds.hold_back([c("1", 0, 900, "Go."), c("2", 1000, 1500, "and")])
-    assert (len(ready), len(held)) == (1, 1)
-    assert folds.valid_units([u(0, 10, "a"), u(10, 20, "b")], 20, "A b c") and not folds.valid_units([u(0, 10, "a"), u(5, 20, "b")], 20)
-    assert folds.proper_nouns(["Then Nash met Anna Bell.", "Anna ran."], known=["Nash"]) == ["Anna Bell", "Anna"]
-    caps = folds.assemble([u(i * 300, i * 300 + 240, w) for i, w in enumerate("this is a rather long line of words that runs on and on until it must be cut somewhere".split())])
-    assert " ".join(x["text"] for x in caps).split()[-1] == "somewhere" and all(x["end_ms"] - x["start_ms"] <= 4500 for x in caps) and len(caps) > 1
+    # four quiet frames reach 96 ms only
+    assert folds.hysteresis([0.9] * 12 + [0.1] * 4 + [0.9] * 12, 28 * 512) == [(0, 28 * 512)]
+    assert folds.hysteresis([0.9] * 12 + [0.1] * 5 + [0.9] * 12, 29 * 512) == [(0, 12 * 512), (17 * 512, 29 * 512)]
+    assert folds.hysteresis([0.9] * 5 + [0.4] * 20 + [0.0] * 10, 35 * 512) == [(0, 25 * 512)]
+    assert folds.speech_detail([0.9] * 25 + [0.0] * 10, 35 * 512) == {"top": 0.9, "speech_ms": 800} and folds.speech_detail([], 0) == {"top": 0.0, "speech_ms": 0}
+
+
+def test_cache_and_names():
+    kept = folds.keep_unless_overlap([c("1", 0, 1000, "a"), c("2", 100, 900, "a"), c("3", 1000, 1500, "b"), c("4", 1200, 1300, "d"), c("5", 2000, 2200, "e")])
+    assert [(x["id"], x["conflict"]) for x in kept] == [("1", False), ("3", False), ("4", True)]
+    texts = ["X und Y"]
+    assert folds.accept_names({"Al": "X", "Alice": "X", "Bo": "Y", "Cy": "Z"}, texts, {"Zed": "Y"}) == {"Alice": "X"}
+    assert folds.accept_names({"Bo": "Y"}, texts, {"Bo": "Y"}) == {"Bo": "Y"} and folds.accept_names({"Bo": "Y"}, texts, {}, ["Y"]) == {}
+
+
+def test_windows():
+    w = lambda a, b: u(a, b, "w")
+    assert folds.draft_frontier([w(0, 500), w(8500, 9500)], 0, 10_000) == 8500 and folds.draft_frontier([w(8500, 9500)], 0, 10_000, right_known=True) == 10_000
+    assert folds.draft_frontier([w(0, 500)], 0, 10_000, last=True) == 10_000 and folds.draft_frontier([], 0, 10_000, cut_ms=1500) is None
+    assert folds.draft_frontier([w(500, 9800)], 0, 10_000) == 500 and folds.draft_frontier([w(0, 9800)], 0, 10_000) is None
+    assert folds.start_from_previous([w(0, 400), w(700, 1600), w(1600, 1700)], 1000, 1000)[1]["start_ms"] == 1000
+    assert folds.start_from_previous([w(900, 1200)], 1000, 1000)[0]["start_ms"] == 900 and folds.start_from_previous([w(700, 2600)], 1000, 1000)[0]["start_ms"] == 700
+    assert folds.clip_right([w(0, 1100)], 1000)[-1]["end_ms"] == 1000 and folds.clip_right([w(0, 1300)], 1000) is None
+
+
+def test_proper_nouns():
+    texts = ["Hansen won the Carnegie prize.", "Well, he has his eye on Marlow Labs.", "Nash. Oh, Mr. Sol is here."]
+    assert nouns.proper_nouns(texts, ["Then Hansen said no."]) == (["Hansen", "Carnegie", "Marlow Labs", "Sol"], {})
+    assert nouns.proper_nouns(["Umberto is late."], []) == ([], {}) and nouns.proper_nouns(["Umberto is late."], ["I saw Umberto."]) == (["Umberto"], {})
+    assert nouns.proper_nouns(["Meet John Reed.", "Reed is late."], []) == (["John Reed", "Reed"], {})
+    assert nouns.proper_nouns(["I thank Mr. Hanson.", "Hi, Hans.", "There goes Saw."], [], ["Hansen", "Sol"]) == (["Saw"], {"Hanson": "Hansen", "Hans": "Hansen"})
+    assert nouns.proper_nouns(["STOP IT NOW."], []) == ([], {}) and nouns.proper_nouns(["She is at MIT now."], []) == (["MIT"], {}) and nouns.proper_nouns(["That is Reed's."], []) == (["Reed"], {})
+    assert len(nouns.proper_nouns(["I met Alpha, Bravo, Charlie, Delta, Echo, Foxtrot and Golf."], [])[0]) == 6
+    # a known part takes the phrase apart; a name also written small is none
+    assert nouns.proper_nouns(["We met Jon Reed there."], [], ["Reed"]) == (["Jon"], {}) and nouns.proper_nouns(["We like Rose.", "a rose", "no rose"], []) == ([], {})
+    assert nouns.match_name("Nasch", ["Nash"]) == "Nash" and nouns.match_name("Sal", ["Sol"]) is None
+    assert nouns.runs("Anna Maria Bell Reed ran – Otto's dog") == [(["Anna", "Maria", "Bell"], True), (["Reed"], False), (["Otto"], True)]
+
+
+def test_film_wide_names(spark):
+    texts = ["Hansen won the Carnegie prize.", "We saw Hansen and Hanson.", "Meet Jon Reed.", "a rose, the Rose", "Then rose Ann Bell came."]
+    df = spark.createDataFrame([(f, i, t) for f in "ab" for i, t in enumerate(texts)], "f string, i long, text string")
+    known = spark.createDataFrame([("a", "Hansen", 1), ("a", "Reed", 2), ("b", "Bell", 1)], "f string, known string, ord long")
+    found = nouns.settled(nouns.film_runs(df, ["f", "i"]), "f")
+    got = {(r.f, r.name, r.match) for r in nouns.new_and_variants(found, df, known, "f").collect()}
+    want = set()
+    for f in "ab":
+        new, variants = nouns.proper_nouns(texts, [], [r.known for r in known.collect() if r.f == f], None)
+        want |= {(f, n, None) for n in new} | {(f, n, m) for n, m in variants.items()}
+    assert got == want and ("a", "Hanson", "Hansen") in got and ("b", "Hanson", None) in got
 
 
 def test_fold_keeps_groups(spark):
@@ -174,12 +317,6 @@ def test_replies(spark):
         assert parsed(replies.verdicts, bad, ["a"]) is None
 
 
-def test_seams():
-    u = lambda a, b: {"start_ms": a, "end_ms": b, "text": "w"}
-    assert folds.draft_frontier([u(0, 500), u(8500, 9500)], 10_000, False) == 8500
-    assert folds.draft_frontier([u(0, 500)], 10_000, True) == 10_000 and folds.draft_frontier([], 10_000, False, cut_ms=1500) is None
-    assert folds.start_from_previous([u(700, 1200), u(1300, 1400)], 1000)[0]["start_ms"] == 1000
-    assert folds.start_from_previous([u(900, 1200)], 1000)[0]["start_ms"] == 900
-    assert folds.clip_right([u(0, 1100)], 1000)[-1]["end_ms"] == 1000 and folds.clip_right([u(0, 1300)], 1000) is None
+def test_streams():
     s = [{"index": 0, "language": "en"}, {"index": 1, "language": "ja"}, {"index": 2}]
     assert folds.choose_stream(s, {"language": "ja"})["index"] == 1 and folds.choose_stream(s, {"language": "fr"})["index"] == 2 and folds.choose_stream(s, {}) is None
