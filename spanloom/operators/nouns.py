@@ -117,17 +117,18 @@ def established(names: DataFrame, known: DataFrame, film: str) -> DataFrame:
     return exact.unionByName(near_names(rest, known, film).withColumnRenamed("known", "match"))
 
 
-def near_names(names: DataFrame, known: DataFrame, film: str) -> DataFrame:
+def near_names(names: DataFrame, known: DataFrame, film: str, later: bool = False) -> DataFrame:
     """(film, name, known, d): the nearest known spelling of names of four or more characters, the first of equally near ones.
 
     Both begin with the same letter but for case; one edit is allowed if the longer has up to five characters, else two.
-    An edit changes the length by one at most, so only near lengths meet.
+    An edit changes the length by one at most, so only near lengths meet. With ``later`` only spellings known before the
+    name's own place ``mine`` count.
     """
-    a = names.where(F.length("name") >= 4).select(film, "name", tx.casefold(F.col("name")).alias("_n"))
+    a = names.where(F.length("name") >= 4).select(film, "name", *["mine"] * later, tx.casefold(F.col("name")).alias("_n"))
     a = a.withColumn("_c", F.substring("_n", 1, 1)).withColumn("_len", F.explode(F.sequence(F.length("_n") - 2, F.length("_n") + 2)))
     b = known.select(film, "known", "ord", tx.casefold(F.col("known")).alias("_k"), F.substring(tx.casefold(F.substring("known", 1, 1)), 1, 1).alias("_c")).withColumn("_len", F.length("_k"))
     most = F.when(F.greatest(F.length("name"), F.length("known")) <= 5, 1).otherwise(2)
-    x = a.join(b, [film, "_c", "_len"]).withColumn("d", F.levenshtein("_n", "_k", 2)).where((F.col("d") >= 0) & (F.col("d") <= most))
+    x = a.join(b, [film, "_c", "_len"]).where("ord < mine" if later else "true").withColumn("d", F.levenshtein("_n", "_k", 2)).where((F.col("d") >= 0) & (F.col("d") <= most))
     return x.groupBy(film, "name").agg(F.min_by("known", F.struct("d", "ord", "known")).alias("known"), F.min("d").alias("d"))
 
 

@@ -1,35 +1,68 @@
-"""Model replies as JSON: all of a reply is valid or none of it."""
+"""Model replies as JSON: all of a reply is valid or none of it.
+
+Replies are parsed to VARIANT, so that types and keys are judged as they stand: a number is no text, and a key too many
+is one too many. A key that stands twice in one object makes a reply invalid.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as tx
+
 #: What shows that a model thought aloud instead of answering.
 THINKING = "<think|\\[THOUGHT\\]"
 
 
-def bracketed(reply: Column) -> Column:
-    """From the first ``[`` to the last ``]``, without a code fence or talk around it; null if there is none."""
-    found = F.regexp_extract(reply, "(?s)(\\[.*\\])", 1)
-    return F.when(found != "", found)
+def unfenced(reply: Column) -> Column:
+    """A reply without blanks around it and, if it is wholly inside one, without a JSON code fence."""
+    bare = tx.strip(reply)
+    inner = tx.strip(F.substring(bare, F.lit(8), F.length(bare) - 10))
+    return F.when(F.startswith(bare, F.lit("```json")) & F.endswith(bare, F.lit("```")) & (F.length(bare) >= 10), inner).otherwise(bare)
+
+
+def _objects(text: Column) -> Column:
+    """array<map<string,variant>> of a JSON array of objects; null for anything else."""
+    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    return F.transform(items, lambda x: F.try_variant_get(x, "$", "map<string,variant>"))
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _said(v: Column) -> Column:
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _answers(rows: Column, ids: Column) -> Column:
+    """Whether the rows' ids are the wanted ones, each once."""
+    got = F.transform(rows, lambda m: _said(m["id"]))
+    return (F.size(rows) == F.size(ids)) & (F.size(F.array_distinct(got)) == F.size(ids)) & ~F.exists(got, lambda i: i.isNull()) & (F.size(F.array_except(got, ids)) == 0)
 
 
 def translations(reply: Column, ids: Column, most: int = 1000) -> Column:
-    """array<struct<id, text>> of a reply to ``ids``, null unless it answers each id once with 1 to ``most`` characters."""
-    x = F.from_json(bracketed(reply), "array<struct<id:string,text:string>>")
-    good = F.forall(x, lambda r: F.coalesce((F.length(F.trim(r["text"])) >= 1) & (F.length(r["text"]) <= most) & ~r["text"].rlike(THINKING), F.lit(False)))
-    same = (F.size(x) == F.size(ids)) & (F.size(F.array_distinct(x["id"])) == F.size(ids)) & (F.size(F.array_except(x["id"], ids)) == 0)
-    return F.when(F.coalesce(same & good, F.lit(False)), x)
+    """array<struct<id, text>> of a reply to distinct ``ids``, null unless it answers each once.
+
+    A reply may stand in one JSON code fence but in no other talk; its objects have the keys id and text only, both
+    strings. A text is cleaned first; then it must have 1 to ``most`` characters and show no thinking aloud.
+    """
+    rows = _objects(unfenced(reply))
+    text = lambda m: tx.clean_text(_said(m["text"]))
+    good = F.forall(rows, lambda m: F.coalesce((F.array_sort(F.map_keys(m)) == F.array(F.lit("id"), F.lit("text"))) & F.length(text(m)).between(1, most) & ~text(m).rlike(THINKING), F.lit(False)))
+    return F.when(F.coalesce(good & _answers(rows, ids), F.lit(False)), F.transform(rows, lambda m: F.struct(_said(m["id"]).alias("id"), text(m).alias("text"))))
 
 
 def verdicts(reply: Column, ids: Column) -> Column:
-    """array<struct<id, score, source_ok, issue>> of a reply, null unless every id has one whole score from 1 to 5.
+    """array<struct<id, score, source_ok, issue>> in the order of distinct ``ids``, null unless each has one verdict.
 
-    A boolean or fraction is no score; issues are cut to 120 characters.
+    A score is a whole number from 1 to 5 - no boolean, fraction or text -, source_ok a boolean, and the issue a string,
+    which is cleaned and cut to 120 characters. Further keys don't matter.
     """
-    x = F.from_json(bracketed(reply), "array<struct<id:string,score:string,source_ok:string,issue:string>>")
-    good = F.forall(x, lambda r: F.coalesce(r["score"].rlike("^[1-5]$") & r["source_ok"].isin("true", "false"), F.lit(False)))
-    same = (F.size(x) == F.size(ids)) & (F.size(F.array_distinct(x["id"])) == F.size(ids)) & (F.size(F.array_except(x["id"], ids)) == 0)
-    parsed = F.transform(x, lambda r: F.struct(r["id"].alias("id"), r["score"].cast("int").alias("score"), (r["source_ok"] == "true").alias("source_ok"), F.substring(F.coalesce(r["issue"], F.lit("")), 1, 120).alias("issue")))
-    return F.when(F.coalesce(same & good, F.lit(False)), parsed)
+    rows = _objects(tx.strip(reply))
+    score = lambda m: F.when(_kind(m["score"]) == "BIGINT", F.try_variant_get(m["score"], "$", "bigint"))
+    good = F.forall(rows, lambda m: F.coalesce(score(m).between(1, 5) & (_kind(m["source_ok"]) == "BOOLEAN") & _said(m["issue"]).isNotNull(), F.lit(False)))
+    parsed = F.transform(rows, lambda m: F.struct(_said(m["id"]).alias("id"), score(m).cast("int").alias("score"), F.try_variant_get(m["source_ok"], "$", "boolean").alias("source_ok"), F.substring(tx.clean_text(_said(m["issue"])), 1, 120).alias("issue")))
+    ordered = F.transform(F.array_sort(F.transform(parsed, lambda r: F.struct(F.array_position(ids, r["id"]).alias("at"), r.alias("r")))), lambda r: r["r"])
+    return F.when(F.coalesce(good & _answers(rows, ids), F.lit(False)), ordered)

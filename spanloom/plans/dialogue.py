@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import joins, measures, replies, store
+from spanloom.operators import joins, measures, nouns, replies, store
 from spanloom.plans import frames as fr
 from spanloom.sources.tables import key_of, load
 
@@ -211,11 +211,45 @@ def ledger_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("seq", "media", "source", F.when(F.col("pin"), "pinned").when(F.col("common"), "common").otherwise("candidate").alias("reason"))
 
 
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks as batches that a model was asked about: (seq, n, cues), numbered within seq."""
+    x = load(spark, folder, "chunks").select("seq", "start_ms", "end_ms", "payload.cues").where("size(cues) > 0").distinct()
+    return x.withColumn("n", F.row_number().over(Window.partitionBy("seq").orderBy("start_ms", "end_ms", F.size("cues")))).select("seq", "n", "cues")
+
+
+#: Ways to spoil a reply: (name, what of the good reply is replaced, by what), in Spark's and RE2's common patterns.
+SPOILT = [
+    ("good", "^$", ""),
+    ("fenced", "(?s)^(.*)$", "```json\n$1\n```"),
+    ("talk", "^", "Here it is: "),
+    ("number", '"text":"[^"\\\\]*"', '"text":5'),
+    ("extra", '\\},\\{', ',"start":1},{'),
+    ("tags", '"text":"[^"\\\\]*"', '"text":" <i></i>{x} "'),
+    ("thinking", '"text":"', '"text":"<think '),
+    ("renamed", '"text":', '"Text":'),
+    ("cut", "\\]$", ""),
+]
+
+
 def reply_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks' cues as a fenced reply that must answer the ids of the chunk's own cues, all or nothing."""
-    x = load(spark, folder, "chunks").select("seq", "payload.cues").where("size(cues) > 0").distinct()
-    reply = F.concat(F.lit("```json\n"), F.to_json(F.transform("cues", lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text")))), F.lit("\n```"))
-    return x.select("seq", replies.translations(reply, F.array_distinct("cues.id")).isNotNull().alias("valid"))
+    """Replies to chunks' cues, good and spoilt: valid if each of the distinct ids is answered once, all or nothing."""
+    x = _asked(spark, folder).withColumn("good", F.to_json(F.transform("cues", lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text")))))
+    tries = F.array(*[F.struct(F.lit(name).alias("kind"), F.regexp_replace("good", pattern, to).alias("reply")) for name, pattern, to in SPOILT])
+    x = x.select("seq", "n", F.array_distinct("cues.id").alias("ids"), F.explode(tries).alias("t"))
+    return x.select("seq", "n", "t.kind", replies.translations(F.col("t.reply"), F.col("ids")).isNotNull().alias("valid"))
+
+
+#: Verdicts whose score, flag and issue are these JSON literals, and whether they are valid.
+VERDICTS = [("4", "false", '"misheard"', True), ("5", "true", '""', True), ('"4"', "true", '""', False), ("4.0", "true", '""', False), ("true", "true", '""', False), ("0", "true", '""', False), ("6", "true", '""', False), ("3", '"true"', '""', False), ("3", "1", '""', False), ("3", "true", "null", False), ("3", "true", "7", False)]
+
+
+def verdict_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on chunks' cues, one kind for each batch of distinct ids: the number judged and the sum of the scores, null if void."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), *[F.lit(v).alias(k) for v, k in zip(x, ("score", "ok", "issue"))]) for i, x in enumerate(VERDICTS)])
+    x = _asked(spark, folder).select("seq", "n", F.array_distinct(F.filter("cues.id", lambda i: i.isNotNull())).alias("ids"), F.explode(kinds).alias("k")).where("size(ids) > 0")
+    one = F.transform("ids", lambda i: F.concat(F.lit('{"id":"'), i, F.lit('","score":'), F.col("k.score"), F.lit(',"source_ok":'), F.col("k.ok"), F.lit(',"issue":'), F.col("k.issue"), F.lit(',"more":[]}')))
+    x = x.withColumn("v", replies.verdicts(F.concat(F.lit(" ["), F.array_join(F.reverse(one), ","), F.lit("]\n")), F.col("ids")))
+    return x.select("seq", "n", "k.kind", F.when(F.col("v").isNotNull(), F.size("v")).alias("judged"), F.aggregate("v", F.lit(0), lambda a, r: a + r["score"]).alias("scores"))
 
 
 # --- text ----------------------------------------------------------------------------------------------------------
@@ -253,8 +287,8 @@ def digest_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def name_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Words of documents that look like names or acronyms, without a possessive ending, with how often they stand."""
-    x = load(spark, folder, "documents").where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(measures.WORD), F.lit(0))).alias("w")).select(tx.without_possessive(F.col("w")).alias("w"))
-    return x.where(tx.looks_like_name(F.col("w")) | tx.is_acronym(F.col("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.any_value(tx.is_acronym(F.col("w"))).alias("acronym"))
+    x = load(spark, folder, "documents").where("text is not null").select(tx.shouting(F.col("text")).alias("loud"), F.explode(F.regexp_extract_all("text", F.lit(measures.WORD), F.lit(0))).alias("w")).select("loud", tx.without_possessive(F.col("w")).alias("w"))
+    return x.where(~F.col("w").isin(nouns.STOP) & (tx.looks_like_name(F.col("w")) | tx.is_acronym(F.col("w")) & ~F.col("loud"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.any_value(tx.is_acronym(F.col("w"))).alias("acronym"))
 
 
 def fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,15 +296,10 @@ def fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
 
     The nearest within one or two edits counts, the first learned of equally near ones.
     """
-    x = _glossary(spark, folder).groupBy("media", "target", F.col("source").alias("known")).agg(F.min("seq").alias("ord"))
-    x = x.withColumn("k", tx.casefold(F.col("known"))).withColumn("c", tx.casefold(F.substring("known", 1, 1)))
-    a = x.where(F.length("known") >= 4).select("media", "target", F.col("known").alias("name"), F.col("k").alias("n"), F.substring("k", 1, 1).alias("c"), F.col("ord").alias("mine"))
-    # an edit changes the length by one at most, so only near lengths meet
-    a = a.withColumn("len", F.explode(F.sequence(F.length("n") - 2, F.length("n") + 2)))
-    b = x.withColumn("len", F.length("k"))
-    most = F.when(F.greatest(F.length("name"), F.length("known")) <= 5, 1).otherwise(2)
-    x = a.join(b, ["media", "target", "c", "len"]).where("ord < mine").withColumn("d", F.levenshtein("n", "k", 2)).where((F.col("d") >= 0) & (F.col("d") <= most))
-    return x.groupBy("media", "target", "name").agg(F.min_by("known", F.struct("d", "ord")).alias("known"), F.min("d").alias("d"))
+    x = _glossary(spark, folder).groupBy("media", "target", F.col("source").alias("known")).agg(F.min("seq").alias("ord")).withColumn("film", F.struct("media", "target"))
+    names = x.select("film", F.col("known").alias("name"), F.col("ord").alias("mine"))
+    found = nouns.near_names(names, x.select("film", "known", "ord"), "film", later=True)
+    return found.select("film.media", "film.target", "name", "known", "d")
 
 
 def script_check(spark: SparkSession, folder: str) -> DataFrame:
@@ -288,16 +317,39 @@ _C = f"{fr.CUES}, c AS (SELECT DISTINCT profile, id, start_ms, end_ms, text FROM
 _S = f"sc0 AS (SELECT DISTINCT seq, {fr.sql_key('profile')} profile, start_ms, payload.language.score s, payload.language.status issue FROM chunks WHERE {fr.sql_key('profile')} <> ''), sc AS (SELECT *, least(5, CAST(floor(s * 5) AS BIGINT) + 1) score0, CASE WHEN s IS NOT NULL THEN least(5, CAST(floor(s * 5) AS BIGINT) + 1) END score, coalesce(s >= 0.7, true) ok FROM sc0)"
 _BAD = "(NOT ok OR coalesce(regexp_matches(issue, '(?i)mishear|misheard|transcri|garbled|recogni'), false))"
 _O = "(PARTITION BY profile ORDER BY start_ms, end_ms, id)"
-_BL = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x1c-\\x1f]"
-_ST = f"regexp_replace(text, '^{_BL}+|{_BL}+$', '', 'g')"
-_BARE = f"regexp_replace({_ST}, '[\"''”’»」』)\\]]+$', '')"
+_ST, _BARE = fr.sql_strip("text"), fr.sql_bare("text")
 _WD = "[\\p{L}\\p{Nl}\\p{No}](?:[\\p{L}\\p{Nl}\\p{No}]|[''’\\-])*"
 
+_LETTERS = lambda c: f"length(regexp_replace(text, '[^\\p{{{c}}}]', '', 'g'))"
+_LOUD = f"{_LETTERS('Lu')} * 2 > {_LETTERS('L')}"
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in nouns.STOP)
+
+
+def _fold(x: str) -> str:
+    return f"replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+
+
+_ASKED = "ak0 AS (SELECT DISTINCT seq, start_ms, end_ms, payload.cues cues FROM chunks WHERE len(payload.cues) > 0), ak AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY start_ms NULLS FIRST, end_ms NULLS FIRST, len(cues)) n FROM ak0)"
+_JT = fr.sql_clean("json_extract_string(o, '$.text')")
+
+
+def _spoil(pattern: str, to: str) -> str:
+    quote = lambda v: "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"regexp_replace(g, {quote(pattern)}, {quote(to.replace('$1', chr(92) + '1'))}, 'g')"
+
+
+def _json(x: str) -> str:
+    """A JSON string as json.dumps writes it, of texts whose only control characters are these."""
+    for c, e in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
+        x = f"replace({x}, {c}, {e})"
+    return f"'\"' || {x} || '\"'"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         neighbour_context, previous_pairs, gap_split, batches, overlap_check, boundary_reconcile, recent_terms, score_summary, worst_scores, verdict_zip, verdict_validation, fragment_count, word_case_stats, common_words, name_mentions, known_languages,
-        latency_rank, realtime_factor, cache_status, chunk_upsert, profile_register, clear_media, ledger_insert, ledger_second_batch, cue_dedupe, glossary_precedence, ledger_candidates, reply_validation, clean_lengths, ending_flags, subtitle_width, joined_texts, srt_stamps, digest_ids, name_tokens, fuzzy_names, script_check,
+        latency_rank, realtime_factor, cache_status, chunk_upsert, profile_register, clear_media, ledger_insert, ledger_second_batch, cue_dedupe, glossary_precedence, ledger_candidates, reply_validation, verdict_replies, clean_lengths, ending_flags, subtitle_width, joined_texts, srt_stamps, digest_ids, name_tokens, fuzzy_names, script_check,
     )
 }
 
@@ -316,7 +368,7 @@ ORACLES = {
     "worst_scores": f"WITH {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score, start_ms NULLS FIRST, seq) r FROM sc WHERE score IS NOT NULL) SELECT profile, seq, score, start_ms FROM r WHERE r <= 20",
     "verdict_zip": f"WITH {_C}, {_S}, a AS (SELECT *, row_number() OVER {_O} n FROM c), v AS (SELECT profile, score, row_number() OVER (PARTITION BY profile ORDER BY seq, start_ms NULLS FIRST) n FROM sc WHERE score IS NOT NULL) SELECT a.profile, id, a.n, coalesce(v.score, 0) score FROM a LEFT JOIN v ON v.profile = a.profile AND v.n = a.n",
     "verdict_validation": f"WITH {_S}, b AS (SELECT *, (row_number() OVER (PARTITION BY profile ORDER BY seq, start_ms NULLS FIRST) - 1) // 8 batch FROM sc) SELECT profile, batch, count(*) n, count(score) = count(*) AND count(DISTINCT seq) = count(*) AS valid FROM b GROUP BY 1, 2",
-    "fragment_count": f"WITH {_C} SELECT profile, count(*) captions, count(*) FILTER (WHERE len(list_filter(regexp_split_to_array(text, '{_BL}+'), lambda x: x <> '')) < 3) fragments FROM c GROUP BY 1",
+    "fragment_count": f"WITH {_C} SELECT profile, count(*) captions, count(*) FILTER (WHERE len(list_filter(regexp_split_to_array(text, '{fr._BL}+'), lambda x: x <> '')) < 3) fragments FROM c GROUP BY 1",
     "word_case_stats": f"WITH {_C}, w AS (SELECT profile, unnest(regexp_extract_all(text, '{_WD}')) w FROM c) SELECT profile, lower(w) word, count(*) FILTER (WHERE regexp_matches(w, '^\\p{{Ll}}')) small, count(*) FILTER (WHERE NOT regexp_matches(w, '^\\p{{Ll}}')) other FROM w GROUP BY 1, 2",
     "common_words": f"WITH w AS (SELECT {fr.sql_key('source')} src, unnest(regexp_extract_all(text, '{_WD}')) w FROM documents WHERE text IS NOT NULL), g AS (SELECT src, lower(w) word, count(*) FILTER (WHERE regexp_matches(w, '^\\p{{Ll}}')) small, count(*) FILTER (WHERE NOT regexp_matches(w, '^\\p{{Ll}}')) other FROM w WHERE src <> '' GROUP BY 1, 2) SELECT * FROM g WHERE small >= 1 AND small >= other",
     "name_mentions": f"WITH {fr.CUES}, {_G}, n AS (SELECT DISTINCT media, source FROM gl WHERE regexp_matches(source, '^[A-Za-z]+( [A-Za-z]+)*$')), c AS (SELECT DISTINCT media, id, text FROM cu WHERE media <> '') SELECT n.media, source, count(*) mentions FROM n JOIN c ON c.media = n.media AND regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}])' || source || '($|[^\\p{{L}}\\p{{N}}])') AND list_contains(regexp_extract_all(text, '{_WD}'), regexp_extract(source, '{_WD}')) GROUP BY 1, 2",
@@ -338,17 +390,28 @@ ORACLES = {
  k AS (SELECT media, lower(w) h FROM w GROUP BY 1, 2 HAVING count(*) FILTER (WHERE regexp_matches(w, '^\\p{{Ll}}')) >= greatest(1, count(*) FILTER (WHERE NOT regexp_matches(w, '^\\p{{Ll}}')))),
  p AS (SELECT DISTINCT {fr.sql_key('media')} media, target, unnest(map_values(variants)) v FROM contexts)
  SELECT seq, media, source, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.media = gl.media AND p.target = gl.target AND p.v = gl.source) THEN 'pinned' WHEN EXISTS (SELECT 1 FROM k WHERE k.media = gl.media AND k.h = lower(regexp_extract(gl.source, '^{_WD}'))) THEN 'common' ELSE 'candidate' END reason FROM gl""",
-    "reply_validation": """WITH x AS (SELECT DISTINCT seq, payload.cues cues FROM chunks WHERE len(payload.cues) > 0) SELECT seq, len(cues) = len(list_distinct([c.id for c in cues])) AND len([1 for c in cues if coalesce(length(trim(c.text)) >= 1 AND length(c.text) <= 1000 AND NOT regexp_matches(c.text, '<think|\\[THOUGHT\\]'), false)]) = len(cues) AS valid FROM x""",
-    "clean_lengths": f"WITH d AS (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\n', ' <b>' || chr(10) || '{{x}}', 'g'), '<[^>]*>|\\{{[^}}]*\\}}', '', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '^{_BL}+|{_BL}+$', '', 'g') t FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(t) chars, md5(t) AS hash FROM d",
-    "ending_flags": f"""WITH {_C} SELECT profile, id, regexp_matches({_BARE}, '[.!?。！？]$') AND NOT regexp_matches({_BARE}, '(?i)(?:^|[^\\p{{L}}])(?:mr|mrs|ms|dr|prof|sr|jr|st|vs|[a-z])\\.$') sentence, regexp_matches({_BARE}, '[,;:，、；：]$') clause,
- regexp_matches({_ST}, '[''’\\-‐]$') OR list_contains(string_split('a an the and or but of to in on at for with from by as is are was were that which who his her their my your our', ' '), lower(regexp_extract({_ST}, '([A-Za-z]+)[^A-Za-z]*$', 1))) weak FROM c""",
+    "reply_validation": f"""WITH {_ASKED}, x AS (SELECT seq, n, to_json([{{'id': c.id, 'text': c.text}} for c in cues]) g, list_distinct([c.id for c in cues]) ids, cues FROM ak), t AS (SELECT seq, n, ids, unnest([{', '.join(f"{{'kind': '{k}', 'reply': {_spoil(a, b)}}}" for k, a, b in SPOILT)}]) t FROM x),
+ u AS (SELECT seq, n, ids, t.kind, CASE WHEN starts_with(t.reply, '```json') THEN t.reply[8:-4] ELSE t.reply END r FROM t), j AS (SELECT *, CASE WHEN json_valid(r) AND json_type(r) = 'ARRAY' THEN json_extract(r, '$[*]') END v FROM u)
+ SELECT seq, n, kind, coalesce(len(v) = len(ids) AND len(list_distinct([json_extract_string(o, '$.id') for o in v])) = len(ids) AND list_has_all(ids, [json_extract_string(o, '$.id') for o in v])
+ AND len([1 for o in v if json_type(o) = 'OBJECT' AND list_sort(json_keys(o)) = ['id', 'text'] AND json_type(o, '$.text') = 'VARCHAR' AND length({_JT}) BETWEEN 1 AND 1000 AND NOT regexp_matches({_JT}, '<think|\\[THOUGHT\\]')]) = len(ids), false) AS valid FROM j""",
+    "verdict_replies": f"""WITH {_ASKED}, x AS (SELECT seq, n, len(list_distinct([c.id for c in cues if c.id IS NOT NULL])) m FROM ak), k AS (SELECT * FROM (VALUES {', '.join(f"({i}, {v[0] if v[3] else 'NULL'})" for i, v in enumerate(VERDICTS))}) k(kind, score))
+ SELECT seq, n, kind, CASE WHEN score IS NOT NULL THEN CAST(m AS INTEGER) END judged, CAST(m * score AS INTEGER) scores FROM x, k WHERE m > 0""",
+    "clean_lengths": f"WITH d AS (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\n', ' <b>' || chr(10) || '{{x}}', 'g'), '<[^>]*>|\\{{[^}}]*\\}}', '', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '^{fr._BL}+|{fr._BL}+$', '', 'g') t FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(t) chars, md5(t) AS hash FROM d",
+    "ending_flags": f"""WITH {_C} SELECT profile, id, regexp_matches({_BARE}, '[.!?。！？]$') AND NOT regexp_matches({_BARE}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:mr|mrs|ms|dr|prof|sr|jr|st|vs|[a-z])\\.$') sentence, regexp_matches({_BARE}, '[,;:，、；：]$') clause,
+ regexp_matches({_ST}, '[''’\\-‐]$') OR list_contains(string_split('a an the and or but to of for with from in on at by as is are was were have has had will would can could should not i', ' '), lower(regexp_extract({_ST}, '([A-Za-z]+)[^A-Za-z]*$', 1))) weak FROM c""",
     "subtitle_width": f"WITH {_C}, w AS (SELECT profile, length(text) + length(regexp_replace(text, '[^\\x{{1100}}-\\x{{115f}}\\x{{2e80}}-\\x{{303e}}\\x{{3041}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{a4cf}}\\x{{a960}}-\\x{{a97f}}\\x{{ac00}}-\\x{{d7a3}}\\x{{f900}}-\\x{{faff}}\\x{{fe30}}-\\x{{fe6f}}\\x{{ff00}}-\\x{{ff60}}\\x{{ffe0}}-\\x{{ffe6}}\\x{{1f300}}-\\x{{1f64f}}\\x{{1f900}}-\\x{{1f9ff}}\\x{{20000}}-\\x{{3fffd}}]', '', 'g')) w FROM c) SELECT profile, CAST(sum(w) AS BIGINT) AS columns, max(w) widest FROM w GROUP BY 1",
+    "joined_texts": f"WITH {_C}, n AS (SELECT *, lead(text) OVER {_O} nx FROM c) SELECT profile, id, md5({fr.sql_joined(f'[{_ST}, {fr.sql_strip(chr(110) + chr(120))}]')}) AS hash FROM n WHERE nx IS NOT NULL",
     "srt_stamps": f"WITH {_C} SELECT profile, id, printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) stamp FROM c",
-    "digest_ids": f"WITH {_C} SELECT profile, id, substr(sha256('[\"' || profile || '\", ' || start_ms || ', ' || end_ms || ', \"' || text || '\"]'), 1, 24) digest FROM c WHERE regexp_matches(text, '^[A-Za-z ,.!?]+$')",
-    "name_tokens": "WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) w FROM documents WHERE text IS NOT NULL) SELECT w, count(*) n, any_value(regexp_matches(w, '^[A-Z]{2,5}$')) acronym FROM w WHERE regexp_matches(w, '^[A-Z][a-z][A-Za-z]+$') OR regexp_matches(w, '^[A-Z]{2,5}$') GROUP BY 1",
-    "fuzzy_names": f"""WITH {_G}, k AS (SELECT media, target, source, min(seq) ord FROM gl WHERE regexp_matches(source, '^[A-Za-z]{{4,}}$') GROUP BY 1, 2, 3),
- x AS (SELECT a.media, a.target, a.source AS name, b.source known, b.ord, levenshtein(lower(a.source), lower(b.source)) d FROM k a JOIN k b ON a.media = b.media AND a.target = b.target AND lower(a.source[1]) = lower(b.source[1]) AND a.source <> b.source AND b.ord < a.ord)
- SELECT media, target, name, arg_min(known, (d, ord)) known, min(d) d FROM x WHERE d <= CASE WHEN greatest(length(name), length(known)) <= 5 THEN 1 ELSE 2 END GROUP BY 1, 2, 3""",
+    "digest_ids": f"WITH {_C} SELECT profile, id, substr(sha256('[' || {_json('profile')} || ', ' || start_ms || ', ' || end_ms || ', ' || {_json('text')} || ']'), 1, 24) digest FROM c",
+    "name_tokens": f"""WITH d AS MATERIALIZED (SELECT {_LOUD} loud, regexp_extract_all(text, '{_WD}') ws FROM documents WHERE text IS NOT NULL), w AS (SELECT loud, unnest(ws) w FROM d), p AS (SELECT regexp_replace(w, '[''’]s?$', '') w, loud FROM w)
+ SELECT w, count(*) n, any_value(regexp_matches(w, '^\\p{{Lu}}{{2,5}}$')) acronym FROM p WHERE w NOT IN ({_STOP}) AND (regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}[\\p{{L}}''’\\-]+$') OR regexp_matches(w, '^\\p{{Lu}}{{2,5}}$') AND NOT loud) GROUP BY 1""",
+    # DuckDB's levenshtein counts bytes, so the rows of the table are made here, one per letter
+    "fuzzy_names": f"""WITH {_G}, k AS (SELECT media, target, source, min(seq) ord, {_fold('any_value(source)')} f, {_fold('any_value(source)[1]')} h FROM gl GROUP BY 1, 2, 3),
+ x AS (SELECT a.media, a.target, a.source AS name, b.source known, b.ord, string_split(a.f, '') p, string_split(b.f, '') q FROM k a JOIN k b ON a.media = b.media AND a.target = b.target AND length(a.source) >= 4 AND a.f[1] = b.h[1] AND b.ord < a.ord AND abs(length(a.f) - length(b.f)) <= 2),
+ d AS (SELECT media, target, name, known, ord, list_reduce(list_prepend(range(0, len(q) + 1), [[i] for i in range(1, len(p) + 1)]),
+  lambda row, i: list_transform(range(0, len(q) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda m: j - m + CASE WHEN m = 0 THEN i[1] ELSE least(row[m + 1] + 1, row[m] + CASE WHEN p[i[1]] = q[m] THEN 0 ELSE 1 END) END)))) AS last FROM x),
+ e AS (SELECT media, target, name, known, ord, last[len(last)] d FROM d)
+ SELECT media, target, name, arg_min(known, (d, ord)) known, CAST(min(d) AS INTEGER) d FROM e WHERE d <= CASE WHEN greatest(length(name), length(known)) <= 5 THEN 1 ELSE 2 END GROUP BY 1, 2, 3""",
     "script_check": f"""WITH {_G}, b AS (SELECT *, split_part(target, '-', 1) base FROM gl) SELECT media, target, bool_or(CASE base WHEN 'zh' THEN regexp_matches(rendering, '[\\x{{4e00}}-\\x{{9fff}}]') WHEN 'ja' THEN regexp_matches(rendering, '[\\x{{3041}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]') WHEN 'ko' THEN regexp_matches(rendering, '[\\x{{ac00}}-\\x{{d7a3}}]')
  WHEN 'ru' THEN regexp_matches(rendering, '[\\x{{400}}-\\x{{4ff}}]') WHEN 'en' THEN regexp_matches(rendering, '[A-Za-z]') ELSE false END) shows, bool_or(base IN ('zh', 'ko') AND regexp_matches(rendering, '[\\x{{3041}}-\\x{{30ff}}]')) kana FROM b GROUP BY 1, 2""",
 }

@@ -309,11 +309,17 @@ def test_replies(spark):
 
     ok = '```json\n[{"id": "a", "text": "x"}, {"id": "b", "text": "y"}]\n```'
     assert [r.text for r in parsed(replies.translations, ok, ["a", "b"])] == ["x", "y"]
-    for bad in (ok.replace('"b"', '"a"'), ok.replace('"b"', '"c"'), ok.replace('"y"', '" "'), ok.replace('"y"', '"<think>"'), "none", None):
+    for bad in (ok.replace('"b"', '"a"'), ok.replace('"b"', '"c"'), ok.replace('"y"', '" "'), ok.replace('"y"', '"<think "'), "none", None, "[]", '{"id": "a"}'):
         assert parsed(replies.translations, bad, ["a", "b"]) is None
+    # a number as text, a key too many, talk around the array, nothing left after cleaning, too long
+    for bad in (ok.replace('"y"', "5"), ok.replace('"y"', '"y", "start": 1'), "Sure: " + ok, ok[7:] + " Done.", ok.replace('"y"', '"<b>{x}"'), ok.replace('"y"', f'"{"y" * 1001}"'), ok.replace('"b"', "2"), ok.replace("[", "[1, ")):
+        assert parsed(replies.translations, bad, ["a", "b"]) is None
+    assert [r.text for r in parsed(replies.translations, ok[7:-3].replace('"y"', '" <i>y</i>\\t"'), ["b", "a"])] == ["x", "y"]
     v = '[{"id": "a", "score": 4, "source_ok": false, "issue": "misheard"}]'
     assert [tuple(r) for r in parsed(replies.verdicts, v, ["a"])] == [("a", 4, False, "misheard")]
-    for bad in (v.replace("4", "9"), v.replace("4", "true"), v.replace("4", "2.5"), v.replace("false", "1"), "[]"):
+    two = '[{"id": "b", "score": 1, "source_ok": true, "issue": " <i>x</i>", "more": 1}, ' + v[1:]
+    assert [tuple(r) for r in parsed(replies.verdicts, two, ["a", "b"])] == [("a", 4, False, "misheard"), ("b", 1, True, "x")]
+    for bad in (v.replace("4", "9"), v.replace("4", "true"), v.replace("4", "2.5"), v.replace("false", "1"), "[]", v.replace("4", '"4"'), v.replace("false", '"true"'), v.replace("4", "4.0"), v.replace('"misheard"', "null"), v.replace('"a"', '"b"'), "```json" + v + "```"):
         assert parsed(replies.verdicts, bad, ["a"]) is None
 
 
