@@ -6,6 +6,8 @@ is one too many. A key that stands twice in one object makes a reply invalid.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,20 @@ def unfenced(reply: Column) -> Column:
 
 
 def _objects(text: Column) -> Column:
-    """array<map<string,variant>> of a JSON array of objects; null for anything else."""
-    items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
-    return F.transform(items, lambda x: F.try_variant_get(x, "$", "map<string,variant>"))
+    """array<map<string,variant>> of a JSON array of objects; null for anything else.
+
+    The parser stops behind the first value. So the text is parsed inside an array and inside an object: what follows
+    the value breaks one of the two, or makes a second element.
+    """
+    inside = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    whole = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    items = _let(inside, lambda x: F.when(F.size(x) == 1, F.try_variant_get(x[0], "$", "array<variant>")))
+    return F.transform(F.when(whole, items), lambda x: F.try_variant_get(x, "$", "map<string,variant>"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _kind(v: Column) -> Column:
@@ -38,8 +51,13 @@ def _said(v: Column) -> Column:
 
 def _answers(rows: Column, ids: Column) -> Column:
     """Whether the rows' ids are the wanted ones, each once."""
-    got = F.transform(rows, lambda m: _said(m["id"]))
-    return (F.size(rows) == F.size(ids)) & (F.size(F.array_distinct(got)) == F.size(ids)) & ~F.exists(got, lambda i: i.isNull()) & (F.size(F.array_except(got, ids)) == 0)
+    got = F.transform(rows, lambda r: r["id"])
+    return (F.size(rows) == F.size(ids)) & (F.size(F.array_distinct(got)) == F.size(ids)) & (F.size(F.array_except(got, ids)) == 0)
+
+
+def _all_good(rows: Column, ids: Column) -> Column:
+    """Rows that are structs if none of them is null and they answer the ids, else null."""
+    return _let(rows, lambda x: F.when(F.coalesce(~F.exists(x, lambda r: r.isNull()) & _answers(x, ids), F.lit(False)), x))
 
 
 def translations(reply: Column, ids: Column, most: int = 1000) -> Column:
@@ -48,10 +66,9 @@ def translations(reply: Column, ids: Column, most: int = 1000) -> Column:
     A reply may stand in one JSON code fence but in no other talk; its objects have the keys id and text only, both
     strings. A text is cleaned first; then it must have 1 to ``most`` characters and show no thinking aloud.
     """
-    rows = _objects(unfenced(reply))
-    text = lambda m: tx.clean_text(_said(m["text"]))
-    good = F.forall(rows, lambda m: F.coalesce((F.array_sort(F.map_keys(m)) == F.array(F.lit("id"), F.lit("text"))) & F.length(text(m)).between(1, most) & ~text(m).rlike(THINKING), F.lit(False)))
-    return F.when(F.coalesce(good & _answers(rows, ids), F.lit(False)), F.transform(rows, lambda m: F.struct(_said(m["id"]).alias("id"), text(m).alias("text"))))
+    read = lambda m: F.when(F.array_sort(F.map_keys(m)) == F.array(F.lit("id"), F.lit("text")), F.struct(_said(m["id"]).alias("id"), tx.clean_text(_said(m["text"])).alias("text")))
+    good = lambda r: F.when(r["id"].isNotNull() & F.length(r["text"]).between(1, most) & ~r["text"].rlike(THINKING), r)
+    return _all_good(F.transform(F.transform(_objects(unfenced(reply)), read), good), ids)
 
 
 def verdicts(reply: Column, ids: Column) -> Column:
@@ -60,9 +77,9 @@ def verdicts(reply: Column, ids: Column) -> Column:
     A score is a whole number from 1 to 5 - no boolean, fraction or text -, source_ok a boolean, and the issue a string,
     which is cleaned and cut to 120 characters. Further keys don't matter.
     """
-    rows = _objects(tx.strip(reply))
-    score = lambda m: F.when(_kind(m["score"]) == "BIGINT", F.try_variant_get(m["score"], "$", "bigint"))
-    good = F.forall(rows, lambda m: F.coalesce(score(m).between(1, 5) & (_kind(m["source_ok"]) == "BOOLEAN") & _said(m["issue"]).isNotNull(), F.lit(False)))
-    parsed = F.transform(rows, lambda m: F.struct(_said(m["id"]).alias("id"), score(m).cast("int").alias("score"), F.try_variant_get(m["source_ok"], "$", "boolean").alias("source_ok"), F.substring(tx.clean_text(_said(m["issue"])), 1, 120).alias("issue")))
-    ordered = F.transform(F.array_sort(F.transform(parsed, lambda r: F.struct(F.array_position(ids, r["id"]).alias("at"), r.alias("r")))), lambda r: r["r"])
-    return F.when(F.coalesce(good & _answers(rows, ids), F.lit(False)), ordered)
+    typed = lambda v, kind, to: F.when(_kind(v) == kind, F.try_variant_get(v, "$", to))
+    read = lambda m: F.struct(_said(m["id"]).alias("id"), typed(m["score"], "BIGINT", "int").alias("score"), typed(m["source_ok"], "BOOLEAN", "boolean").alias("source_ok"), F.substring(tx.clean_text(_said(m["issue"])), 1, 120).alias("issue"))
+    good = lambda r: F.when(r["id"].isNotNull() & r["score"].between(1, 5) & r["source_ok"].isNotNull() & r["issue"].isNotNull(), r)
+    found = _all_good(F.transform(F.transform(_objects(tx.strip(reply)), read), good), ids)
+    place = lambda r: F.struct(F.array_position(ids, r["id"]).alias("at"), r.alias("r"))
+    return F.transform(F.array_sort(F.transform(found, place)), lambda r: r["r"])
