@@ -101,6 +101,11 @@ def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shares(docs).join(sizes, "doc_id").withColumn("share", F.col("shared_chars") / F.col("chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+def p9_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every repeat that several documents hold, with all its places: what pairs would say, in rows that grow with the places."""
+    return spans.repeats(load(spark, folder, "documents")).withColumnRenamed("repeat", "group")
+
+
+QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared, "p9_groups": p9_groups}
 
 ORACLES: dict[str, str] = {}

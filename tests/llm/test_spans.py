@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from spanloom.llm import spans
 
 S = "doc_id long, text string, h string"
@@ -46,6 +48,41 @@ def test_brute_force(spark):
     assert {r.doc_id: r.shared_chars for r in spans.shares(df).collect()} == shared
 
 
+@pytest.mark.parametrize("rows", [3, 12])
+def test_prefixes_of_large_groups_grow(spark, rows):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    licence = text(520)
+    docs = [(i, text(rng.randrange(0, 80)) + licence[rng.randrange(0, 330) :][: rng.randrange(150, 400)] + text(rng.randrange(0, 80)), "") for i in range(30)]
+    docs += [(90 + i, licence, "") for i in range(14)] + [(200 + i, "ab" * (130 + i), "") for i in range(8)]
+    pairs, shared = brute(docs, 200)
+    df = spark.createDataFrame(docs, S).repartition(3)
+    assert {tuple(r) for r in spans.pairs(df, group_rows=rows).collect()} == pairs
+    assert {r.doc_id: r.shared_chars for r in spans.shares(df, group_rows=rows).collect()} == shared
+
+
+def test_repeats(spark):
+    docs = corpus()
+    texts = {d: t for d, t, _ in docs if d is not None and t}
+    got = spans.repeats(spark.createDataFrame(docs, S)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.repeat, []).append(r)
+        assert r.length >= 200
+    for rs in by.values():  # one text at all places, which can't be longer on either side unless the look-around ends
+        assert len({texts[r.doc_id][r["at"] : r["at"] + r.length] for r in rs}) == 1 and len({r.doc_id for r in rs}) > 1
+    pairs = {(a.doc_id, b.doc_id) for rs in by.values() for a in rs for b in rs if a.doc_id < b.doc_id}
+    assert pairs == brute(docs, 200)[0]
+
+
+def test_periodic_text_has_few_suffixes(spark):
+    df = spark.createDataFrame([(1, "-" * 20_000, ""), (2, "x" + "-" * 20_000, ""), (3, "ab" * 9_000, "")], S)
+    docs = df.select("doc_id", "text")
+    assert docs.mapInArrow(spans._suffixes(200), spans._SUFFIX).count() < 1500
+    assert [tuple(r) for r in spans.pairs(df).collect()] == [(1, 2)]
+    assert {r.doc_id: r.shared_chars for r in spans.shares(df).collect()} == {1: 20_000, 2: 20_000}
+
+
 def test_large_node_is_cut_into_blocks(spark, monkeypatch):
     t = "".join(random.Random(1).choice("abcdefgh ") for _ in range(260))
     df = spark.createDataFrame([(i, t, "") for i in range(40)], S)
