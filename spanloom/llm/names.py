@@ -1,8 +1,9 @@
 """Variant spellings of one person, place or organisation, by a pigeonhole segment join.
 
 A name is read into words. A word with at most k errors, cut into k + 1 segments, has one of them unharmed; so every
-word's segments stand in an inverted index, and every word is looked up by its substrings at shifted places. A key also
-holds the initial of the name's other word, so that a frequent given name alone brings no pair together. Pairs that
+word's segments stand in an inverted index, and every word is looked up by its substrings at shifted places, only at
+those where k errors can have put the segment. A key also holds the initial of the name's other word, so that a
+frequent given name alone brings no pair together; names run together stand in the index too. Pairs that
 share a key are verified by banded edit distance word by word, with nicknames, initials and the renderings as further
 evidence. Strong links make components; a name that leaves open whom it means - a surname alone, an initial, letters
 of an organisation - joins a component only if it fits no other.
@@ -114,57 +115,77 @@ def distance(a: str, b: str, most: int) -> int:
     return min(last.get(len(b), far), far)
 
 
-def _segments(w: str, k: int) -> list[tuple[int, str]]:
-    size, more, at, out = len(w) // (k + 1), len(w) % (k + 1), 0, []
-    for i in range(k + 1):
-        n = size + (i >= k + 1 - more)
-        out.append((at, w[at : at + n]))
-        at += n
-    return out
+def _segments(n: int, k: int) -> list[tuple[int, int]]:
+    """Where the k + 1 segments of a word of n letters begin and end, the longer ones last."""
+    size, more = divmod(n, k + 1)
+    ends = [size * (i + 1) + max(0, i - (k - more)) for i in range(k + 1)]
+    return list(zip([0, *ends], ends))
+
+
+def _swapped(w: str, at: int) -> str:
+    """The word with the letters on either side of the place ``at`` swapped."""
+    return w[: at - 1] + w[at] + w[at - 1] + w[at + 1 :] if 0 < at < len(w) else w
+
+
+def _bounds(n: int) -> set[int]:
+    """Errors allowed between a word of n letters and one as long or longer."""
+    return {errors_for(m) for m in range(n, n + 3) if m - n <= errors_for(m)}
 
 
 def index_keys(w: str) -> list[str]:
-    k = errors_for(len(w))
-    parts = _segments(w, k)
-    out = [f"{len(w)}.{i}.{seg}" for i, (_, seg) in enumerate(parts)]
-    if k == 1:  # neighbours swapped across the border harm both segments
-        at = parts[1][0]
-        out.append(f"{len(w)}.0.{w[: at - 1]}{w[at]}")
-    return out
+    """Segments under which a word stands in the index, for each number of errors that a longer word may bring.
+
+    Two neighbours swapped over a border of segments harm both. So the word also stands there with the letters at a
+    border swapped: then that error is none, and the others leave one segment unharmed.
+    """
+    out: dict[str, None] = {}
+    n = len(w)
+    for k in _bounds(n):
+        cut = _segments(n, k)
+        for v in [w, *(_swapped(w, at) for at, _ in cut[1:])]:
+            out |= dict.fromkeys(f"{n}.{k}.{i}.{v[a:b]}" for i, (a, b) in enumerate(cut))
+    return list(out)
 
 
-def probe_keys(w: str) -> list[str]:
-    """Keys under which a word within the allowed errors of w stands in the index."""
-    out = set()
-    reach = max(errors_for(len(w)), errors_for(len(w) + 1))
-    for n in range(max(1, len(w) - reach), len(w) + reach + 1):
-        k = errors_for(n)
-        for i, (at, seg) in enumerate(_segments("x" * n, k)):
-            for p in range(max(0, at - k), min(len(w) - len(seg), at + k) + 1):
-                out.add(f"{n}.{i}.{w[p : p + len(seg)]}")
+def probe_keys(w: str, longer: bool = False) -> list[str]:
+    """Keys under which a word within the allowed errors of w stands in the index, if it is as long or shorter; with ``longer`` any.
+
+    Of k errors, with i in the segments before the i-th and the rest behind it, at most i shift it from the left and
+    k - i from the right; some unharmed segment always lies within both bounds.
+    """
+    out: dict[str, None] = {}
+    for n in range(max(1, len(w) - 2), len(w) + 3 * longer + (not longer)):
+        k = errors_for(max(n, len(w)))
+        if abs(n - len(w)) > k:
+            continue
+        for i, (a, b) in enumerate(_segments(n, k)):
+            lo, hi = max(0, a - i, a + len(w) - n - (k - i)), min(len(w) - (b - a), a + i, a + len(w) - n + (k - i))
+            out |= dict.fromkeys(f"{n}.{k}.{i}.{w[p : p + b - a]}" for p in range(lo, hi + 1))
     return list(out)
 
 
 def keys_of(words: list[str], caps: bool, nick: dict[str, list[str]]) -> tuple[list[str], list[str]]:
-    """(index, probe) keys of a name."""
+    """(index, probe) keys of a name. Of two names the one whose word is longer finds the other."""
     bare = [w.rstrip(".") for w in words]
     long = [i for i, w in enumerate(bare) if len(w) >= 3 and not (words[i].endswith(".") and len(w) < 4)]
     joined = "".join(bare)
     ix, px = set(), set()
-    for v in {joined, "".join(bare[::-1])} if len(bare) > 1 else {joined}:
-        if len(v) >= 4:
+    if len(joined) >= 4:
+        # run together, in either order
+        for v in {joined, "".join(bare[::-1])}:
             ix.update(f"c{k}" for k in index_keys(v))
-            px.update(f"c{k}" for k in probe_keys(v))
+        px.update(f"c{k}" for k in probe_keys(joined))
     if len(bare) == 1:
-        px.update(f"l{k}" for k in probe_keys(joined))
+        px.update(f"l{k}" for k in probe_keys(joined, longer=True))
         if 2 <= len(joined) <= 5:
             px.add(f"a{joined}")
     else:
         for i in long:
-            ix.update(f"l{k}" for k in index_keys(bare[i]))
+            ks = index_keys(bare[i])
+            ix.update(f"l{k}" for k in ks)
             others = [w for j, w in enumerate(bare) if j != i]
             first = {w[0] for w in others} | {f[0] for w in others for f in nick.get(w, ())}
-            ix.update(f"{c}:{k}" for k in index_keys(bare[i]) for c in first)
+            ix.update(f"{c}:{k}" for k in ks for c in first)
             px.update(f"{c}:{k}" for k in probe_keys(bare[i]) for c in first)
         if len(bare) >= 3:
             ix.add("a" + "".join(w[0] for w in bare))
@@ -265,22 +286,20 @@ def link(a: list[str], a_caps: bool, ra: str | None, b: list[str], b_caps: bool,
     return 2 if best == 1 and told else best
 
 
-_NAME = "m string, target string, node long, words array<string>, caps boolean, ix array<string>, px array<string>"
+_LISTS = pa.list_(pa.string())
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        read = [words_of(x) for x in b["source"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([w for w, _ in read], _LISTS), pa.array([c for _, c in read], pa.bool_())], [*b.schema.names, "words", "caps"])
 
 
-def _read(nick: dict[str, list[str]]):  # noqa: ANN202
+def _keys(nick: dict[str, list[str]]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, caps, ix, px = [], [], [], []
-            for s in b["source"].to_pylist():
-                w, c = words_of(s)
-                i, p = keys_of(w, c, nick) if w else ([], [])
-                words.append(w)
-                caps.append(c)
-                ix.append(i)
-                px.append(p)
-            lists = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b["m"], b["target"], b["node"], pa.array(words, lists), pa.array(caps, pa.bool_()), pa.array(ix, lists), pa.array(px, lists)], [x.split()[0] for x in _NAME.split(", ")])
+            keys = [keys_of(w, c, nick) if w else ([], []) for w, c in zip(b["words"].to_pylist(), b["caps"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["m"], b["target"], b["node"], pa.array([i for i, _ in keys], _LISTS), pa.array([p for _, p in keys], _LISTS)], ["m", "target", "node", "ix", "px"])
 
     return run
 
@@ -329,22 +348,25 @@ def same_names(glossary: DataFrame, media: Column, contexts: DataFrame, context_
     counts once. A null rendering is no evidence. Empty tables give an empty result.
     """
     nick = nickname_map(nicknames)
-    rows = glossary.select("seq", media.alias("m"), "target", F.trim("source").alias("source"), "rendering").where("seq is not null and m is not null and target is not null and source rlike '[\\\\p{L}\\\\p{N}]'").dropDuplicates(["seq"])
+    # of rows with one seq that differ, the first in their order counts
+    rows = glossary.select("seq", media.alias("m"), "target", F.trim("source").alias("source"), "rendering").where("seq is not null and m is not null and target is not null and source rlike '[\\\\p{L}\\\\p{N}]'")
+    rows = rows.groupBy("seq").agg(F.min(F.struct("m", "target", "source", "rendering")).alias("r")).select("seq", "r.*")
     rows = materialize(rows, "rows")
     # rows that are alike in all respects are one node; spread by name, not by film
     nodes = rows.groupBy("m", "target", "source", "rendering").agg(F.min("seq").alias("node"))
-    read = materialize(nodes.select("m", "target", "node", "source").mapInArrow(_read(nick), _NAME).join(nodes.select("node", "rendering", "source"), "node"), "names")
-    index = read.select("m", "target", F.explode("ix").alias("key"), F.col("node").alias("a"))
-    probe = read.select("m", "target", F.explode("px").alias("key"), F.col("node").alias("b"))
-    pairs = index.join(probe, ["m", "target", "key"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("told", F.lit(False))
+    read = materialize(nodes.mapInArrow(_read, "m string, target string, source string, rendering string, node long, words array<string>, caps boolean"), "names")
+    # a key of film, target and segment is a number: few bytes are moved for each
+    keys = read.select("m", "target", "node", "words", "caps").mapInArrow(_keys(nick), "m string, target string, node long, ix array<string>, px array<string>")
+    keyed = lambda c: keys.select("node", F.explode(c).alias("k"), "m", "target").select(F.xxhash64("m", "target", "k").alias("key"), "node")
+    pairs = keyed("ix").withColumnRenamed("node", "a").join(keyed("px").withColumnRenamed("node", "b"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("told"))
     said = contexts.select(context_media.alias("m"), "target", F.explode("variants").alias("x", "y")).where("m is not null and x is not null and y is not null").distinct()
     fold_case = lambda c: F.lower(F.trim(c))
     named = read.select("m", "target", fold_case("source").alias("s"), "node")
     told = said.withColumn("s", fold_case("x")).join(named.withColumnRenamed("node", "p"), ["m", "target", "s"]).drop("s").withColumn("s", fold_case("y")).join(named.withColumnRenamed("node", "q"), ["m", "target", "s"])
-    told = told.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().withColumn("told", F.lit(True))
+    told = told.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.lit(True).alias("told"))
     pairs = pairs.unionByName(told).groupBy("a", "b").agg(F.max("told").alias("told"))
-    side = lambda p: read.select(F.col("node").alias(p), F.col("words").alias(p + "w"), F.col("caps").alias(p + "c"), F.col("rendering").alias(p + "r"))
-    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify(nick), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("kind", T.LongType())])), "kinds")
+    side = lambda p: read.select(F.col("node").alias(p), F.struct("m", "target").alias(p + "m"), F.col("words").alias(p + "w"), F.col("caps").alias(p + "c"), F.col("rendering").alias(p + "r"))
+    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where("am = bm").drop("am", "bm").mapInPandas(_verify(nick), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("kind", T.LongType())])), "kinds")
     comp = components(read, links.where("kind = 2"))
     # weak links between components: one joins another if it leans on that one only, and is vague throughout
     vague = read.select("node", ((F.size("words") == 1) | F.exists("words", lambda w: F.length(F.rtrim(w, F.lit("."))) == 1) | F.exists("words", lambda w: F.endswith(w, F.lit(".")))).alias("vague"))

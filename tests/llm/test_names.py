@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import names
@@ -30,11 +31,33 @@ def test_distance_and_lookup():
         b = "".join(b)
         d = slow(a, b)
         assert names.distance(a, b, 2) == min(d, 3)
-        if len(b) >= 4 and d <= min(names.errors_for(len(a)), names.errors_for(len(b))):
-            assert set(names.index_keys(a)) & set(names.probe_keys(b)), (a, b)
-        k = rng.randrange(len(a) - 1)
-        swapped = a[:k] + a[k + 1] + a[k] + a[k + 2 :]
-        assert set(names.index_keys(a)) & set(names.probe_keys(swapped)), (a, swapped)
+        k = names.errors_for(max(len(a), len(b)))
+        if k and d <= k:
+            assert set(names.index_keys(a)) & set(names.probe_keys(b, longer=True)), (a, b)
+
+
+def harmed(w):
+    """Every word one error away: letters added, dropped and replaced, neighbours swapped."""
+    out = {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in (w[i : i + 1] or w[-1], "z")}
+    out |= {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + "z" + w[i + 1 :] for i in range(len(w))}
+    return out | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+
+
+@pytest.mark.parametrize("n", range(3, 15))
+def test_no_pair_of_words_is_lost(n):
+    rng = random.Random(n)
+    w = "".join(rng.choice("abcdefgh") for _ in range(n))
+    near = harmed(w)
+    if names.errors_for(n + 2) == 2:
+        near |= {x for v in near for x in harmed(v)}
+    index, probe, tried = set(names.index_keys(w)), set(names.probe_keys(w)), 0
+    for v in near - {w}:
+        k = names.errors_for(max(n, len(v)))
+        if k and names.distance(v, w, k) <= k:
+            tried += 1
+            assert index & set(names.probe_keys(v, longer=True)), (w, v)
+            assert index & set(names.probe_keys(v)) or set(names.index_keys(v)) & probe, (w, v)
+    assert tried > n or n == 3
 
 
 def groups(spark, rows, said=()):
