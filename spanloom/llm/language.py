@@ -7,6 +7,7 @@ sample of labelled documents and applied to windows of a fixed number of bytes,
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,12 +28,15 @@ WIDTHS, FILTERS = (2, 3, 4, 6), 20
 #: Bytes of a window.
 WINDOW = 192
 #: Labelled documents per language that are used for training, and stretches taken from each.
-TRAIN_DOCS, TRAIN_CUTS = 200, 8
-#: Characters of a training document from which these are taken; bounds what the driver holds.
-TRAIN_CHARS = 20_000
-EPOCHS, BATCH, SEED = 10, 256, 7
+TRAIN_DOCS, TRAIN_CUTS = 240, 10
+#: Stretches of a training document, of so many characters each and from anywhere in it, that the driver gets at most.
+TRAIN_PARTS, TRAIN_CHARS = 10, 2000
+#: Owners of each label whose lines are used for training too, and lines taken from each.
+TRAIN_OWNERS, TRAIN_LINES = 60, 40
+EPOCHS, BATCH, SEED = 12, 256, 7
 _PAD = max(WIDTHS) - 1
 _LETTERS = re.compile(r"[^\W\d_]")
+_MARKS = re.compile(r"[^\w\s]+")
 
 
 def code_of(label: Column) -> Column:
@@ -177,20 +181,30 @@ def cuts(text: str, rng: np.random.Generator, n: int = TRAIN_CUTS) -> list[bytes
                 w = w[at : at + int(rng.integers(18, 60))]
         if len(_ASCII_OTHER.sub(b"", w)) >= 4:
             out.append(w)
+            if i % 4 == 1:  # as people also write: all in large letters, or in small ones without marks
+                t = w.decode("utf-8", "ignore")
+                out.append((t.upper() if i % 8 == 1 else _MARKS.sub("", t).lower()).encode())
     return out
 
 
-def train(labelled: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Fit on (text, code) pairs; then texts whose label the network rejects are dropped and the fit is repeated."""
+def train(labelled: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = SEED, lines: list[tuple[str, str, str]] = ()) -> Network:
+    """Fit on (text, code) pairs; then what the network rejects is dropped and the fit is repeated.
+
+    ``lines`` are (owner, text, code), short texts whose owner has a label. They come in with the second fit, if the
+    network tells most of an owner's lines as its label does; of these lines only those are left out that are long and
+    clearly in another language.
+    """
     known = [(t, LANGUAGES.index(c)) for t, c in labelled if c in LANGUAGES and t]
     net = Network(seed)
+    short: list[tuple[bytes, int]] = []
     for again in (False, True):
         if again:
             p = text_probabilities(net, [t for t, _ in known])
             known = [x for x, row in zip(known, p) if row.argmax() == x[1]]
+            short = _short(net, lines)
             net = Network(seed)
         rng = np.random.default_rng(seed)
-        data = [(w, y) for t, y in known for w in cuts(t, rng)]
+        data = [(w, y) for t, y in known for w in cuts(t, rng)] + short
         # every language as often: a rare one is drawn again
         of = [[i for i, (_, y) in enumerate(data) if y == k] for k in range(len(LANGUAGES))]
         most = min(max(map(len, of), default=0), TRAIN_DOCS * TRAIN_CUTS)
@@ -205,13 +219,57 @@ def train(labelled: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = SEE
     return net
 
 
-def fitted(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Network:
-    """A network fitted on at most ``per_language`` labelled documents of each language, chosen by the hash of their id."""
+def _short(net: Network, lines: list[tuple[str, str, str]]) -> list[tuple[bytes, int]]:
+    out: list[tuple[bytes, int]] = []
+    by: dict[tuple[str, int], list[str]] = {}
+    for owner, text, code in lines:
+        if code in LANGUAGES and _LETTERS.search(text):
+            by.setdefault((owner, LANGUAGES.index(code)), []).append(text)
+    for (_, y), texts in sorted(by.items()):
+        p = text_probabilities(net, texts)
+        if np.bincount(p.argmax(1), minlength=len(LANGUAGES)).argmax() == y:
+            for t, row in zip(texts, p):
+                w = t.encode("utf-8", "replace")[:WINDOW]
+                if row[y] >= 0.05 or len(_ASCII_OTHER.sub(b"", w)) < 40:
+                    out.append((w, y))
+    return out
+
+
+_DONE: dict[str, Network] = {}
+
+
+def fitted(docs: DataFrame, lines: DataFrame | None = None, labels: DataFrame | None = None, per_language: int = TRAIN_DOCS) -> Network:
+    """A network fitted on at most ``per_language`` labelled documents of each language, chosen by the hash of their id.
+
+    With ``lines`` (owner, id, text) and ``labels`` (owner, lang), also on ``TRAIN_LINES`` lines of ``TRAIN_OWNERS`` owners
+    of each label, see :func:`train`. A sample that was fitted before in this process is not fitted again.
+    """
     x = docs.select("doc_id", code_of(F.col("lang")).alias("code"), F.length("text").alias("n")).where(F.col("code").isin(*LANGUAGES) & (F.col("n") >= 40))
     w = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("doc_id", "code")
-    rows = docs.select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).select("text", "code").collect()
-    return train(sorted((r.text, r.code) for r in rows))
+    ids = x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).groupBy("doc_id").agg(F.min("code").alias("code"))
+    # stretches spread evenly over the whole text, all of it if it is short
+    n = F.length("text")
+    part = lambda i: F.substring(F.col("text"), (F.floor((n - TRAIN_CHARS) * i / (TRAIN_PARTS - 1)) + 1).cast("int"), F.lit(TRAIN_CHARS))
+    sample = F.when(n <= TRAIN_PARTS * TRAIN_CHARS, F.col("text")).otherwise(F.concat_ws("\n", *[part(i) for i in range(TRAIN_PARTS)]))
+    rows = docs.select("doc_id", sample.alias("text")).join(ids, "doc_id").groupBy("doc_id", "code").agg(F.min("text").alias("text")).select("text", "code").collect()
+    sample = sorted((r.text, r.code) for r in rows), _lines(lines, labels) if lines is not None and labels is not None else []
+    name = hashlib.sha256(repr(sample).encode("utf-8", "replace")).hexdigest()
+    if name not in _DONE:
+        while len(_DONE) > 3:
+            _DONE.pop(next(iter(_DONE)))
+        _DONE[name] = train(sample[0], lines=sample[1])
+    return _DONE[name]
+
+
+def _lines(lines: DataFrame, labels: DataFrame) -> list[tuple[str, str, str]]:
+    """(owner, text, code) of a bounded sample of lines, by the hash of owner and id."""
+    n = labels.select("owner", code_of(F.col("lang")).alias("code")).where(F.col("code").isin(*LANGUAGES) & F.col("owner").isNotNull()).groupBy("owner", "code").agg(F.count(F.lit(1)).alias("n"))
+    owners = n.groupBy("owner").agg(F.max_by("code", F.struct("n", "code")).alias("code"))
+    w = Window.partitionBy("code").orderBy(F.xxhash64("owner"), "owner")
+    owners = owners.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TRAIN_OWNERS).drop("r")
+    v = Window.partitionBy("owner").orderBy(F.xxhash64("id"), "id", "text")
+    x = lines.select("owner", "id", "text").where("id is not null and text is not null").join(owners, "owner").withColumn("r", F.row_number().over(v)).where(F.col("r") <= TRAIN_LINES)
+    return sorted((r.owner, r.text, r.code) for r in x.collect())
 
 
 def _classify(net: Network, keys: list[str]):  # noqa: ANN202
@@ -241,10 +299,41 @@ def languages(df: DataFrame, net: Network, keys: list[str]) -> DataFrame:
     return x.mapInArrow(_classify(net, keys), f"{schema}, lang string, confidence float, chances array<float>, letters long")
 
 
-#: How much likelier another language must be than the owner's own before a line counts as foreign.
-FOREIGN_ODDS = 30.0
-#: Letter bytes below which a line tells no language: a borrowed name or a sound in brackets.
-LEAST_LETTERS = 12
+#: What a change of language costs, as the logarithm of odds: so much evidence a stretch needs at either end.
+SWITCH = 2.5
+#: Letter bytes from which a text's evidence counts in full; less counts in proportion.
+FULL_LETTERS = 30
+#: Evidence from which a text shows that another language may be near.
+SHOWN = 1.5
+#: Length of a chunk of an owner's time line, and how far lines around it are looked at, in milliseconds.
+CHUNK_MS, AROUND_MS = 600_000, 60_000
+
+
+def path(evidence: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The likeliest sequence of states, column 0 the usual one, where each change costs ``switch``, at the ends too if not usual."""
+    n, k = evidence.shape
+    back = np.empty((n, k), np.int64)
+    start = np.full(k, -switch)
+    start[0] = 0
+    score = start + evidence[0]
+    for i in range(1, n):
+        best = int(score.argmax())
+        stay = score >= score[best] - switch
+        back[i] = np.where(stay, np.arange(k), best)
+        score = np.where(stay, score, score[best] - switch) + evidence[i]
+    out = np.empty(n, np.int64)
+    out[-1] = int((score + start).argmax())
+    for i in range(n - 1, 0, -1):
+        out[i - 1] = back[i, out[i]]
+    return out
+
+
+def _odds(p: np.ndarray, letters: np.ndarray, main: int) -> tuple[np.ndarray, list[int]]:
+    """Evidence for the usual language and for each other one that some row shows; and which these are."""
+    e = np.log(np.maximum(p, 1e-6))
+    e = (e - e[:, [main]]) * np.minimum(1, letters / FULL_LETTERS)[:, None]
+    shown = [k for k in np.flatnonzero((e >= SHOWN).any(0)).tolist() if k != main]
+    return e[:, [main, *shown]], [main, *shown]
 
 
 def of_owners(lines: DataFrame) -> DataFrame:
@@ -253,11 +342,51 @@ def of_owners(lines: DataFrame) -> DataFrame:
     return votes.groupBy("owner").agg(F.max_by("lang", F.struct("votes", "lang")).alias("main"), (F.max("votes") / F.sum("votes")).alias("share"))
 
 
-def foreign(lines: DataFrame, owners: DataFrame, odds: float = FOREIGN_ODDS) -> DataFrame:
-    """Lines in another language than their owner's: (owner, id, lang, confidence); see ``LEAST_LETTERS``."""
-    x = lines.where(F.col("letters") >= LEAST_LETTERS).join(owners.select("owner", "main"), "owner").where("lang <> main")
+def _foreign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rest: pa.Table | None = None
+    code = {x: i for i, x in enumerate(LANGUAGES)}
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        ids, mine = t["id"].to_pylist(), t["mine"].to_numpy()
+        once = np.array([True, *(x != y for x, y in zip(ids, ids[1:]))])  # delivered twice: neighbours in the order
+        at = np.flatnonzero(once)
+        p = np.array(t["chances"].take(pa.array(at)).to_pylist(), np.float64)
+        e, states = _odds(p, t["letters"].to_numpy()[at], code[t["main"][0].as_py()])
+        way = path(e)
+        hit = np.flatnonzero((way > 0) & mine[at])
+        lang = np.array(states)[way[hit]]
+        return pa.RecordBatch.from_arrays([t["owner"].take(pa.array(at[hit])).combine_chunks().cast(pa.string()), pa.array([ids[i] for i in at[hit]], pa.string()), pa.array([LANGUAGES[k] for k in lang], pa.string()), pa.array(p[hit, lang].astype(np.float32))], ["owner", "id", "lang", "confidence"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        owner, chunk = t["owner"].to_numpy(), t["chunk"].to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (chunk[1:] != chunk[:-1])])).tolist()
+        for lo, hi in zip(cut, cut[1:]):
+            yield done(t.slice(lo, hi - lo))
+        rest = t.slice(cut[-1]).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield done(rest)
+
+
+def foreign(lines: DataFrame, owners: DataFrame, chunk_ms: int = CHUNK_MS, around_ms: int = AROUND_MS) -> DataFrame:
+    """Lines in another language than their owner's: (owner, id, lang, confidence), the network's chance of that language.
+
+    Lines are judged in order, together: the likeliest sequence of languages in which each change costs ``SWITCH``. So a
+    short line is told by its neighbours, and a single odd line, such as one with a name, is none. Every line with a letter
+    is judged. An owner's time line is cut into chunks, with the lines ``around_ms`` on either side looked at too; chunks
+    near no line that shows another language (``SHOWN``) are left out.
+    """
+    x = lines.join(owners.select("owner", "main"), "owner").withColumn("at", F.coalesce("start_ms", "end_ms", F.lit(0).cast("long")))
+    near = F.sequence(F.floor((F.col("at") - around_ms) / chunk_ms), F.floor((F.col("at") + around_ms) / chunk_ms))
     own = F.element_at("chances", F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("main")).cast("int"))
-    return x.where(F.col("confidence") >= odds * F.greatest(own, F.lit(1e-6))).select("owner", "id", "lang", "confidence")
+    evidence = F.log(F.col("confidence") / F.greatest(own, F.lit(1e-6))) * F.least(F.lit(1.0), F.col("letters") / FULL_LETTERS)
+    active = x.where((F.col("lang") != F.col("main")) & (evidence >= SHOWN)).select("owner", F.explode(near).alias("chunk")).distinct()
+    spread = x.select("owner", "id", "at", "end_ms", "main", "chances", "letters", F.floor(F.col("at") / chunk_ms).alias("own"), F.explode(near).alias("chunk")).join(active, ["owner", "chunk"], "left_semi")
+    spread = spread.select("owner", "chunk", "at", "end_ms", "id", "main", "chances", "letters", (F.col("own") == F.col("chunk")).alias("mine"))
+    return spread.repartition("owner", "chunk").sortWithinPartitions("owner", "chunk", "at", "end_ms", "id").mapInArrow(_foreign, "owner string, id string, lang string, confidence float")
 
 
 #: Foreign lines of one language that begin within this time of the last one's start are one stretch.
@@ -285,5 +414,37 @@ def mislabelled(df: DataFrame, label: Column) -> Column:
 
 def classified_cues(cues: DataFrame, owner: Column, net: Network) -> DataFrame:
     """Every cue delivered, once, with its language; written to the shared folder, for it is read more than once."""
-    x = cues.select(owner.alias("owner"), "id", "text").where("owner is not null and id is not null")
-    return materialize(languages(x, net, ["owner", "id"]), "languages")
+    x = cues.select(owner.alias("owner"), "id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), "text").where("owner is not null and id is not null")
+    return materialize(languages(x, net, ["owner", "id", "start_ms", "end_ms"]), "languages")
+
+
+def segments(df: DataFrame, net: Network, key: str) -> DataFrame:
+    """The stretches of each text in one language: (key, nth, lang, from_pos, to_pos, confidence), places in code points.
+
+    A text's windows are judged in order as :func:`foreign` judges lines; its first segment begins at 0 and the last one
+    ends at its length. Rows whose text is null or without a letter have none; other rows have them as often as they stand.
+    """
+    kind = df.select(key).schema[0].dataType.simpleString()
+    arrow = pa.schema([(key, {"bigint": pa.int64(), "string": pa.string()}[kind]), ("nth", pa.int32()), ("lang", pa.string()), ("from_pos", pa.int64()), ("to_pos", pa.int64()), ("confidence", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for k, text in zip(b[key].to_pylist(), b["text"].to_pylist()):
+                parts = windows_of(text)
+                n = _letters(parts) if parts else np.zeros(0)
+                if not n.sum():
+                    continue
+                p = net.predict(parts)
+                e, states = _odds(p, n, int((p * n[:, None]).sum(0).argmax()))
+                way = path(e)
+                # a byte that begins a character is none of 10xxxxxx
+                ends = np.cumsum([sum(1 for x in w if x & 0xC0 != 0x80) for w in parts])
+                cut = np.flatnonzero(np.concatenate([[True], way[1:] != way[:-1]])).tolist()
+                for i, (lo, hi) in enumerate(zip(cut, [*cut[1:], len(parts)])):
+                    lang = states[way[lo]]
+                    out.append((k, i, LANGUAGES[lang], int(ends[lo - 1]) if lo else 0, int(ends[hi - 1]), float((p[lo:hi, lang] * n[lo:hi]).sum() / max(n[lo:hi].sum(), 1e-9))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return df.select(key, "text").where("text is not null").mapInArrow(run, f"`{key}` {kind}, nth int, lang string, from_pos long, to_pos long, confidence double")

@@ -27,10 +27,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_runs(spark, folder).select("profile", "first_id", "last_id")
 
 
+def _network(spark: SparkSession, folder: str) -> language.Network:
+    """Fitted on documents by their label, and on cues by the label of their profile's chunks."""
+    lines = load(spark, folder, "cues").select(key_of("profile").alias("owner"), "id", "text")
+    labels = load(spark, folder, "chunks").select(key_of("profile").alias("owner"), F.col("payload.language.code").alias("lang"))
+    return language.fitted(load(spark, folder, "documents"), lines, labels)
+
+
 def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents, foreign cues and sessions with their languages: (doc_id, label, ...), (id, ...), (session_id, label, ...)."""
     docs = load(spark, folder, "documents")
-    net = language.fitted(docs)
+    net = _network(spark, folder)
     cues = language.classified_cues(load(spark, folder, "cues"), key_of("profile"), net)
     owners = language.of_owners(cues)
     texts = language.languages(docs.withColumnRenamed("lang", "label"), net, ["doc_id", "label"])
@@ -62,6 +69,12 @@ def p4_stretches(spark: SparkSession, folder: str) -> DataFrame:
     return language.stretches(_languages(spark, folder)[1], load(spark, folder, "cues"), key_of("profile")).withColumnRenamed("owner", "profile")
 
 
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of every document in one language, with a confidence."""
+    docs = load(spark, folder, "documents").select("doc_id", "text").distinct()
+    return language.segments(docs, _network(spark, folder), "doc_id")
+
+
 def p5_names(spark: SparkSession, folder: str) -> DataFrame:
     """Every glossary row with the number of the one it names."""
     glossary, contexts, nick = (load(spark, folder, t) for t in ("glossary", "contexts", "nicknames"))
@@ -106,6 +119,6 @@ def p9_groups(spark: SparkSession, folder: str) -> DataFrame:
     return spans.repeats(load(spark, folder, "documents")).withColumnRenamed("repeat", "group")
 
 
-QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared, "p9_groups": p9_groups}
+QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p4_stretches": p4_stretches, "p4_segments": p4_segments, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared, "p9_groups": p9_groups}
 
 ORACLES: dict[str, str] = {}

@@ -1,5 +1,6 @@
 """The byte network on held-out sentences, and the rules about labels and foreign lines."""
 
+import itertools
 import random
 
 import numpy as np
@@ -49,18 +50,53 @@ def test_tables(spark, net):
     df = language.languages(spark.createDataFrame(docs, "doc_id long, text string, label string"), net, ["doc_id", "label"])
     got = {r.doc_id: r.lang for r in df.where(language.mislabelled(df, F.col("label"))).collect()}
     assert got == {2: "de", 6: "yue", 7: "ru"}
-    cues = [("p", f"{i}", sentence("en", rng, 6)) for i in range(20)] + [("p", "x", sentence("ru", rng, 6)), ("p", "y", "Да"), (None, "z", "no key"), ("p", None, "no id"), ("p", "e", "")]
-    lines = language.classified_cues(spark.createDataFrame(cues, "k string, id string, text string"), F.col("k"), net)
+    cues = [("p", f"{i}", sentence("en", rng, 6)) for i in range(20)] + [("p", "x", sentence("ru", rng, 8)), ("p", "y", "Да"), (None, "z", "no key"), ("p", None, "no id"), ("p", "e", "")]
+    cues = [(k, i, n * 1000, None, t) for n, (k, i, t) in enumerate(cues)]
+    cues += cues[-5:] + [("p", "late", 900_000, 900_100, "Да"), ("p", "none", None, None, "the night"), ("q", "1", 0, 5, "12")]
+    df = spark.createDataFrame(cues, "k string, id string, start_ms long, end_ms long, text string")
+    lines = language.classified_cues(df, F.col("k"), net)
     owners = language.of_owners(lines)
     assert [(r.owner, r.main) for r in owners.collect()] == [("p", "en")]
-    assert [(r.id, r.lang) for r in language.foreign(lines, owners).collect()] == [("x", "ru")]
-    times = [(k, i, n * 1000, None) for n, (k, i, _) in enumerate(cues)]
-    far = language.foreign(lines, owners)
-    got = language.stretches(far, spark.createDataFrame(times, "k string, id string, start_ms long, end_ms long"), F.col("k")).collect()
-    assert [(r.lang, r.first_id, r.last_id, r.lines, r.start_ms, r.end_ms) for r in got] == [("ru", "x", "x", 1, 20_000, 20_000)]
+    # a short line is told by its neighbours, whatever the chunks
+    for chunk in (600_000, 7_000):
+        far = language.foreign(lines, owners, chunk)
+        assert sorted((r.id, r.lang) for r in far.collect()) == [("x", "ru"), ("y", "ru")]
+    got = language.stretches(far, df, F.col("k")).collect()
+    assert [(r.lang, r.first_id, r.last_id, r.lines, r.start_ms, r.end_ms) for r in got] == [("ru", "x", "y", 2, 20_000, 21_000)]
+    assert language.foreign(lines.where("false"), owners).count() == 0
     assert language.languages(spark.createDataFrame([], "doc_id long, text string"), net, ["doc_id"]).count() == 0
 
 
+def test_path_is_the_best_sequence():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        e = np.concatenate([np.zeros((6, 1)), rng.normal(0, 4, (6, 2))], axis=1)
+        cost = lambda w: sum(e[i, s] for i, s in enumerate(w)) - 2.5 * sum(a != b for a, b in zip((0, *w), (*w, 0)))  # noqa: E731, B023
+        best = max(itertools.product(range(3), repeat=6), key=cost)
+        assert abs(cost(tuple(language.path(e, 2.5).tolist())) - cost(best)) < 1e-9
+
+
+def test_segments(spark, net):
+    rng = random.Random(7)
+    en, ru, ja = sentence("en", rng, 120), sentence("ru", rng, 90), sentence("ja", rng, 60)
+    docs = [(1, f"{en} {ru} {en}"), (2, ja), (3, ""), (4, None), (5, "12 !"), (None, ja)]
+    got = language.segments(spark.createDataFrame(docs, "doc_id long, text string"), net, "doc_id").collect()
+    one = sorted((r.nth, r.lang, r.from_pos, r.to_pos) for r in got if r.doc_id == 1)
+    assert [x[1] for x in one] == ["en", "ru", "en"] and one[0][2] == 0 and one[-1][3] == len(docs[0][1]) and all(a[3] == b[2] for a, b in zip(one, one[1:]))
+    assert abs(one[1][2] - len(en)) < 200 and abs(one[1][3] - len(en) - len(ru)) < 200
+    assert [(r.lang, r.from_pos, r.to_pos) for r in got if r.doc_id == 2] == [("ja", 0, len(ja))] and {r.doc_id for r in got} == {1, 2, None}
+
+
+def test_lines_join_the_training(spark, net):
+    lines = [(o, t, c) for o, c in (("a", "en"), ("b", "de")) for t in (sentence(c, random.Random(1), 9), sentence(c, random.Random(4), 9), "Ciak 3, Umberto.")] + [("c", sentence("en", random.Random(2), 9), "ru"), ("d", "Go", "xx"), ("e", "12", "en")]
+    assert {(w.decode(), y) for w, y in language._short(net, lines)} >= {("Ciak 3, Umberto.", 0), ("Ciak 3, Umberto.", 1)}
+    assert not [1 for w, y in language._short(net, lines) if language.LANGUAGES[y] == "ru"]
+    docs = spark.createDataFrame([(i, sentence(c, random.Random(i), 40), c) for i, c in enumerate(["en", "ru"] * 4)], "doc_id long, text string, lang string")
+    few = spark.createDataFrame([("a", "1", "the night and the water"), ("a", "1", "the night and the water"), (None, "2", "x"), ("b", None, "x")], "owner string, id string, text string")
+    assert language._lines(few, spark.createDataFrame([("a", "EN"), ("a", None), (None, "ru")], "owner string, lang string")) == [("a", "the night and the water", "en")] * 2
+    assert language.fitted(docs, few, few.select("owner", F.lit("en").alias("lang"))) is language.fitted(docs, few, few.select("owner", F.lit("en").alias("lang")))
+
+
 @pytest.mark.parametrize(("label", "code"), [("EN", "en"), ("pt-BR", "pt"), ("zho", "zh"), ("zh-yue", "yue"), (" fra ", "fr"), ("", None), ("und", None), ("auto", None), (None, None), ("xx", "xx")])
 def test_codes(spark, label, code):
     assert spark.createDataFrame([(label,)], "l string").select(language.code_of(F.col("l")).alias("c")).first().c == code
