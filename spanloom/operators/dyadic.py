@@ -4,6 +4,7 @@ An integer interval is cut into canonical dyadic blocks ``[i*2^k, (i+1)*2^k)``.
 a block is redundant exactly if an ancestor is there, and two siblings are worth their parent. Blocks never leave their
 tile of ``2^TILE`` units. Therefore a tile's distinct blocks are bounded however many intervals an entity has, and a
 hot entity is spread over its tiles; only the outermost period of either end of a tile is matched with its neighbours.
+The whole tiles of an interval over very many of them are decomposed once more, with tiles as the unit.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: log2 of a tile's length: about 70 minutes in milliseconds.
 TILE = 22
+#: Whole tiles from which an interval counts as long: up to there each of them is a row.
+LONG = 64
 
 
 def decompose(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,14 +157,39 @@ def periods_and_gaps(df: DataFrame, tbl: str | Column, owner: str, lo: str, hi:
 
 
 def between(x: DataFrame) -> DataFrame:
-    """As :func:`periods_and_gaps`, of rows (tbl, owner, lo, hi) of any number of tables."""
+    """As :func:`periods_and_gaps`, of rows (tbl, owner, lo, hi) of any number of tables.
+
+    Intervals of ``LONG`` tiles and more are rare. If there are any, their whole tiles become periods in a unit of one
+    tile, by this same function; only their owners' periods are then put in one order.
+    """
     x = x.where("tbl is not null and owner is not null and lo >= 0 and lo < hi")
-    tiles = tile_periods(x)
+    long = x.where(F.shiftright(F.col("hi") - F.col("lo"), TILE) >= LONG)
+    if long.isEmpty():
+        return _kinds(_joined(tile_periods(x)))
+    from_tile, to_tile = F.shiftright(F.col("lo") + ((1 << TILE) - 1), TILE), F.shiftright("hi", TILE)
+    inside = long.select("tbl", "owner", from_tile.alias("lo"), to_tile.alias("hi"))
+    wide = between(inside).where("kind = 'period'").select("tbl", "owner", F.shiftleft("from_ms", TILE).alias("lo"), F.shiftleft("to_ms", TILE).alias("hi"))
+    ends = F.array(F.struct("lo", F.shiftleft(from_tile, TILE).alias("hi")), F.struct(F.shiftleft(to_tile, TILE).alias("lo"), "hi"))
+    ends = long.select("tbl", "owner", F.explode(ends).alias("e")).select("tbl", "owner", "e.lo", "e.hi").where("lo < hi")
+    tiles = tile_periods(x.where(F.shiftright(F.col("hi") - F.col("lo"), TILE) < LONG).select("tbl", "owner", "lo", "hi").unionByName(ends))
+    owners = wide.select("tbl", "owner").distinct()
+    w = Window.partitionBy("tbl", "owner").orderBy("lo", "hi")
+    mixed = tiles.join(owners, ["tbl", "owner"], "left_semi").select("tbl", "owner", "lo", "hi").unionByName(wide)
+    mixed = mixed.withColumn("new", F.coalesce((F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    mixed = mixed.groupBy("tbl", "owner", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run").withColumn("next", F.lead("lo").over(w))
+    return _kinds(_joined(tiles.join(owners, ["tbl", "owner"], "left_anti")).unionByName(mixed))
+
+
+def _joined(tiles: DataFrame) -> DataFrame:
+    """Periods of tiles to whole ones: (tbl, owner, lo, hi, next), the start of the owner's next period."""
     # the edges of one owner are two per tile at most; periods that touch across a tile's border are one
     w = Window.partitionBy("tbl", "owner").orderBy("lo")
     edges = tiles.where("edge").withColumn("new", F.coalesce((F.lag("hi").over(w) != F.col("lo")).cast("int"), F.lit(1))).withColumn("after", F.lead("lo").over(w)).withColumn("run", F.sum("new").over(w))
     whole = edges.groupBy("tbl", "owner", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max_by(F.when(F.col("next_lo") >= 0, F.col("next_lo")).otherwise(F.col("after")), "lo").alias("next"))
     inner = tiles.where("not edge").select("tbl", "owner", "lo", "hi", F.col("next_lo").alias("next"))
-    both = whole.select("tbl", "owner", "lo", "hi", "next").unionByName(inner)
+    return whole.select("tbl", "owner", "lo", "hi", "next").unionByName(inner)
+
+
+def _kinds(periods: DataFrame) -> DataFrame:
     kinds = F.array(F.struct(F.lit("period").alias("kind"), F.col("lo").alias("from_ms"), F.col("hi").alias("to_ms")), F.when(F.col("next") > F.col("hi"), F.struct(F.lit("gap").alias("kind"), F.col("hi").alias("from_ms"), F.col("next").alias("to_ms"))))
-    return both.select("tbl", "owner", F.explode(F.array_compact(kinds)).alias("x")).select("tbl", "owner", "x.kind", "x.from_ms", "x.to_ms")
+    return periods.select("tbl", "owner", F.explode(F.array_compact(kinds)).alias("x")).select("tbl", "owner", "x.kind", "x.from_ms", "x.to_ms")

@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets that a range may stand in; a longer one goes to coarser buckets, each level as much coarser.
+SPREAD = 64
+
+
 def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: Column, lo: str, hi: str, bucket: int, how: str = "inner", upper: int = 0) -> DataFrame:
     """Rows of ``points`` with the ranges [lo, hi + upper) of the same keys that hold ``at``.
 
     A range stands in every bucket it meets and a point in one, so a pair is found once and no product of the sides is
-    made; ``bucket`` is best near the usual length of a range. Names other than the keys must differ. ``how`` is
-    inner, left, left_semi or left_anti.
+    made; ``bucket`` is best near the usual length of a range. Ranges over more than ``SPREAD`` buckets are joined apart,
+    by buckets that much longer, and so on: a range is never more than ``SPREAD`` + 1 rows. Names other than the keys must
+    differ. ``how`` is inner, left, left_semi or left_anti.
     """
+    size = F.floor((F.col(hi) + upper - F.col(lo)) / bucket)
+    levels = _level(ranges.agg(F.max(size).alias("n")).first().n)
+    part = lambda k: ranges if not levels else ranges.where((size >= SPREAD**k if k else F.lit(True)) & (size < SPREAD ** (k + 1)))
+    one = lambda p, k, how: _bucket_join(p, part(k), keys, at, lo, hi, bucket * SPREAD**k, how, upper)
+    if not levels:
+        return one(points, 0, how)
+    rest, found = points, []
+    for k in range(levels + 1):
+        if how in ("inner", "left"):
+            found.append(one(points, k, "inner"))
+        elif how == "left_semi":
+            found.append(one(rest, k, "left_semi"))
+        rest = one(rest, k, "left_anti") if how != "inner" else rest
+    if how == "left_anti":
+        return rest
+    if how == "left":
+        found.append(rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in ranges.schema if f.name not in keys]))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _level(buckets: int | None) -> int:
+    n = 0
+    while buckets is not None and buckets >= SPREAD ** (n + 1):
+        n += 1
+    return n
+
+
+def _bucket_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: Column, lo: str, hi: str, bucket: int, how: str, upper: int) -> DataFrame:
     p = points.withColumn("_at", at).withColumn("_bucket", F.floor(F.col("_at") / bucket))
     r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor((F.col(hi) + upper) / bucket))))
     for k in keys:

@@ -52,15 +52,28 @@ def common_words(df: DataFrame, by: list[str], text: str) -> DataFrame:
     return word_cases(df, by, text).where("small >= 1 and small >= other")
 
 
-def mentions(names: DataFrame, texts: DataFrame, keys: list[str], name: str, text: str) -> DataFrame:
-    """Per name: texts that hold it as a word, and occurrences; an equi-join on the name's first word, then an exact test.
+#: A run of letters, of which every name and every text is a row for the join of :func:`hits`.
+RUN = "[\\p{L}\\p{Nl}\\p{No}]+"
 
-    ``names`` and ``texts`` share the key columns. Names without a word and names never mentioned are left out.
+
+def hits(names: DataFrame, texts: DataFrame, keys: list[str], name: str, text: str, text_id: str, any_case: bool = False) -> DataFrame:
+    """(keys, name, text_id, k): the texts that hold a name as a word, and how often.
+
+    No letter may stand before or behind the name; other signs in it count as they are. ``names`` and ``texts`` share the
+    key columns, in which ``text_id`` is one text. Names and texts meet by the name's first run of letters, ids only; a
+    text is fetched for those pairs. Names without a letter are left out. With ``any_case`` case does not count.
     """
-    head = F.regexp_extract(F.col(name), f"({WORD})", 1)
-    n = names.select(*keys, name).distinct().withColumn("_w", head).where("_w <> ''")
-    t = texts.withColumn("_id", F.monotonically_increasing_id()).withColumn("_w", F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))))
+    small = F.lower if any_case else (lambda c: c)
+    n = names.select(*keys, name).distinct().withColumn("_w", small(F.regexp_extract(F.col(name), f"({RUN})", 1))).where("_w <> ''")
+    heads = n.select(*keys, "_w").distinct()
+    t = texts.select(*keys, text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0)))).alias("_w")).withColumn("_w", small(F.col("_w")))
+    near = t.join(heads, [*keys, "_w"], "left_semi").distinct().join(n, [*keys, "_w"]).select(*keys, text_id, name)
     escaped = F.regexp_replace(F.col(name), "([\\\\.\\[\\]{}()*+?^$|])", "\\\\$1")
-    pattern = F.concat(F.lit("(?<![\\p{L}\\p{N}])"), escaped, F.lit("(?![\\p{L}\\p{N}])"))
-    hits = n.join(t, [*keys, "_w"]).withColumn("k", F.regexp_count(F.col(text), pattern)).where("k > 0")
-    return hits.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("mentions"), F.sum("k").alias("occurrences"))
+    edge = RUN[:-1]
+    pattern = F.concat(F.lit(("(?iu)" if any_case else "") + f"(?<!{edge})"), escaped, F.lit(f"(?!{edge})"))
+    return near.join(texts.select(*keys, text_id, text), [*keys, text_id]).withColumn("k", F.regexp_count(F.col(text), pattern)).where("k > 0").select(*keys, name, text_id, "k")
+
+
+def mentions(names: DataFrame, texts: DataFrame, keys: list[str], name: str, text: str, text_id: str) -> DataFrame:
+    """Per name: texts that hold it as a word, and occurrences; see :func:`hits`. Names never mentioned are left out."""
+    return hits(names, texts, keys, name, text, text_id).groupBy(*keys, name).agg(F.count(F.lit(1)).alias("mentions"), F.sum("k").alias("occurrences"))

@@ -118,10 +118,10 @@ def common_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """Glossary names by mentions in the film's cues: cues that hold the name as a word."""
-    names = _glossary(spark, folder).where("source rlike '^[A-Za-z]+( [A-Za-z]+)*$'").select("media", "source")
-    cues = fr.cues(spark, folder).where("media is not null").select("media", "id", "text").distinct()
-    return measures.mentions(names, cues, ["media"], "source", "text").select("media", "source", "mentions")
+    """Glossary names by mentions in the film's cues: cues that hold the name as a word, and how often it stands in them."""
+    names = _glossary(spark, folder).select("media", "source")
+    cues = fr.cues(spark, folder).where("media is not null").groupBy("media", "id").agg(F.min("text").alias("text"))
+    return measures.mentions(names, cues, ["media"], "source", "text", "id")
 
 
 def known_languages(spark: SparkSession, folder: str) -> DataFrame:
@@ -371,7 +371,10 @@ ORACLES = {
     "fragment_count": f"WITH {_C} SELECT profile, count(*) captions, count(*) FILTER (WHERE len(list_filter(regexp_split_to_array(text, '{fr._BL}+'), lambda x: x <> '')) < 3) fragments FROM c GROUP BY 1",
     "word_case_stats": f"WITH {_C}, w AS (SELECT profile, unnest(regexp_extract_all(text, '{_WD}')) w FROM c) SELECT profile, lower(w) word, count(*) FILTER (WHERE regexp_matches(w, '^\\p{{Ll}}')) small, count(*) FILTER (WHERE NOT regexp_matches(w, '^\\p{{Ll}}')) other FROM w GROUP BY 1, 2",
     "common_words": f"WITH w AS (SELECT {fr.sql_key('source')} src, unnest(regexp_extract_all(text, '{_WD}')) w FROM documents WHERE text IS NOT NULL), g AS (SELECT src, lower(w) word, count(*) FILTER (WHERE regexp_matches(w, '^\\p{{Ll}}')) small, count(*) FILTER (WHERE NOT regexp_matches(w, '^\\p{{Ll}}')) other FROM w WHERE src <> '' GROUP BY 1, 2) SELECT * FROM g WHERE small >= 1 AND small >= other",
-    "name_mentions": f"WITH {fr.CUES}, {_G}, n AS (SELECT DISTINCT media, source FROM gl WHERE regexp_matches(source, '^[A-Za-z]+( [A-Za-z]+)*$')), c AS (SELECT DISTINCT media, id, text FROM cu WHERE media <> '') SELECT n.media, source, count(*) mentions FROM n JOIN c ON c.media = n.media AND regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}])' || source || '($|[^\\p{{L}}\\p{{N}}])') AND list_contains(regexp_extract_all(text, '{_WD}'), regexp_extract(source, '{_WD}')) GROUP BY 1, 2",
+    # every sign that is no letter stands twice, so that neighbours don't share the sign between them
+    "name_mentions": f"""WITH {fr.CUES}, {_G}, n AS (SELECT DISTINCT media, source, {fr.sql_escaped(fr.sql_twice('source'))} p FROM gl WHERE regexp_matches(source, '{fr.LETTER}')), c AS (SELECT media, id, {fr.sql_twice('min(text)')} t FROM cu WHERE media <> '' GROUP BY 1, 2),
+ h AS (SELECT n.media, source, len(regexp_extract_all(t, '(?:^|{fr.OTHER})' || p || '(?:$|{fr.OTHER})')) k FROM n JOIN c ON c.media = n.media AND contains(t, {fr.sql_twice('source')}))
+ SELECT media, source, count(*) mentions, CAST(sum(k) AS BIGINT) occurrences FROM h WHERE k > 0 GROUP BY 1, 2""",
     "known_languages": f"WITH k AS (SELECT DISTINCT {fr.sql_key('profile')} profile, seq, start_ms, payload.language.code code FROM chunks WHERE start_ms IS NOT NULL) SELECT profile, arg_min(code, ((start_ms, seq), code)) first_known, arg_max(code, ((start_ms, seq), code)) last_known FROM k WHERE profile <> '' AND code <> 'und' GROUP BY 1",
     "latency_rank": "SELECT event_type, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS value, count(*) n FROM events WHERE value IS NOT NULL GROUP BY 1",
     "realtime_factor": f"WITH {fr.CHUNKS}, {fr.islands('isl', 'ch')} SELECT a.profile, wall_ms, media_ms FROM (SELECT profile, epoch_us(max(updated)) // 1000 - epoch_us(min(updated)) // 1000 wall_ms FROM ch GROUP BY 1) a JOIN (SELECT profile, CAST(sum(end_ms - start_ms) AS BIGINT) media_ms FROM isl GROUP BY 1) b ON a.profile = b.profile",

@@ -32,6 +32,18 @@ def sql_joined(texts: str) -> str:
     return tight(tight(f"array_to_string(list_filter({texts}, lambda x: x <> ''), ' ')"))
 
 
+LETTER, OTHER = "[\\p{L}\\p{Nl}\\p{No}]", "[^\\p{L}\\p{Nl}\\p{No}]"
+
+
+def sql_twice(text: str) -> str:
+    """With every sign that is no letter twice."""
+    return f"regexp_replace({text}, '({OTHER})', '\\1\\1', 'g')"
+
+
+def sql_escaped(name: str) -> str:
+    return f"regexp_replace({name}, '([\\\\.\\[\\]{{}}()*+?^$|])', '\\\\\\1', 'g')"
+
+
 def sql_clean(text: str) -> str:
     return sql_strip(f"regexp_replace(regexp_replace({text}, '<[^>]*>|\\{{[^}}]*\\}}', '', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g')")
 

@@ -44,13 +44,21 @@ def coverage_holes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def completeness(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether chunks cover all of a profile's media; a profile without chunks is incomplete."""
     x = _islands(spark, folder).groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))
-    return x.join(fr.durations(spark, folder), "profile").select("profile", ((F.col("n") == 1) & (F.col("a") == 0) & (F.col("b") == F.col("duration_ms"))).alias("complete"))
+    done = (F.col("n") == 1) & (F.col("a") == 0) & (F.col("b") == F.col("duration_ms"))
+    return fr.durations(spark, folder).join(x, "profile", "left").select("profile", F.coalesce(done, F.lit(False)).alias("complete"))
 
 
 def _reached(spark: SparkSession, folder: str, islands: DataFrame, name: str) -> DataFrame:
-    """Sessions with the end of the island that holds their position, else the position itself."""
-    return joins.range_join(fr.sessions(spark, folder), islands.select("profile", F.col("start_ms").alias("a"), F.col("end_ms").alias("b")), ["profile"], F.col("position_ms"), "a", "b", 600_000, "left").withColumn(name, F.coalesce("b", "position_ms")).drop("a", "b")
+    """Sessions with the end of the island that holds their position, else the position itself.
+
+    Islands are disjoint, so only the last one that begins by then can hold a position.
+    """
+    marks = islands.select("profile", F.col("start_ms").alias("_a"), F.col("end_ms").cast("string").alias("_b"))
+    x = joins.as_of(fr.sessions(spark, folder), marks, ["profile"], "position_ms", "_a", "_b")
+    end = F.col("_b").cast("long")
+    return x.withColumn(name, F.when(end > F.col("position_ms"), end).otherwise(F.col("position_ms"))).drop("_a", "_b")
 
 
 def continuous_end(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,11 +98,13 @@ def coverage_strip(spark: SparkSession, folder: str) -> DataFrame:
     s = s.withColumn("k", F.concat_ws("/", "session_id", "epoch", "seq", "position_ms"))
 
     def window(islands: DataFrame) -> DataFrame:
-        r = islands.select("profile", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
-        # either side stands in the 90 s buckets it meets; a pair that meets in two counts once
+        """Of disjoint islands the parts in each window: the one that holds its start, and those that begin in it."""
+        marks = islands.select("profile", F.col("start_ms").alias("a"), F.col("end_ms").cast("string").alias("e"))
+        first = joins.as_of(s, marks, ["profile"], "position_ms", "a", "e").select("k", "position_ms", "a", F.col("e").cast("long").alias("b"))
         near = s.withColumn("bucket", F.explode(F.array(F.floor(F.col("position_ms") / 90_000), F.floor(F.col("position_ms") / 90_000) + 1)))
-        r = r.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / 90_000), F.floor((F.col("b") - 1) / 90_000))))
-        x = near.join(r, ["profile", "bucket"]).where("b > position_ms and a < position_ms + 90000").select("k", "position_ms", "a", "b").distinct()
+        later = islands.select("profile", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), F.floor(F.col("start_ms") / 90_000).alias("bucket"))
+        later = near.join(later, ["profile", "bucket"]).where("a > position_ms and a < position_ms + 90000").select("k", "position_ms", "a", "b")
+        x = first.where("b > position_ms").unionByName(later).distinct()
         lo, hi = spans.clip(F.col("a"), F.col("b"), F.col("position_ms"), F.col("position_ms") + 90_000)
         return x.select("k", lo.alias("start_ms"), hi.alias("end_ms")).where("start_ms < end_ms")
 
@@ -189,7 +199,7 @@ ORACLES = {
     "coverage_union": f"WITH {fr.CHUNKS}, {_PREP}, {_UNI}, {_I('un', 'un0')} SELECT * FROM un",
     "coverage_subtract": f"WITH {fr.CHUNKS}, {_PREP}, {_minus('d', 'ch', 'pr', 'profile')} SELECT profile, start_ms, end_ms FROM d",
     "coverage_holes": f"WITH {fr.CHUNKS}, {fr.DURATIONS}, {_I('isl', 'ch')}, wh AS (SELECT profile, 0 start_ms, duration_ms end_ms FROM du), cl AS (SELECT isl.profile, isl.start_ms, least(isl.end_ms, du.duration_ms) end_ms FROM isl JOIN du USING (profile) WHERE isl.start_ms < du.duration_ms), {_minus('d', 'wh', 'cl', 'profile')} SELECT profile, start_ms, end_ms FROM d",
-    "completeness": f"WITH {fr.CHUNKS}, {fr.DURATIONS}, {_I('isl', 'ch')} SELECT profile, count(*) = 1 AND min(start_ms) = 0 AND max(end_ms) = max(duration_ms) complete FROM isl JOIN du USING (profile) GROUP BY 1",
+    "completeness": f"WITH {fr.CHUNKS}, {fr.DURATIONS}, {_I('isl', 'ch')} SELECT profile, coalesce(count(start_ms) = 1 AND min(start_ms) = 0 AND max(end_ms) = max(duration_ms), false) complete FROM du LEFT JOIN isl USING (profile) GROUP BY 1",
     "continuous_end": f"WITH {fr.CHUNKS}, {fr.SESSIONS}, {_I('isl', 'ch')}, {_REACH} SELECT session_id, epoch, seq, position_ms, reached reached_ms FROM re",
     "stabbing": f"WITH {fr.CHUNKS}, {fr.SESSIONS} SELECT session_id, se.epoch, se.seq, position_ms, arg_max(ch.seq, (ch.start_ms, ch.seq)) chunk, max(ch.start_ms) start_ms FROM se JOIN ch ON ch.profile = se.profile AND ch.start_ms <= position_ms AND ch.end_ms > position_ms GROUP BY 1, 2, 3, 4",
     "next_interval": f"WITH {fr.CHUNKS}, {fr.SESSIONS} SELECT session_id, epoch, seq, position_ms, (SELECT min(ch.start_ms) FROM ch WHERE ch.profile = se.profile AND ch.start_ms > se.position_ms) next_ms FROM se",

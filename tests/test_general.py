@@ -52,6 +52,14 @@ def test_edges(spark):
     assert got(spark, []) == set()
 
 
+def test_long_intervals_are_few_rows(spark):
+    tile, rng = 1 << dyadic.TILE, random.Random(9)
+    far = tile * dyadic.LONG
+    rows = [("a", 5, far + 9, "x"), ("a", far + 9, far + 12, "x"), ("a", far * 3 + 1, far * 3 + 2, "x"), ("b", 0, 1 << 62, "x"), ("b", 77, 99, "x"), ("c", 3, 9, "x"), ("c", tile * 200, tile * 200 + 1, "x"), ("d", tile, tile + far, "x"), ("d", tile + far, 2 * far + 5 * tile, "x")]
+    rows += [(w, a := rng.randrange(far * 4), a + rng.choice((tile // 2, tile * 3, far, far * 2)), "x") for w in "efg" for _ in range(6)] + [(w, a := rng.randrange(far * 9), a + 1000, "x") for w in "efg" for _ in range(40)]
+    assert got(spark, rows) == plain(rows)
+
+
 T0 = datetime(2026, 1, 1)
 
 

@@ -34,6 +34,19 @@ def test_planner(spark, position, reached, duration, rate, following, want):
     assert (tuple(got) if got else None) == want
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_long_ranges_are_few_rows(spark, how):
+    p = spark.createDataFrame([("a", t) for t in (0, 5, 70, 5000, 1 << 40, 1 << 61)] + [("b", 1)], "k string, t long")
+    r = spark.createDataFrame([("a", 0, 6, 1), ("a", 60, 4000, 2), ("a", 3, 1 << 41, 3), ("a", 1 << 60, 1 << 62, 4), ("a", None, 7, 5)], "k string, lo long, hi long, n long")
+    got = joins.range_join(p, r, ["k"], F.col("t"), "lo", "hi", 1, how)
+    pairs = {(t, n) for t in (0, 5, 70, 5000, 1 << 40, 1 << 61) for lo, hi, n in ((0, 6, 1), (60, 4000, 2), (3, 1 << 41, 3), (1 << 60, 1 << 62, 4)) if lo <= t < hi}
+    alone = {1} | {t for t in (0, 5, 70, 5000, 1 << 40, 1 << 61) if not any(t == x for x, _ in pairs)}
+    if how in ("inner", "left"):
+        assert {(x.t, x.n) for x in got.collect()} == pairs | ({(t, None) for t in alone} if how == "left" else set())
+    else:
+        assert {x.t for x in got.collect()} == (alone if how == "left_anti" else {t for t, _ in pairs})
+
+
 @pytest.mark.parametrize("bucket", [1, 7, 1000])
 def test_range_join_is_bucket_free(spark, bucket):
     p = spark.createDataFrame([("a", i, f"p{i}") for i in range(0, 60, 3)] + [(None, 3, "n")], "k string, t long, id string")
@@ -66,8 +79,9 @@ def test_nearest_rank_and_mentions(spark):
     want = sorted(float(i % 7) for i in range(41))[int(40 * 0.95)]
     assert measures.nearest_rank(x, ["k"], "v", 0.95).first().value == want
     n = spark.createDataFrame([("f", "Nash"), ("f", "St. Ann"), ("f", "Nobody")], "m string, name string")
-    t = spark.createDataFrame([("f", "Nash, Nash and Nashville"), ("f", "In St. Ann they met."), ("g", "Nash")], "m string, text string")
-    assert rows(measures.mentions(n, t, ["m"], "name", "text"), "name", "mentions", "occurrences") == [("Nash", 1, 2), ("St. Ann", 1, 1)]
+    t = spark.createDataFrame([("f", 1, "Nash, Nash and Nashville"), ("f", 2, "In St. Ann they met."), ("g", 1, "Nash"), ("f", 3, "Nash-Bell's Nash2 O’Nash"), ("f", 4, "nash")], "m string, i long, text string")
+    assert rows(measures.mentions(n, t, ["m"], "name", "text", "i"), "name", "mentions", "occurrences") == [("Nash", 2, 5), ("St. Ann", 1, 1)]
+    assert rows(measures.hits(n, t, ["m"], "name", "text", "i", any_case=True), "name", "i", "k") == [("Nash", 1, 2), ("Nash", 3, 3), ("Nash", 4, 1), ("St. Ann", 2, 1)]
 
 
 def test_text_rules(spark):
