@@ -22,7 +22,7 @@ def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: Column
     """
     size = F.floor((F.col(hi) + upper - F.col(lo)) / bucket)
     levels = _level(ranges.agg(F.max(size).alias("n")).first().n)
-    part = lambda k: ranges if not levels else ranges.where((size >= SPREAD**k if k else F.lit(True)) & (size < SPREAD ** (k + 1)))
+    part = lambda k: ranges if not levels else ranges.where((size >= SPREAD**k if k else F.lit(True)) & (size < min(SPREAD ** (k + 1), (1 << 63) - 1)))
     one = lambda p, k, how: _bucket_join(p, part(k), keys, at, lo, hi, bucket * SPREAD**k, how, upper)
     if not levels:
         return one(points, 0, how)
