@@ -304,7 +304,7 @@ SWITCH = 2.5
 #: Letter bytes from which a text's evidence counts in full; less counts in proportion.
 FULL_LETTERS = 30
 #: Evidence from which a text shows that another language may be near.
-SHOWN = 1.5
+SHOWN = SWITCH
 #: Length of a chunk of an owner's time line, and how far lines around it are looked at, in milliseconds.
 CHUNK_MS, AROUND_MS = 600_000, 60_000
 

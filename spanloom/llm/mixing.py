@@ -20,6 +20,8 @@ from spanloom.sources.tables import key_of
 
 #: Partitions whose undecided records meet at the next level.
 FAN_IN = 16
+#: Records a task of the first level rounds, about.
+TASK_ROWS = 20_000
 
 _ROW = "plan string, source string, doc_id long, tokens long, copies long, part double, open boolean"
 _SCHEMA = pa.schema([("plan", pa.string()), ("source", pa.string()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("copies", pa.int64()), ("part", pa.float64()), ("open", pa.bool_())])
@@ -98,20 +100,19 @@ def mix(docs: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
     weight are ignored; of a source that stands twice in a plan the larger weight and cap count. Records without
     tokens are never chosen. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of("source").alias("source"), F.col("tokens").cast("long").alias("tokens")).where("doc_id is not null and source is not null and tokens > 0")
     x = materialize(x, "sizes")
+    rows = x.count()
     table = materialize(rates(x, plan).coalesce(1), "rates")  # of known size: the planner broadcasts it if it is small
     want = table.where("rate > 0").select("plan", "source", "rate", "cap")
     x = x.join(want, "source")
     # rounding must not exceed a cap by the error of a division
     rate = F.when(F.col("rate") > F.coalesce(F.col("cap").cast("double"), F.col("rate")) - _EPS, F.coalesce(F.col("cap").cast("double"), F.col("rate"))).otherwise(F.col("rate"))
     x = x.withColumn("rate", rate).select("plan", "source", "doc_id", "tokens", F.floor("rate").alias("copies"), (F.col("rate") - F.floor("rate")).alias("part"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-rows // TASK_ROWS))
     done = None
     while True:
-        spread = F.pmod(F.xxhash64("doc_id"), F.lit(n))
-        level = materialize(x.repartition(n, spread).sortWithinPartitions("plan", "source", F.desc("tokens"), "doc_id").mapInArrow(_round(n == 1), _ROW), "mixed")
+        level = materialize(x.repartition(n, "doc_id").sortWithinPartitions("plan", "source", F.desc("tokens"), "doc_id").mapInArrow(_round(n == 1), _ROW), "mixed")
         closed = level.where("not open").drop("open", "part")
         done = closed if done is None else done.unionByName(closed)
         if n == 1:

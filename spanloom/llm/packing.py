@@ -1,8 +1,13 @@
 """Items of varying size into containers of fixed capacity, by hierarchical residual packing.
 
-Every partition packs its own items best-fit, largest first. Containers that are nearly full are final. The others
-become items of the next level, where eight partitions meet in one, and so on; a container is never opened again, only
-joined with others as a whole. Levels end when one partition is left or joining no longer helps.
+Every task packs its own items best-fit, largest first. Containers that are nearly full are final. The underfull ones are
+items of the next level, where eight tasks meet in one, up to a single task; a container is never opened again, only
+joined with others as a whole, and only its name and size go up.
+
+After best-fit no two containers of a task that are at most half full are left, so they are as few as the tasks. Any
+join needs one of them. Of the others, those with the most room go up, as many as there are half-full ones of the box:
+whatever can be joined with some others can be joined with these. So a task of a higher level has a few dozen items a
+box at any number of items below.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.session import materialize
@@ -20,15 +25,14 @@ from spanloom.session import materialize
 SLACK = 0.005
 #: Partitions that meet in one at the next level.
 FAN_IN = 8
-#: Items a task packs at most, about.
-TASK_ITEMS = 200_000
+#: Items a task of the first level packs, about.
+TASK_ITEMS = 50_000
 
 #: Boxes of different capacity, at most: they are part of the plan, not of the data.
 MOST_BOXES = 1000
 
-_BIN = "box string, capacity long, used long, open boolean, items array<struct<doc_id:long,piece:int,from_token:long,tokens:long>>"
-_ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("from_token", pa.int64()), ("tokens", pa.int64())])
-_SCHEMA = pa.schema([("box", pa.string()), ("capacity", pa.int64()), ("used", pa.int64()), ("open", pa.bool_()), ("items", pa.list_(_ITEM))])
+_ROW = "box string, capacity long, item string, bin string, used long, total long"
+_SCHEMA = pa.schema([("box", pa.string()), ("capacity", pa.int64()), ("item", pa.string()), ("bin", pa.string()), ("used", pa.int64()), ("total", pa.int64())])
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -48,32 +52,36 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(slack: float):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[tuple[str, int], tuple[list[int], list[list[dict]]]] = {}
-        for b in batches:
-            for box, cap, used, items in zip(*(b[c].to_pylist() for c in ("box", "capacity", "used", "items"))):
-                sizes, held = by.setdefault((box, cap), ([], []))
-                sizes.append(used)
-                held.append(items)
-        for (box, cap), (sizes, held) in by.items():
-            # arrival order must not matter: a task that runs again gives the same containers
-            order = sorted(range(len(sizes)), key=lambda i: (held[i][0]["doc_id"], held[i][0]["piece"]))
-            sizes, held = [sizes[i] for i in order], [held[i] for i in order]
-            used, opened, items = [], [], []
-            for bin in best_fit(sizes, cap):
-                n = sum(sizes[i] for i in bin)
-                used.append(n)
-                opened.append(cap - n > slack * cap)
-                items.append([x for i in bin for x in held[i]])
-            for k in range(0, len(used), 5000):
-                m = len(used[k : k + 5000])
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([box] * m, [cap] * m, used[k : k + 5000], opened[k : k + 5000], items[k : k + 5000]), _SCHEMA)], schema=_SCHEMA)
-
-    return run
-
-
-def pack(docs: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(box, capacity, item, used) to each item's container, named by its first item, and what that holds in all."""
+    by: dict[tuple[str, int], list[tuple[str, int]]] = {}
+    for b in batches:
+        for box, cap, item, used in zip(*(b[c].to_pylist() for c in ("box", "capacity", "item", "used"))):
+            by.setdefault((box, cap), []).append((item, used))
+    for (box, cap), held in by.items():
+        held.sort()  # arrival order must not matter: a task that runs again gives the same containers
+        out: list[tuple] = []
+        for bin in best_fit([n for _, n in held], cap):
+            total, name = sum(held[i][1] for i in bin), held[bin[0]][0]
+            out += [(box, cap, held[i][0], name, held[i][1], total) for i in bin]
+        for k in range(0, len(out), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 20_000]), _SCHEMA)], schema=_SCHEMA)
+
+
+def _upward(level: DataFrame, slack: float) -> DataFrame:
+    """(box, capacity, item, used): the underfull containers that may still be joined, as items."""
+    bins = level.where("item = bin").where(F.col("capacity") - F.col("total") > slack * F.col("capacity")).select("box", "capacity", F.col("bin").alias("item"), F.col("total").alias("used"))
+    half = F.col("used") * 2 <= F.col("capacity")
+    few = {(r.box, r.capacity): r.n for r in bins.where(half).groupBy("box", "capacity").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not few:
+        return bins.where("false")
+    w = Window.partitionBy("box", "capacity").orderBy("used", "item")
+    hosts = bins.where(~half).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max(few.values()))
+    most = F.coalesce(*[F.when((F.col("box") == b) & (F.col("capacity") == c), F.lit(n)) for (b, c), n in few.items()], F.lit(0))
+    return bins.where(half).unionByName(hosts.where(F.col("nth") <= most).drop("nth"))
+
+
+def pack(docs: DataFrame, boxes: DataFrame, slack: float = SLACK, task_items: int = TASK_ITEMS) -> DataFrame:
     """A container for every document of (doc_id, tokens), for each of (box, capacity).
 
     Returns (box, capacity, bin, doc_id, piece, from_token, tokens); ``bin`` names a container inside its box. A
@@ -81,38 +89,44 @@ def pack(docs: DataFrame, boxes: DataFrame, slack: float = SLACK) -> DataFrame:
     document without tokens takes no room but gets a container. Rows with a null doc_id, and boxes with a null, zero
     or negative capacity, are left out; a box that stands twice counts once. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
     boxes = boxes.select("box", F.col("capacity").cast("long").alias("capacity")).where("box is not null and capacity > 0").distinct()
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens")).where("doc_id is not null")
-    x = materialize(x.repartition("doc_id"), "sizes")
+    x = materialize(x, "sizes")
     # the few boxes become an array in each row
     few = boxes.orderBy("box", "capacity").limit(MOST_BOXES + 1).collect()
     if len(few) > MOST_BOXES:
         raise ValueError(f"more than {MOST_BOXES} boxes")
     held = F.array(*[F.struct(F.lit(b.box).alias("box"), F.lit(b.capacity).cast("long").alias("capacity")) for b in few]) if few else F.array().cast("array<struct<box:string,capacity:bigint>>")
     x = x.select("doc_id", "tokens", F.explode(held).alias("b")).select("doc_id", "tokens", "b.box", "b.capacity")
-    full = F.when(F.col("tokens") > F.col("capacity"), F.floor(F.col("tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("int")
-    x = x.withColumn("full", full)
-    item = lambda piece, tokens: F.struct("doc_id", piece.cast("int").alias("piece"), (piece * F.col("capacity")).alias("from_token"), tokens.alias("tokens"))
-    whole = x.where("full > 0").select("box", "capacity", F.col("capacity").alias("used"), F.explode(F.transform(F.sequence(F.lit(0), F.col("full") - 1), lambda i: item(i, F.col("capacity")))).alias("i")).select("box", "capacity", "used", F.lit(False).alias("open"), F.array("i").alias("items"))
+    x = x.withColumn("full", F.when(F.col("tokens") > F.col("capacity"), F.floor(F.col("tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("int"))
+    name = lambda piece: F.concat_ws("-", "doc_id", piece)
+    whole = x.where("full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).select("box", "capacity", name("piece").alias("bin"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("from_token"), F.col("capacity").alias("tokens"))
     rest = F.col("tokens") - F.col("full") * F.col("capacity")
-    items = x.where((F.col("full") == 0) | (rest > 0)).select("box", "capacity", rest.alias("used"), F.array(item(F.col("full"), rest)).alias("items"))
-
-    n, left = int(spark.conf.get("spark.sql.shuffle.partitions")), None
-    done = whole
+    x = x.where((F.col("full") == 0) | (rest > 0))
+    items = x.select("box", "capacity", name("full").alias("item"), rest.alias("used"))
+    n = max(1, -(-items.count() // task_items))
+    levels: list[DataFrame] = []
     while True:
-        spread = F.pmod(F.xxhash64("box", F.col("items")[0]["doc_id"], F.col("items")[0]["piece"]), F.lit(n))
-        level = materialize(items.repartition(n, spread).mapInArrow(_pack(slack), _BIN), "bins")
-        still = level.where("open").count()
-        # the last level: one partition, or joining has stopped to help
-        if n == 1 or not still or (left is not None and still > 0.9 * left and still > TASK_ITEMS):
-            done = done.unionByName(level)
+        levels.append(materialize(items.repartition(n, "box", "item").mapInArrow(_pack, _ROW), "bins"))
+        if n == 1:
             break
-        done = done.unionByName(level.where("not open"))
-        items = level.where("open").select("box", "capacity", "used", "items")
-        left, n = still, max(1, -(-n // FAN_IN), -(-still // TASK_ITEMS) if still < n * TASK_ITEMS else n - 1)
-    name = F.concat_ws("-", F.col("items")[0]["doc_id"], F.col("items")[0]["piece"])
-    return done.select("box", "capacity", name.alias("bin"), F.explode("items").alias("i")).select("box", "capacity", "bin", "i.doc_id", "i.piece", "i.from_token", "i.tokens")
+        items, n = _upward(levels[-1], slack), -(-n // FAN_IN)
+    # from the top down: where the containers of each level have gone
+    gone = None
+    for level in reversed(levels[1:]):
+        to = level.select("box", "capacity", "item", "bin")
+        gone = to if gone is None else _follow(to, gone)
+    first = levels[0].select("box", "capacity", "item", "bin", F.col("used").alias("tokens"))
+    packed = first if gone is None else _follow(first, gone)
+    part = F.split("item", "-(?=[0-9]+$)")
+    packed = packed.select("box", "capacity", "bin", part[0].cast("long").alias("doc_id"), part[1].cast("int").alias("piece"), (part[1].cast("int") * F.col("capacity")).alias("from_token"), "tokens")
+    return whole.unionByName(packed)
+
+
+def _follow(items: DataFrame, gone: DataFrame) -> DataFrame:
+    """Items with the container that theirs went into, if it went on."""
+    on = gone.select("box", "capacity", F.col("item").alias("bin"), F.col("bin").alias("_to"))
+    return items.join(on, ["box", "capacity", "bin"], "left").withColumn("bin", F.coalesce("_to", "bin")).drop("_to")
 
 
 def fill(packed: DataFrame) -> DataFrame:

@@ -55,6 +55,8 @@ def _words(words: list[str] | tuple[str, ...]) -> str:
     return "|".join(w.replace(".", f"[.{_DOT}]") for w in sorted(words, key=len, reverse=True))
 
 
+#: Code points that a rule looks back or ahead inside a quoted part, and inside an address or a name.
+QUOTED, ADDRESS, NAME = 2000, 2000, 100
 _ALONE = "(?<![\\p{L}\\p{N}])"
 _ON = f"{_WS}*[\\p{{Ll}}\\p{{N}}{_CJK}]"
 
@@ -85,24 +87,24 @@ DOTS = [
 MASKS: list[tuple[str, str, str]] = [
     (".", f"[.．](?:{'|'.join(DOTS)})", _DOT),
     # addresses
-    ("://", f"[.?!](?=[^\\s{_SEP}])(?<=://[^\\s{_SEP}]{{1,200}}.)", _DOT),
+    ("://", f"[.?!](?=[^\\s{_SEP}])(?<=://[^\\s{_SEP}]{{1,{ADDRESS}}}.)", _DOT),
     # broken off: a word begun again, or going on with a small letter, a number or a script without capitals
     ("..", f"\\.(?:(?<=\\.\\.)(?={_ON})|(?<!\\.\\.)(?=\\.+{_ON}))", _MORE),
     ("…", f"…(?=…*{_ON})", _MORE),
-    ("...", f"(?iu)\\b(\\p{{L}}{{1,20}}+)\\.\\.\\.(?={_WS}+\\1\\b)", f"$1{_MORE * 3}"),
-    ("…", f"(?iu)\\b(\\p{{L}}{{1,20}}+)…(?={_WS}+\\1\\b)", f"$1{_MORE}"),
+    ("...", f"(?iu)\\b(\\p{{L}}++)\\.\\.\\.(?={_WS}+\\1\\b)", f"$1{_MORE * 3}"),
+    ("…", f"(?iu)\\b(\\p{{L}}++)…(?={_WS}+\\1\\b)", f"$1{_MORE}"),
     ("..", f"[.](?=\\.*{_WS}+\\p{{Lu}}{{2}})(?<=\\p{{Lu}}{{2}}\\.{{1,3}})(?=\\.|(?<=\\.\\.))", _MORE),
     # a name with a mark of its own, inside a sentence
-    ("!", f"!(?={_WS}+\\p{{Ll}})(?<=[\\p{{L}}\\p{{N}}]{_WS}\\p{{Lu}}[\\p{{L}}\\p{{N}}]{{0,30}}!)", _BANG),
+    ("!", f"!(?={_WS}+\\p{{Ll}})(?<=[\\p{{L}}\\p{{N}}]{_WS}\\p{{Lu}}[\\p{{L}}\\p{{N}}]{{0,{NAME}}}!)", _BANG),
     # after the closing quote, or after a dash, the sentence goes on
     ("", f"[{_T}](?=[{_T}]*{_CLOSERS}+{_WS}*(?:[,;，、]|[–—]{_WS}*\\p{{Ll}}))", _ASK),
-    ("", f"[{_T}](?=[{_T}]*{_CLOSERS}+{_WS}*\\p{{Ll}})(?<![:：]{_WS}{{0,3}}[{_OPEN}][^{_OPEN}{_CLOSE}]{{0,250}})", _ASK),
+    ("", f"[{_T}](?=[{_T}]*{_CLOSERS}+{_WS}*\\p{{Ll}})(?<![:：]{_WS}{{0,3}}[{_OPEN}][^{_OPEN}{_CLOSE}]{{0,{QUOTED}}})", _ASK),
     ("", f"[{_T}](?=[{_T}]*{_WS}*[–—]{_WS}*\\p{{Ll}})", _BANG),
     ("", f"[{_T}](?=[{_T}]*[」』”\"’｣]+{_WS}?(?:{'|'.join(QUOTATIVES)}))", _ASK),
     # a quoted part at the start of a sentence, with the speaker after it
-    ("", f"([{_OPEN}](?<=(?:^|[{_T}{_CLOSE}\"][\\s\\u00a0{_SEP}]{{0,3}}|[-–—－]\\s{{0,2}})[{_OPEN}])[^{_OPEN}{_CLOSE}]{{1,250}}?)[{_T}](?=[”»」』\"“｣]{_WS}*(?:\\p{{Lu}}[\\p{{L}}’'-]*(?:{_WS}+\\p{{Lu}}[\\p{{L}}’'-]*)?{_WS}+\\p{{Ll}}|[{_CJK}]))", f"$1{_ASK}"),
+    ("", f"([{_OPEN}](?<=(?:^|[{_T}{_CLOSE}\"][\\s\\u00a0{_SEP}]{{0,3}}|[-–—－]\\s{{0,2}})[{_OPEN}])[^{_OPEN}{_CLOSE}]{{1,{QUOTED}}}?)[{_T}](?=[”»」』\"“｣]{_WS}*(?:\\p{{Lu}}[\\p{{L}}’'-]*(?:{_WS}+\\p{{Lu}}[\\p{{L}}’'-]*)?{_WS}+\\p{{Ll}}|[{_CJK}]))", f"$1{_ASK}"),
     # marks before that one in such a part
-    (_ASK, f"[{_T}](?=[^{_OPEN}{_CLOSE}{_ASK}]{{0,300}}{_ASK}[{_T}{_ASK}]*(?:{_CLOSERS}|[{_CLOSE}\"]))(?<=[{_OPEN}][^{_OPEN}{_CLOSE}]{{0,250}})", _ASK),
+    (_ASK, f"[{_T}](?=[^{_OPEN}{_CLOSE}{_ASK}]{{0,{QUOTED}}}{_ASK}[{_T}{_ASK}]*(?:{_CLOSERS}|[{_CLOSE}\"]))(?<=[{_OPEN}][^{_OPEN}{_CLOSE}]{{0,{QUOTED}}})", _ASK),
 ]
 
 _MARK = f"[{_T}]++(?![{_MASKS}])(?:{_CLOSERS})*+(?:{_SEP}[{_CLOSE}]++(?=[{_SEP}\\s]|$))?"
@@ -145,7 +147,7 @@ def _marked_cues(df: DataFrame, owner: Column, pause_ms: int, chunk_ms: int) ->
     x = x.withColumn("twin", F.coalesce(twin, F.lit(False))).where("not twin")
     cut = F.col("alone") | F.lag("alone").over(w) | (F.col("start_ms") - F.lag("end_ms").over(w) >= pause_ms)
     x = x.withColumn("nth", F.row_number().over(w)).withColumn("cut", F.when(F.col("nth") == 1, 0).otherwise(F.coalesce(cut.cast("int"), F.lit(0)))).withColumn("block", F.sum("cut").over(w))
-    x = x.withColumn("cue", F.struct("start_ms", F.coalesce("end_ms", F.lit(-(1 << 62))).alias("end_ms"), "id", F.translate("text", _PRIVATE, "�" * len(_PRIVATE)).alias("text"), "alone"))
+    x = x.withColumn("cue", F.struct("start_ms", F.coalesce("end_ms", F.lit(-(1 << 62))).alias("end_ms"), "id", "text", "alone"))
     # the first block of a chunk may go on from the chunk before: chunks are few, so one window per owner settles it
     ends = x.groupBy("owner", "chunk").agg(F.min_by(F.struct("start_ms", "alone"), "nth").alias("a"), F.max_by(F.struct("end_ms", "alone"), "nth").alias("z"), F.max("block").alias("blocks"))
     v = Window.partitionBy("owner").orderBy("chunk")
@@ -160,7 +162,8 @@ def _marked_cues(df: DataFrame, owner: Column, pause_ms: int, chunk_ms: int) ->
     key = F.when(F.col("block") == 0, F.col("root")).otherwise(F.struct("chunk", F.col("block").alias("blocks")))
     crossing = parts.where(crosses).withColumn("key", key).groupBy("owner", "key").agg(F.flatten(F.collect_list("cues")).alias("cues"))
     texts = parts.where(~crosses).select("owner", "cues").unionByName(crossing.select("owner", "cues")).withColumn("cues", F.array_sort("cues"))
-    whole = F.array_join(F.col("cues.text"), _SEP)
+    # placeholders in the text itself would be taken for ours; the raw text stays in the cue
+    whole = F.array_join(F.transform("cues.text", lambda t: F.translate(t, _PRIVATE, "�" * len(_PRIVATE))), _SEP)
     texts = texts.withColumn("parts", F.split(F.when(F.col("cues")[0]["alone"], whole).otherwise(marked(whole)), _SEP))
     texts = texts.withColumn("block", F.struct(F.col("cues")[0]["start_ms"].alias("at"), F.col("cues")[0]["id"].alias("id")))
     each = texts.select("owner", "block", F.size("cues").alias("n"), F.posexplode(F.arrays_zip("cues", "parts")).alias("k", "x"))

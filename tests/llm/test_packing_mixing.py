@@ -41,6 +41,29 @@ def test_round_trip(spark):
     assert packing.pack(df.where("false"), boxes).count() == 0 and packing.pack(df, boxes.where("false")).count() == 0
 
 
+def test_levels(spark):
+    """Many small tasks: containers as few as one task makes, but for one a level and box, and few items go up."""
+    rng = random.Random(3)
+    docs = [(i, rng.randrange(1, 60)) for i in range(900)] + [(1000 + i, 61) for i in range(100)]
+    df, boxes = spark.createDataFrame(docs, "doc_id long, tokens long"), spark.createDataFrame([("b", 100), ("c", 640)], "box string, capacity int")
+    for n in (100_000, 120, 50):
+        rows = packing.pack(df, boxes, task_items=n).collect()
+        assert sorted((r.box, r.doc_id, r.tokens) for r in rows) == sorted((b, *d) for b in "bc" for d in docs)
+        fill = {}
+        for r in rows:
+            fill[r.box, r.bin] = fill.get((r.box, r.bin), 0) + r.tokens
+        assert all(v <= dict(b=100, c=640)[k[0]] for k, v in fill.items())
+        count = {b: sum(k[0] == b for k in fill) for b in "bc"}
+        one = count if n == 100_000 else one
+        assert count["b"] <= one["b"] * 1.06 and count["c"] <= one["c"] * 1.03 + 1
+
+
+def test_half_full_containers_and_as_many_hosts_go_up(spark):
+    rows = [("b", 100, f"{i}-0", f"{i}-0", u, u) for i, u in enumerate((99, 100, 50, 20, 90, 70, 60, 51))] + [("b", 100, "7-1", "7-0", 9, 60), ("c", 100, "8-0", "8-0", 70, 70)]
+    up = packing._upward(spark.createDataFrame(rows, packing._ROW), 0.02)
+    assert sorted((r.box, r.used) for r in up.collect()) == [("b", 20), ("b", 50), ("b", 51), ("b", 60)]
+
+
 def test_pivot_keeps_mass_and_expectation():
     rng = random.Random(1)
     total = 0.0

@@ -61,6 +61,19 @@ def test_pauses_brackets_and_edges(spark):
     assert run(spark, []) == []
 
 
+def test_raw_text_is_given_back(spark):
+    odd = "A \ue000 \ue003 b\ue00f. And m\ue004ore."
+    df = spark.createDataFrame([("a", "1", 0, 900, odd)], "p string, id string, start_ms long, end_ms long, text string")
+    got = sorted(r.text for r in sentences.sentences(df, F.col("p")).collect())
+    assert got == ["A \ue000 \ue003 b\ue00f.", "And m\ue004ore."]
+
+
+def test_long_quotes_are_looked_through(spark):
+    inner = "we go on and on and on. " * 40
+    text = f"“{inner.strip()}” she said, and left. Then."
+    assert [e for _, _, e in run(spark, [("a", "1", 0, 900, text, "")])] == [len(text) - 6, len(text)]
+
+
 def test_mask_keeps_length(spark):
     texts = [c.replace(" | ", " ") for c in CASES]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sentences.masked(F.col("t")).alias("m"))
