@@ -177,6 +177,16 @@ def clear_media(spark: SparkSession, folder: str) -> DataFrame:
     return store.without(fr.chunks(spark, folder), p.join(gone, "media", "left_semi"), ["profile"]).select("profile", "seq", "start_ms").distinct()
 
 
+def cleared_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows left in each table after all removed films are cleared: their chunks, profiles and glossary go together."""
+    gone = load(spark, folder, "media").where("removed is not null").select(key_of("media").alias("media")).where("media is not null")
+    p = load(spark, folder, "profiles").select(key_of("profile").alias("profile"), key_of("media").alias("media"), "target").where("profile is not null").distinct()
+    away = p.join(gone, "media", "left_semi")
+    left = {"chunks": store.without(fr.chunks(spark, folder), away, ["profile"]).select("profile", "seq", "start_ms"), "profiles": p.join(gone, "media", "left_anti"), "glossary": store.without(_glossary(spark, folder), gone, ["media"])}
+    counts = [x.distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("tbl"), "n") for t, x in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 def ledger_insert(spark: SparkSession, folder: str) -> DataFrame:
     return store.ledger(_glossary(spark, folder), ["media", "target"], "source", "rendering", "seq").select("media", "target", "source", "rendering", "seq")
 
@@ -291,6 +301,11 @@ def name_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return x.where(~F.col("w").isin(nouns.STOP) & (tx.looks_like_name(F.col("w")) | tx.is_acronym(F.col("w")) & ~F.col("loud"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.any_value(tx.is_acronym(F.col("w"))).alias("acronym"))
 
 
+def safe_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Glossary sources as keys without blanks, and as letters and digits only."""
+    return _glossary(spark, folder).select("seq", tx.safe_key(F.col("source")).alias("key"), tx.signs(F.col("source")).alias("signs"))
+
+
 def fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
     """Glossary sources of four or more characters against the film's earlier ones of any length with the same first letter.
 
@@ -349,7 +364,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         neighbour_context, previous_pairs, gap_split, batches, overlap_check, boundary_reconcile, recent_terms, score_summary, worst_scores, verdict_zip, verdict_validation, fragment_count, word_case_stats, common_words, name_mentions, known_languages,
-        latency_rank, realtime_factor, cache_status, chunk_upsert, profile_register, clear_media, ledger_insert, ledger_second_batch, cue_dedupe, glossary_precedence, ledger_candidates, reply_validation, verdict_replies, clean_lengths, ending_flags, subtitle_width, joined_texts, srt_stamps, digest_ids, name_tokens, fuzzy_names, script_check,
+        latency_rank, realtime_factor, cache_status, chunk_upsert, profile_register, clear_media, cleared_tables, ledger_insert, ledger_second_batch, cue_dedupe, glossary_precedence, ledger_candidates, reply_validation, verdict_replies, clean_lengths, ending_flags, subtitle_width, joined_texts, srt_stamps, digest_ids, name_tokens, safe_keys, fuzzy_names, script_check,
     )
 }
 
@@ -382,6 +397,8 @@ ORACLES = {
     "chunk_upsert": f"WITH {fr.CHUNKS}, r AS (SELECT *, row_number() OVER (PARTITION BY profile, start_ms, end_ms ORDER BY updated DESC NULLS LAST, seq DESC) r FROM ch) SELECT profile, start_ms, end_ms, seq FROM r WHERE r = 1",
     "profile_register": f"WITH p AS (SELECT DISTINCT {fr.sql_key('profile')} profile, nullif({fr.sql_key('media')}, '') media, target, registered FROM profiles WHERE {fr.sql_key('profile')} <> '' AND registered IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY registered, media NULLS FIRST, target NULLS FIRST) r FROM p) SELECT profile, media, target FROM r WHERE r = 1",
     "clear_media": f"WITH {fr.CHUNKS}, g AS (SELECT DISTINCT {fr.sql_key('profile')} profile FROM profiles WHERE {fr.sql_key('media')} IN (SELECT {fr.sql_key('media')} FROM media WHERE removed IS NOT NULL AND {fr.sql_key('media')} <> '')) SELECT DISTINCT profile, seq, start_ms FROM ch WHERE profile NOT IN (SELECT profile FROM g WHERE profile IS NOT NULL)",
+    "cleared_tables": f"""WITH {fr.CHUNKS}, {_G}, o AS (SELECT DISTINCT {fr.sql_key('media')} media FROM media WHERE removed IS NOT NULL AND {fr.sql_key('media')} <> ''), p AS (SELECT DISTINCT {fr.sql_key('profile')} profile, nullif({fr.sql_key('media')}, '') media, target FROM profiles WHERE {fr.sql_key('profile')} <> ''),
+ a AS (SELECT DISTINCT profile FROM p JOIN o USING (media)) SELECT 'chunks' tbl, count(*) n FROM (SELECT DISTINCT profile, seq, start_ms FROM ch WHERE profile NOT IN (SELECT profile FROM a)) UNION ALL SELECT 'profiles', count(*) FROM p WHERE media IS NULL OR media NOT IN (SELECT media FROM o) UNION ALL SELECT 'glossary', count(*) FROM gl WHERE media NOT IN (SELECT media FROM o)""",
     "ledger_insert": f"WITH {_G}, a AS (SELECT *, row_number() OVER (PARTITION BY media, target, source ORDER BY seq) r FROM gl), b AS (SELECT *, row_number() OVER (PARTITION BY media, target, rendering ORDER BY seq) q FROM a WHERE r = 1) SELECT media, target, source, rendering, seq FROM b WHERE q = 1",
     "ledger_second_batch": f"""WITH {_G}, a AS (SELECT *, row_number() OVER (PARTITION BY media, target, source ORDER BY seq) r FROM gl WHERE first_ms < 1800000), b AS (SELECT *, row_number() OVER (PARTITION BY media, target, rendering ORDER BY seq) q FROM a WHERE r = 1), h AS (SELECT * FROM b WHERE q = 1),
  n AS (SELECT * FROM gl WHERE first_ms >= 1800000 AND NOT EXISTS (SELECT 1 FROM h WHERE h.media = gl.media AND h.target IS NOT DISTINCT FROM gl.target AND (h.source = gl.source OR h.rendering = gl.rendering))),
@@ -415,6 +432,7 @@ ORACLES = {
   lambda row, i: list_transform(range(0, len(q) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda m: j - m + CASE WHEN m = 0 THEN i[1] ELSE least(row[m + 1] + 1, row[m] + CASE WHEN p[i[1]] = q[m] THEN 0 ELSE 1 END) END)))) AS last FROM x),
  e AS (SELECT media, target, name, known, ord, last[len(last)] d FROM d)
  SELECT media, target, name, arg_min(known, (d, ord)) known, CAST(min(d) AS INTEGER) d FROM e WHERE d <= CASE WHEN greatest(length(name), length(known)) <= 5 THEN 1 ELSE 2 END GROUP BY 1, 2, 3""",
+    "safe_keys": f"WITH {_G} SELECT seq, regexp_replace(source, '{fr._BL}+', '_', 'g') AS key, regexp_replace({_fold('source')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') signs FROM gl",
     "script_check": f"""WITH {_G}, b AS (SELECT *, split_part(target, '-', 1) base FROM gl) SELECT media, target, bool_or(CASE base WHEN 'zh' THEN regexp_matches(rendering, '[\\x{{4e00}}-\\x{{9fff}}]') WHEN 'ja' THEN regexp_matches(rendering, '[\\x{{3041}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]') WHEN 'ko' THEN regexp_matches(rendering, '[\\x{{ac00}}-\\x{{d7a3}}]')
  WHEN 'ru' THEN regexp_matches(rendering, '[\\x{{400}}-\\x{{4ff}}]') WHEN 'en' THEN regexp_matches(rendering, '[A-Za-z]') ELSE false END) shows, bool_or(base IN ('zh', 'ko') AND regexp_matches(rendering, '[\\x{{3041}}-\\x{{30ff}}]')) kana FROM b GROUP BY 1, 2""",
 }

@@ -175,7 +175,20 @@ def session_fence(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.run_to_end(sessions.fence(sessions.control_log(spark, folder)), "fence")
 
 
-QUERIES = {f.__name__: f for f in (sentence_groups, assembled_captions, cache_conflicts, held_back, window_frontier, window_seams, speech_segments, speech_detail, film_names, film_variants, srt_files, export_states, model_boundary, session_fence)}
+def session_creations(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions by client, each created once however often its request comes."""
+    log = sessions.session_stream(spark, folder).where("client is not null and session_id is not null").select("client", "session_id", F.col("last_seen").cast("timestamp").alias("at"))
+    return sessions.run_to_end(sessions.first_requests(log, ["client", "session_id"], "at", "3650 days").select("client", "session_id"), "created")
+
+
+def window_retries(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of one profile and start as attempts at a window: one of unknown language was uncertain, one without cues of a heard track failed."""
+    x = load(spark, folder, "chunks").select("seq", key_of("profile").alias("profile"), "start_ms", "end_ms", "updated", F.when(F.col("payload.language.code") == "und", "LANGUAGE_UNCERTAIN").when(F.size("payload.cues") == 0, "ASR_FAILED").alias("code"))
+    x = x.where("profile is not null and start_ms >= 0 and start_ms < end_ms").distinct()
+    return sessions.retries(x, ["profile", "start_ms"], ["updated", "seq"], "code", "start_ms", "end_ms").select("seq", "profile", "start_ms", "end_ms", "code", "attempt", "action", "next_end")
+
+
+QUERIES = {f.__name__: f for f in (session_creations, window_retries, sentence_groups, assembled_captions, cache_conflicts, held_back, window_frontier, window_seams, speech_segments, speech_detail, film_names, film_variants, srt_files, export_states, model_boundary, session_fence)}
 
 _OC = "(PARTITION BY profile ORDER BY start_ms, end_ms, id)"
 _WIDE = "[^\\x{1100}-\\x{115f}\\x{2e80}-\\x{303e}\\x{3041}-\\x{4dbf}\\x{4e00}-\\x{a4cf}\\x{a960}-\\x{a97f}\\x{ac00}-\\x{d7a3}\\x{f900}-\\x{faff}\\x{fe30}-\\x{fe6f}\\x{ff00}-\\x{ff60}\\x{ffe0}-\\x{ffe6}\\x{1f300}-\\x{1f64f}\\x{1f900}-\\x{1f9ff}\\x{20000}-\\x{3fffd}]"
@@ -201,7 +214,27 @@ _FRAMES = """fr0 AS (SELECT user_id, CAST(ts AS DATE) AS day, least(1.0, value /
  FROM fs s JOIN fr0 f ON f.user_id = s.user_id AND f.day = s.day AND f.n = s.n + 1, LATERAL (SELECT coalesce(f.p < 0.35 AND s.begun IS NOT NULL AND f.n * 512 - s.quiet >= 1600, false) shut)),
  fd AS (SELECT user_id, day, a AS start, b AS "end" FROM fs WHERE b - a > 4000 UNION ALL SELECT user_id, day, begun, total FROM fs WHERE (n + 1) * 512 = total AND total - begun > 4000)"""
 
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in nouns.STOP)
+_OPENERS = nouns.OPENERS.replace("'", "''").replace("[", "\\\\[").replace("-", "\\\\-")
+_WORD = "[\\p{L}\\p{Nl}\\p{No}](?:[\\p{L}\\p{Nl}\\p{No}]|[''’\\-])*"
+_NAMED = f"""(w NOT IN ({_STOP}) AND (regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}[\\p{{L}}''’\\-]+$') OR regexp_matches(w, '^\\p{{Lu}}{{2,5}}$') AND NOT loud))"""
+_LATIN_FILMS = f"""lc AS (SELECT DISTINCT {fr.sql_key('profile')} profile, seq, regexp_extract(lower(payload.language.code), '[a-z]+') code FROM chunks WHERE {fr.sql_key('profile')} <> ''),
+ ls AS (SELECT profile, 2 * count(*) FILTER (WHERE code IN ({', '.join(f"'{x}'" for x in _LATIN)})) > count(*) said FROM lc WHERE code NOT IN ('', 'und', 'auto') GROUP BY 1),
+ lt AS (SELECT profile, 2 * sum(length(regexp_replace(text, '[^\\p{{Latin}}]', '', 'g'))) > sum(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))) shown FROM bl GROUP BY 1),
+ lf AS (SELECT lt.profile FROM lt LEFT JOIN ls ON ls.profile = lt.profile WHERE shown OR coalesce(said, false))"""
+# pieces of a text are words and what stands between them, in turn; a run is broken by anything but blanks, and is of three words at most
+_RUNS = f"""tx AS (SELECT profile, block, id, start_ms, end_ms, regexp_extract_all(text, '{_WORD}|[^\\p{{L}}\\p{{Nl}}\\p{{No}}]+') ps, 2 * length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) > length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) loud FROM bl WHERE profile IN (SELECT profile FROM lf)),
+ pc AS (SELECT *, unnest(range(1, len(ps) + 1)) i FROM tx), wd AS (SELECT *, regexp_replace(ps[i], '[''’]s?$', '') w, i > 1 AND NOT regexp_matches(ps[i - 1], '^{fr.LETTER}') AND regexp_full_match(ps[i - 1], '{fr._BL}+') near, row_number() OVER (PARTITION BY profile, id, start_ms, end_ms ORDER BY i) n FROM pc WHERE regexp_matches(ps[i], '^{fr.LETTER}')),
+ nm AS (SELECT *, {_NAMED} AS name FROM wd), br AS (SELECT *, sum(CASE WHEN name AND near AND coalesce(lag_name, false) THEN 0 ELSE 1 END) OVER (PARTITION BY profile, id, start_ms, end_ms ORDER BY n ROWS UNBOUNDED PRECEDING) g FROM (SELECT *, lag(name) OVER (PARTITION BY profile, id, start_ms, end_ms ORDER BY n) lag_name FROM nm)),
+ nr AS (SELECT *, (row_number() OVER (PARTITION BY profile, id, start_ms, end_ms, g ORDER BY n) - 1) // 3 h FROM br WHERE name),
+ ru AS (SELECT profile, block, id, start_ms, end_ms, g, h, list(w ORDER BY n) ws, {fr.sql_strip("array_to_string(list_slice(any_value(ps), 1, min(i) - 1), '')")} b FROM nr GROUP BY ALL),
+ rb AS (SELECT *, regexp_replace(b, '[{_OPENERS}]+$', '') bare FROM ru),
+ ri AS (SELECT *, regexp_matches(b, '[{_OPENERS}]$') OR {fr.sql_strip('bare')} = '' OR regexp_matches({fr.sql_strip('bare')}, '…$') OR {_finished(fr.sql_strip('bare'))} first FROM rb),
+ ins AS (SELECT DISTINCT profile, unnest(CASE WHEN first THEN ws[2:] ELSE ws END) w FROM ri),
+ kept AS (SELECT ri.*, CASE WHEN first AND ins.w IS NULL THEN ws[2:] ELSE ws END k FROM ri LEFT JOIN ins ON ins.profile = ri.profile AND ins.w = ws[1])"""
+
 ORACLES = {
+    "film_names": f"WITH {_BLOCKED}, {_LATIN_FILMS}, {_RUNS} SELECT DISTINCT profile, block, array_to_string(k, ' ') AS name FROM kept WHERE len(k) > 0",
     "export_states": f"""WITH {fr.CHUNKS}, {fr.DURATIONS}, {fr.islands('isl', 'ch')}, g AS (SELECT profile, count(*) n, min(start_ms) a, max(end_ms) b, list_sort(list([start_ms, end_ms])) r FROM isl GROUP BY 1),
  x AS (SELECT du.profile, duration_ms d, coalesce(n = 1 AND a = 0 AND b = duration_ms, false) complete, coalesce(replace(CAST(r AS VARCHAR), ' ', ''), '[]') r FROM du LEFT JOIN g USING (profile))
  SELECT profile, complete, CASE WHEN complete THEN '.srt' ELSE '.partial.srt' END suffix, '{{"duration_ms":' || d || ',"coverage":' || r || '}}' sidecar FROM x""",
@@ -231,4 +264,15 @@ ORACLES = {
     "srt_files": f"""WITH {fr.CUES}, c AS (SELECT DISTINCT profile, id, start_ms, end_ms, text FROM cu), x AS (SELECT *, row_number() OVER {_OC} n, lag(end_ms) OVER {_OC} e FROM c)
  SELECT profile, n, CASE WHEN e IS NULL OR start_ms >= e THEN n || chr(10) || {fr.sql_stamp('start_ms')} || ' --> ' || {fr.sql_stamp('end_ms')} || chr(10) || {fr.sql_clean('text')} || chr(10) END block, CASE WHEN start_ms < e THEN 'OVERLAP' END error FROM x""",
     "model_boundary": f"WITH {fr.CUES} SELECT DISTINCT profile, id, text, CASE WHEN NOT contains(text, '?!') THEN CAST(length(text) AS VARCHAR) END answer FROM cu",
+    "session_creations": "SELECT DISTINCT client, session_id FROM sessions WHERE client IS NOT NULL AND session_id IS NOT NULL AND last_seen IS NOT NULL",
+    "window_retries": f"""WITH x AS (SELECT DISTINCT seq, {fr.sql_key('profile')} profile, start_ms, end_ms, updated, CASE WHEN payload.language.code = 'und' THEN 'LANGUAGE_UNCERTAIN' WHEN len(payload.cues) = 0 THEN 'ASR_FAILED' END code FROM chunks WHERE {fr.sql_key('profile')} <> '' AND start_ms >= 0 AND start_ms < end_ms),
+ n AS (SELECT *, row_number() OVER (PARTITION BY profile, start_ms ORDER BY updated NULLS FIRST, seq) - 1 attempt FROM x), a AS (SELECT *, CASE WHEN code IS NULL THEN 'done' WHEN code = 'LANGUAGE_UNCERTAIN' THEN CASE WHEN attempt = 0 THEN 'longer' ELSE 'skip' END WHEN attempt = 0 AND end_ms - start_ms >= 8000 THEN 'half' ELSE 'hole' END act FROM n),
+ l AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM a b WHERE b.profile = a.profile AND b.start_ms = a.start_ms AND b.attempt < a.attempt AND b.act NOT IN ('longer', 'half')) THEN 'late' ELSE act END AS action FROM a)
+ SELECT seq, profile, start_ms, end_ms, code, attempt, action, CASE action WHEN 'longer' THEN start_ms + least(24000, greatest(20000, 2 * (end_ms - start_ms))) WHEN 'half' THEN start_ms + (end_ms - start_ms) // 2 END next_end FROM l""",
+    # one step per log row of a session
+    "session_fence": """WITH RECURSIVE lg AS (SELECT session_id, epoch, seq, coalesce(position_ms, 0) pos, revision ack, epoch_us(last_seen) // 1000 now, row_number() OVER (PARTITION BY session_id ORDER BY epoch_us(last_seen) // 1000, epoch, seq, coalesce(position_ms, 0), revision NULLS FIRST) i FROM sessions WHERE session_id IS NOT NULL AND epoch IS NOT NULL AND seq IS NOT NULL AND last_seen IS NOT NULL),
+ r AS (SELECT session_id, i, epoch e, seq s, now t, CAST(1 AS BIGINT) v, pos p, 'OPENED' verdict, epoch, seq, now FROM lg WHERE i = 1
+ UNION ALL SELECT session_id, i, CASE WHEN stale THEN e ELSE epoch END, CASE WHEN stale THEN s ELSE seq END, CASE WHEN stale THEN t ELSE now END, CASE WHEN verdict IN ('EXPIRED', 'SEEK') THEN 1 WHEN verdict = 'ACCEPTED' AND pos <> p THEN v + 1 ELSE v END, CASE WHEN stale OR verdict = 'STALE_ACK' THEN p ELSE pos END, verdict, epoch, seq, now
+ FROM (SELECT *, verdict IN ('STALE_EPOCH', 'STALE_SEQUENCE') stale FROM (SELECT lg.*, r.e, r.s, r.t, r.v, r.p, CASE WHEN lg.now - t > 45000 THEN 'EXPIRED' WHEN lg.epoch < e THEN 'STALE_EPOCH' WHEN lg.epoch > e THEN 'SEEK' WHEN lg.seq <= s THEN 'STALE_SEQUENCE' WHEN ack IS NOT NULL AND NOT (v - 8 < ack AND ack <= v) THEN 'STALE_ACK' ELSE 'ACCEPTED' END verdict FROM r JOIN lg ON lg.session_id = r.session_id AND lg.i = r.i + 1)))
+ SELECT session_id, epoch, seq, now now_ms, verdict, v revision FROM r""",
 }

@@ -39,10 +39,6 @@ def export_state(ranges: DataFrame, lengths: DataFrame, owner: list[str]) -> Dat
     return x.select(*owner, done.alias("complete"), F.when(done, ".srt").otherwise(".partial.srt").alias("suffix"), F.to_json(F.struct("duration_ms", F.col("ranges").alias("coverage"))).alias("sidecar"))
 
 
-def write_report(df: DataFrame, folder: str) -> None:
-    df.write.mode("errorifexists").json(folder)
-
-
 def user_glossary(spark: SparkSession, paths: list[str], target: str, most_bytes: int = 256 * 1024, most_rows: int = 1000) -> DataFrame:
     """(source, rendering, rank) of user files {target: {source: rendering}}, later files first.
 

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +22,7 @@ KEPT_REVISIONS = 8
 
 LOG = "session_id string, epoch long, seq long, position_ms long, revision long, now_ms long"
 _OUT = "session_id string, epoch long, seq long, now_ms long, verdict string, revision long"
+_LOG_INTS = ["epoch", "seq", "position_ms", "revision", "now_ms"]
 _STATE = "epoch long, seq long, now_ms long, revision long, position_ms long"
 
 
@@ -56,12 +57,13 @@ class SessionFence(StatefulProcessor):
         self.state = handle.getValueState("session", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
-        log = pd.concat(list(rows)).sort_values(["now_ms", "epoch", "seq"], kind="stable")
+        # a session's rows of one batch are put in order; their number is bounded by the trigger, not by the session
+        log = sorted((tuple(None if v != v else int(v) for v in r) for b in rows for r in b[_LOG_INTS].itertuples(index=False)), key=lambda r: tuple(-1 if v is None else v for v in (r[4], r[0], r[1], *r[2:4])))
         state = tuple(self.state.get()) if self.state.exists() else None
         out = []
-        for r in log.astype(object).where(log.notna(), None).to_dict("records"):
-            state, verdict, revision = decide(state, r)
-            out.append((key[0], r["epoch"], r["seq"], r["now_ms"], verdict, revision))
+        for r in log:
+            state, verdict, revision = decide(state, dict(zip(_LOG_INTS, r)))
+            out.append((key[0], r[0], r[1], r[4], verdict, revision))
         if state is not None:
             self.state.update(state)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
@@ -94,17 +96,46 @@ def first_requests(stream: DataFrame, keys: list[str], at: str, horizon: str) ->
     return stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
 
 
+def session_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The sessions table as a stream."""
+    schema = spark.read.parquet(f"{folder}/sessions.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/sessions.parque[t]").where("last_seen is not null")
+
+
 def control_log(spark: SparkSession, folder: str) -> DataFrame:
     """The sessions table as a stream of log rows."""
-    schema = spark.read.parquet(f"{folder}/sessions.parquet").schema
-    x = spark.readStream.schema(schema).parquet(f"{folder}/sessions.parque[t]")
-    return x.where("session_id is not null and epoch is not null and seq is not null and last_seen is not null").select("session_id", "epoch", "seq", F.coalesce("position_ms", F.lit(0).cast("long")).alias("position_ms"), "revision", F.unix_millis("last_seen").alias("now_ms"))
+    x = session_stream(spark, folder).where("session_id is not null and epoch is not null and seq is not null")
+    return x.select("session_id", "epoch", "seq", F.coalesce("position_ms", F.lit(0).cast("long")).alias("position_ms"), "revision", F.unix_millis("last_seen").alias("now_ms"))
+
+
+# Failures of one window, after which a hole is left and work goes on.
+WINDOW_FAILURES = ("ALIGNMENT_FAILED", "ASR_FAILED", "TRANSLATION_FAILED")
 
 
 def retry(code: str, attempt: int, length_ms: int) -> tuple[str, int]:
     """What follows a failed window: (action, next length). Actions: longer, half, skip, hole, stop."""
     if code == "LANGUAGE_UNCERTAIN":
         return ("longer", min(24_000, max(20_000, 2 * length_ms))) if attempt == 0 else ("skip", 0)
-    if code in ("ALIGNMENT_FAILED", "ASR_FAILED") and attempt == 0 and length_ms >= 8000:
+    if code in WINDOW_FAILURES[:2] and attempt == 0 and length_ms >= 8000:
         return "half", length_ms // 2
-    return ("hole", 0) if code in ("ALIGNMENT_FAILED", "ASR_FAILED", "TRANSLATION_FAILED") else ("stop", 0)
+    return ("hole", 0) if code in WINDOW_FAILURES else ("stop", 0)
+
+
+def retries(attempts: DataFrame, by: list[str], order: list[str], code: str, start: str, end: str) -> DataFrame:
+    """Adds (attempt, action, next_end) to a log of windows: what follows each one, as :func:`retry` says.
+
+    Attempts of one window are numbered from 0 in ``order``; a null ``code`` is a success. Rows after the attempt that
+    ended a window - a success, a skip, a hole or a stop - are late and change nothing: their action is ``late``.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    c, length = F.col(code), F.col(end) - F.col(start)
+    first = F.col("attempt") == 0
+    action = (
+        F.when(c.isNull(), "done").when((c == "LANGUAGE_UNCERTAIN") & first, "longer").when(c == "LANGUAGE_UNCERTAIN", "skip")
+        .when(c.isin(*WINDOW_FAILURES[:2]) & first & (length >= 8000), "half").when(c.isin(*WINDOW_FAILURES), "hole").otherwise("stop")
+    )
+    x = attempts.withColumn("attempt", F.row_number().over(w) - 1).withColumn("action", action)
+    over = F.max((~F.col("action").isin("longer", "half")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("action", F.when(F.coalesce(over, F.lit(0)) == 1, "late").otherwise(F.col("action")))
+    after = F.when(F.col("action") == "longer", F.col(start) + F.least(F.lit(24_000), F.greatest(F.lit(20_000), length * 2))).when(F.col("action") == "half", F.col(start) + F.floor(length / 2))
+    return x.withColumn("next_end", after)

@@ -337,6 +337,22 @@ def test_replies(spark):
         assert parsed(replies.verdicts, bad, ["a"]) is None
 
 
+def test_retries(spark):
+    log = [("w", 1, 0, 16_000, "ASR_FAILED"), ("w", 2, 0, 8000, "ASR_FAILED"), ("w", 3, 0, 8000, None), ("v", 1, 0, 10_000, "LANGUAGE_UNCERTAIN"), ("v", 2, 0, 20_000, None), ("u", 1, 0, 7000, "ALIGNMENT_FAILED"), ("t", 1, 0, 16_000, "NO_DISK"), ("s", 1, 5, 16_005, "TRANSLATION_FAILED"), ("r", 1, 0, 9000, "LANGUAGE_UNCERTAIN"), ("r", 2, 0, 20_000, "LANGUAGE_UNCERTAIN")]
+    df = spark.createDataFrame(log, "k string, o long, a long, b long, code string")
+    got = {(r.k, r.o): (r.attempt, r.action, r.next_end) for r in sessions.retries(df, ["k"], ["o"], "code", "a", "b").collect()}
+    assert got == {("w", 1): (0, "half", 8000), ("w", 2): (1, "hole", None), ("w", 3): (2, "late", None), ("v", 1): (0, "longer", 20_000), ("v", 2): (1, "done", None), ("u", 1): (0, "hole", None), ("t", 1): (0, "stop", None), ("s", 1): (0, "hole", None), ("r", 1): (0, "longer", 20_000), ("r", 2): (1, "skip", None)}
+    for (k, o), (attempt, action, end) in got.items():
+        row = next(x for x in log if x[:2] == (k, o))
+        if row[4] and action != "late":
+            assert sessions.retry(row[4], attempt, row[3] - row[2]) == (action, end - row[2] if end else 0)
+
+
+def test_given_up():
+    assert models.gave_up([(0.0, -0.2, 1.1), (1.0, -1.2, 1.0)]) and models.gave_up([(1.0, -0.2, 2.5)])
+    assert not models.gave_up([(0.8, -3.0, 9.0), (1.0, -1.0, 2.4)]) and not models.gave_up([])
+
+
 def test_streams():
     s = [{"index": 0, "language": "en"}, {"index": 1, "language": "ja"}, {"index": 2}]
     assert folds.choose_stream(s, {"language": "ja"})["index"] == 1 and folds.choose_stream(s, {"language": "fr"})["index"] == 2 and folds.choose_stream(s, {}) is None
