@@ -115,6 +115,7 @@ def distance(a: str, b: str, most: int) -> int:
     return min(last.get(len(b), far), far)
 
 
+@lru_cache(maxsize=10_000)
 def _segments(n: int, k: int) -> list[tuple[int, int]]:
     """Where the k + 1 segments of a word of n letters begin and end, the longer ones last."""
     size, more = divmod(n, k + 1)
@@ -127,12 +128,14 @@ def _swapped(w: str, at: int) -> str:
     return w[: at - 1] + w[at] + w[at - 1] + w[at + 1 :] if 0 < at < len(w) else w
 
 
+@lru_cache(maxsize=10_000)
 def _bounds(n: int) -> set[int]:
     """Errors allowed between a word of n letters and one as long or longer."""
     return {errors_for(m) for m in range(n, n + 3) if m - n <= errors_for(m)}
 
 
-def index_keys(w: str) -> list[str]:
+@lru_cache(maxsize=100_000)
+def index_keys(w: str) -> tuple[str, ...]:
     """Segments under which a word stands in the index, for each number of errors that a longer word may bring.
 
     Two neighbours swapped over a border of segments harm both. So the word also stands there with the letters at a
@@ -144,10 +147,11 @@ def index_keys(w: str) -> list[str]:
         cut = _segments(n, k)
         for v in [w, *(_swapped(w, at) for at, _ in cut[1:])]:
             out |= dict.fromkeys(f"{n}.{k}.{i}.{v[a:b]}" for i, (a, b) in enumerate(cut))
-    return list(out)
+    return tuple(out)
 
 
-def probe_keys(w: str, longer: bool = False) -> list[str]:
+@lru_cache(maxsize=100_000)
+def probe_keys(w: str, longer: bool = False) -> tuple[str, ...]:
     """Keys under which a word within the allowed errors of w stands in the index, if it is as long or shorter; with ``longer`` any.
 
     Of k errors, with i in the segments before the i-th and the rest behind it, at most i shift it from the left and
@@ -161,7 +165,7 @@ def probe_keys(w: str, longer: bool = False) -> list[str]:
         for i, (a, b) in enumerate(_segments(n, k)):
             lo, hi = max(0, a - i, a + len(w) - n - (k - i)), min(len(w) - (b - a), a + i, a + len(w) - n + (k - i))
             out |= dict.fromkeys(f"{n}.{k}.{i}.{w[p : p + b - a]}" for p in range(lo, hi + 1))
-    return list(out)
+    return tuple(out)
 
 
 def keys_of(words: list[str], caps: bool, nick: dict[str, list[str]]) -> tuple[list[str], list[str]]:

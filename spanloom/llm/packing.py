@@ -126,7 +126,8 @@ def pack(docs: DataFrame, boxes: DataFrame, slack: float = SLACK, task_items: in
 def _follow(items: DataFrame, gone: DataFrame) -> DataFrame:
     """Items with the container that theirs went into, if it went on."""
     on = gone.select("box", "capacity", F.col("item").alias("bin"), F.col("bin").alias("_to"))
-    return items.join(on, ["box", "capacity", "bin"], "left").withColumn("bin", F.coalesce("_to", "bin")).drop("_to")
+    # never broadcast: how many go on depends on the number of tasks
+    return items.join(on.hint("merge"), ["box", "capacity", "bin"], "left").withColumn("bin", F.coalesce("_to", "bin")).drop("_to")
 
 
 def fill(packed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import language, lines, mixing, names, packing, sentences, spans, tokens
+from spanloom.plans import frames as fr
 from spanloom.sources.tables import key_of, load
 
 
@@ -121,4 +122,23 @@ def p9_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p3_found": p3_found, "p3_runs": p3_runs, "p4_found": p4_found, "p4_languages": p4_languages, "p4_stretches": p4_stretches, "p4_segments": p4_segments, "p5_found": p5_found, "p5_names": p5_names, "p7_boxes": p7_boxes, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared, "p9_groups": p9_groups}
 
-ORACLES: dict[str, str] = {}
+#: Full-width signs and their usual ones, and Cyrillic letters as one byte each, for DuckDB counts edits in bytes.
+_WIDE, _USUAL = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_CYRILLIC, _BYTES = "".join(map(chr, range(0x430, 0x450))), "ABCDEFGHIJKLMNOPQRSTUVWXYZ[]^{|}"
+_LINES = f"""cu0 AS (SELECT {fr.sql_key('profile')} profile, id, start_ms, end_ms, regexp_extract_all(regexp_replace(replace(lower(strip_accents(translate(text, '{_WIDE}', '{_USUAL}'))), 'ß', 'ss'), '[''’‘ʼ`´]', '', 'g'), '[\\p{{L}}\\p{{N}}]+') w FROM cues WHERE {fr.sql_key('profile')} <> '' AND id IS NOT NULL AND start_ms IS NOT NULL AND text IS NOT NULL),
+ cu1 AS (SELECT DISTINCT profile, id, start_ms, end_ms, w FROM cu0 WHERE len(w) > 0), cu AS (SELECT *, row_number() OVER o i, lag(w) OVER o v FROM cu1 WINDOW o AS (PARTITION BY profile ORDER BY start_ms, end_ms NULLS FIRST, id)),
+ od AS (SELECT *, CASE WHEN len(v) = len(w) THEN [{{'a': w[j], 'b': v[j]}} for j in range(1, len(w) + 1) if w[j] <> v[j]] END d FROM cu),
+ sm AS (SELECT *, v IS NOT NULL AND (array_to_string(w, '') = array_to_string(v, '') OR coalesce(len(d) = 1 AND greatest(length(d[1].a), length(d[1].b)) >= 5 AND regexp_full_match(d[1].a, '[A-Za-zÀ-ɏḀ-ỿ]+|[Ѐ-ԯ]+') AND regexp_full_match(d[1].b, '[A-Za-zÀ-ɏḀ-ỿ]+|[Ѐ-ԯ]+') AND damerau_levenshtein(translate(d[1].a, '{_CYRILLIC}', '{_BYTES}'), translate(d[1].b, '{_CYRILLIC}', '{_BYTES}')) = 1, false)) s FROM od),
+ rn AS (SELECT *, sum(CASE WHEN s THEN 0 ELSE 1 END) OVER (PARTITION BY profile ORDER BY i ROWS UNBOUNDED PRECEDING) r FROM sm),
+ ru AS (SELECT profile, arg_min(id, i) first_id, arg_max(id, i) last_id, count(*) n, min(start_ms) start_ms, max(greatest(start_ms, coalesce(end_ms, start_ms))) end_ms FROM rn GROUP BY profile, r HAVING count(*) > 1)"""
+# windows of 200 code points, cut from pieces of 1,199 so that no long text is counted through for each of them
+_SPANS = """dt AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200 GROUP BY 1), pc AS (SELECT doc_id, unnest(range(0, length(text) - 199, 1000)) o, text, length(text) - 199 n FROM dt), pi AS (SELECT doc_id, o, n, substr(text, o + 1, 1199) s FROM pc),
+ wi AS (SELECT doc_id, o + i p, md5(substr(s, i + 1, 200)) h FROM (SELECT *, unnest(range(0, least(1000, n - o))) i FROM pi)), dh AS (SELECT DISTINCT h, doc_id FROM wi), sh AS (SELECT h FROM dh GROUP BY 1 HAVING count(*) > 1)"""
+
+ORACLES: dict[str, str] = {
+    "p3_runs": f"WITH {_LINES} SELECT *, end_ms - start_ms duration_ms FROM ru",
+    "p3_found": f"WITH {_LINES} SELECT profile, first_id, last_id FROM ru",
+    "p9_found": f"WITH {_SPANS}, k AS (SELECT dh.* FROM dh JOIN sh USING (h)) SELECT DISTINCT a.doc_id doc_a, b.doc_id doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p9_shared": f"""WITH {_SPANS}, q AS (SELECT DISTINCT doc_id, p FROM wi JOIN sh USING (h)), g AS (SELECT *, CASE WHEN p - lag(p) OVER o <= 200 THEN 0 ELSE 1 END x, CASE WHEN lag(p) OVER o IS NULL THEN 200 ELSE least(200, p - lag(p) OVER o) END more FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY p))
+ SELECT doc_id, sum(x)::BIGINT spans, sum(more)::BIGINT shared_chars, any_value(c) chars, sum(more) / any_value(c) AS share FROM g JOIN (SELECT doc_id, max(length(text)) c FROM documents GROUP BY 1) USING (doc_id) GROUP BY 1""",
+}
