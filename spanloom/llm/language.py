@@ -407,9 +407,24 @@ def stretches(found: DataFrame, cues: DataFrame, owner: Column, within_ms: int =
     return x.groupBy("owner", "lang", "part").agg(F.min_by("id", at).alias("first_id"), F.max_by("id", at).alias("last_id"), F.count(F.lit(1)).alias("lines"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.avg("confidence").alias("confidence")).drop("part")
 
 
+#: Evidence against its label from which a text's label counts as wrong.
+AGAINST = 1.0
+
+
 def mislabelled(df: DataFrame, label: Column) -> Column:
-    """Whether a row's label is missing or says another language than its column ``lang``."""
-    return F.coalesce(code_of(label) != F.col("lang"), F.lit(True))
+    """Whether a row's label is missing or says another language than its column ``lang``.
+
+    Where the rows have the chances of all languages, a label counts as wrong only on some evidence: a short text without a word
+    of its own, such as a name, may be in any language.
+    """
+    code = code_of(label)
+    other = code != F.col("lang")
+    if "chances" in df.columns:
+        at = F.array_position(F.array(*map(F.lit, LANGUAGES)), code).cast("int")
+        own = F.when(at > 0, F.element_at("chances", F.greatest(at, F.lit(1))))
+        evidence = F.log(F.col("confidence") / F.greatest(own, F.lit(1e-6))) * F.least(F.lit(1.0), F.col("letters") / FULL_LETTERS)
+        other = other & F.coalesce(evidence >= AGAINST, F.lit(True))
+    return F.coalesce(other, F.lit(True))
 
 
 def classified_cues(cues: DataFrame, owner: Column, net: Network) -> DataFrame:

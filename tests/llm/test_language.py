@@ -50,6 +50,10 @@ def test_tables(spark, net):
     df = language.languages(spark.createDataFrame(docs, "doc_id long, text string, label string"), net, ["doc_id", "label"])
     got = {r.doc_id: r.lang for r in df.where(language.mislabelled(df, F.col("label"))).collect()}
     assert got == {2: "de", 6: "yue", 7: "ru"}
+    # a few letters are no evidence against a label, but a missing or unknown one is wrong
+    few = [(i, "Ann", code) for i, code in enumerate(["en", "de", "ru", None, "xx"])]
+    df = language.languages(spark.createDataFrame(few, "doc_id long, text string, label string"), net, ["doc_id", "label"])
+    assert sorted(r.doc_id for r in df.where(language.mislabelled(df, F.col("label"))).collect()) == [3, 4]
     cues = [("p", f"{i}", sentence("en", rng, 6)) for i in range(20)] + [("p", "x", sentence("ru", rng, 8)), ("p", "y", "Да"), (None, "z", "no key"), ("p", None, "no id"), ("p", "e", "")]
     cues = [(k, i, n * 1000, None, t) for n, (k, i, t) in enumerate(cues)]
     cues += cues[-5:] + [("p", "late", 900_000, 900_100, "Да"), ("p", "none", None, None, "the night"), ("q", "1", 0, 5, "12")]
