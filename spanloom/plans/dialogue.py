@@ -340,10 +340,7 @@ _LOUD = f"{_LETTERS('Lu')} * 2 > {_LETTERS('L')}"
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in nouns.STOP)
 
 
-def _fold(x: str) -> str:
-    return f"replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
-
-
+_fold = fr.sql_fold
 _ASKED = "ak0 AS (SELECT DISTINCT seq, start_ms, end_ms, payload.cues cues FROM chunks WHERE len(payload.cues) > 0), ak AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY start_ms NULLS FIRST, end_ms NULLS FIRST, len(cues)) n FROM ak0)"
 _JT = fr.sql_clean("json_extract_string(o, '$.text')")
 
@@ -428,9 +425,7 @@ ORACLES = {
     # DuckDB's levenshtein counts bytes, so the rows of the table are made here, one per letter
     "fuzzy_names": f"""WITH {_G}, k AS (SELECT media, target, source, min(seq) ord, {_fold('any_value(source)')} f, {_fold('any_value(source)[1]')} h FROM gl GROUP BY 1, 2, 3),
  x AS (SELECT a.media, a.target, a.source AS name, b.source known, b.ord, string_split(a.f, '') p, string_split(b.f, '') q FROM k a JOIN k b ON a.media = b.media AND a.target = b.target AND length(a.source) >= 4 AND a.f[1] = b.h[1] AND b.ord < a.ord AND abs(length(a.f) - length(b.f)) <= 2),
- d AS (SELECT media, target, name, known, ord, list_reduce(list_prepend(range(0, len(q) + 1), [[i] for i in range(1, len(p) + 1)]),
-  lambda row, i: list_transform(range(0, len(q) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda m: j - m + CASE WHEN m = 0 THEN i[1] ELSE least(row[m + 1] + 1, row[m] + CASE WHEN p[i[1]] = q[m] THEN 0 ELSE 1 END) END)))) AS last FROM x),
- e AS (SELECT media, target, name, known, ord, last[len(last)] d FROM d)
+ e AS (SELECT media, target, name, known, ord, {fr.sql_edits('p', 'q')} d FROM x)
  SELECT media, target, name, arg_min(known, (d, ord)) known, CAST(min(d) AS INTEGER) d FROM e WHERE d <= CASE WHEN greatest(length(name), length(known)) <= 5 THEN 1 ELSE 2 END GROUP BY 1, 2, 3""",
     "safe_keys": f"WITH {_G} SELECT seq, regexp_replace(source, '{fr._BL}+', '_', 'g') AS key, regexp_replace({_fold('source')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') signs FROM gl",
     "script_check": f"""WITH {_G}, b AS (SELECT *, split_part(target, '-', 1) base FROM gl) SELECT media, target, bool_or(CASE base WHEN 'zh' THEN regexp_matches(rendering, '[\\x{{4e00}}-\\x{{9fff}}]') WHEN 'ja' THEN regexp_matches(rendering, '[\\x{{3041}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}]') WHEN 'ko' THEN regexp_matches(rendering, '[\\x{{ac00}}-\\x{{d7a3}}]')

@@ -233,7 +233,15 @@ _RUNS = f"""tx AS (SELECT profile, block, id, start_ms, end_ms, regexp_extract_a
  ins AS (SELECT DISTINCT profile, unnest(CASE WHEN first THEN ws[2:] ELSE ws END) w FROM ri),
  kept AS (SELECT ri.*, CASE WHEN first AND ins.w IS NULL THEN ws[2:] ELSE ws END k FROM ri LEFT JOIN ins ON ins.profile = ri.profile AND ins.w = ws[1])"""
 
+_VARIANTS = f"""kn AS (SELECT p.profile, source known, min(seq) ord FROM (SELECT DISTINCT profile, media FROM cu WHERE media <> '') p JOIN glossary g ON {fr.sql_key('g.media')} = p.media WHERE source <> '' AND rendering IS NOT NULL GROUP BY 1, 2),
+ ph AS (SELECT DISTINCT profile, k, array_to_string(k, ' ') phrase FROM kept WHERE len(k) > 0), cn AS (SELECT DISTINCT profile, unnest(list_append(k, phrase)) AS name FROM ph), {fr.sql_established('cn', 'kn', 'profile')},
+ pw AS (SELECT ph.profile, phrase, len(k) c, x.w AS name, es.match FROM ph, LATERAL (SELECT unnest(k) w) x LEFT JOIN es ON es.profile = ph.profile AND es.name = x.w), hi AS (SELECT profile, phrase, max(match IS NOT NULL AND c > 1) hit FROM pw GROUP BY 1, 2),
+ pa AS (SELECT pw.profile, name, match FROM pw JOIN hi ON hi.profile = pw.profile AND hi.phrase = pw.phrase WHERE hit), wh AS (SELECT hi.profile, phrase AS name, match FROM hi LEFT JOIN es ON es.profile = hi.profile AND es.name = phrase WHERE NOT hit),
+ cw AS (SELECT profile, unnest(regexp_extract_all(text, '{_WORD}')) w FROM bl WHERE profile IN (SELECT profile FROM lf)), co AS (SELECT profile, lower(w) h FROM cw GROUP BY 1, 2 HAVING count(*) FILTER (WHERE regexp_matches(w, '^\\p{{Ll}}')) >= greatest(1, count(*) FILTER (WHERE NOT regexp_matches(w, '^\\p{{Ll}}')))),
+ pe AS (SELECT * FROM pa WHERE match IS NULL UNION ALL SELECT * FROM wh WHERE match IS NULL OR match <> name)"""
+
 ORACLES = {
+    "film_variants": f"WITH {_BLOCKED}, {_LATIN_FILMS}, {_RUNS}, {_VARIANTS} SELECT profile, name, match FROM pa WHERE match <> name UNION SELECT profile, name, match FROM pe WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.profile = pe.profile AND co.h = lower(split_part(name, ' ', 1)))",
     "film_names": f"WITH {_BLOCKED}, {_LATIN_FILMS}, {_RUNS} SELECT DISTINCT profile, block, array_to_string(k, ' ') AS name FROM kept WHERE len(k) > 0",
     "export_states": f"""WITH {fr.CHUNKS}, {fr.DURATIONS}, {fr.islands('isl', 'ch')}, g AS (SELECT profile, count(*) n, min(start_ms) a, max(end_ms) b, list_sort(list([start_ms, end_ms])) r FROM isl GROUP BY 1),
  x AS (SELECT du.profile, duration_ms d, coalesce(n = 1 AND a = 0 AND b = duration_ms, false) complete, coalesce(replace(CAST(r AS VARCHAR), ' ', ''), '[]') r FROM du LEFT JOIN g USING (profile))

@@ -44,6 +44,24 @@ def sql_escaped(name: str) -> str:
     return f"regexp_replace({name}, '([\\\\.\\[\\]{{}}()*+?^$|])', '\\\\\\1', 'g')"
 
 
+def sql_fold(text: str) -> str:
+    return f"replace(replace(lower({text}), 'ß', 'ss'), 'ς', 'σ')"
+
+
+def sql_edits(a: str, b: str) -> str:
+    """Edits between two lists of letters, by the rows of the table: DuckDB's levenshtein counts bytes."""
+    rows = f"""list_reduce(list_prepend(range(0, len({b}) + 1), [[i] for i in range(1, len({a}) + 1)]),
+  lambda row, i: list_transform(range(0, len({b}) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda m: j - m + CASE WHEN m = 0 THEN i[1] ELSE least(row[m + 1] + 1, row[m] + CASE WHEN {a}[i[1]] = {b}[m] THEN 0 ELSE 1 END) END))))"""
+    return f"list_last({rows})"
+
+
+def sql_established(names: str, known: str, film: str) -> str:
+    """CTEs that give in ``es`` (film, name, match) the known spelling (film, known, ord) of each of ``names`` (film, name)."""
+    return f"""ea AS (SELECT n.*, k.known, k.ord, string_split({sql_fold('n.name')}, '') p, string_split({sql_fold('k.known')}, '') q FROM {names} n JOIN {known} k ON k.{film} = n.{film} WHERE k.known = n.name OR length(n.name) >= 4 AND {sql_fold('n.name')}[1] = {sql_fold('k.known[1]')}[1] AND abs(length({sql_fold('n.name')}) - length({sql_fold('k.known')})) <= 2),
+ eb AS (SELECT {film}, name, known, ord, CASE WHEN known = name THEN -1 ELSE {sql_edits('p', 'q')} END d FROM ea),
+ es AS (SELECT {film}, name, arg_min(known, (d, ord, known)) AS match FROM eb WHERE d <= CASE WHEN greatest(length(name), length(known)) <= 5 THEN 1 ELSE 2 END GROUP BY 1, 2)"""
+
+
 def sql_clean(text: str) -> str:
     return sql_strip(f"regexp_replace(regexp_replace({text}, '<[^>]*>|\\{{[^}}]*\\}}', '', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g')")
 

@@ -215,6 +215,17 @@ ORACLES = {
  o AS (SELECT media, source, sum(k) k FROM ht GROUP BY 1, 2),
  x AS (SELECT gl.*, CASE WHEN EXISTS (SELECT 1 FROM pi WHERE pi.media = gl.media AND pi.target = gl.target AND pi.source = gl.source) THEN 'pinned' WHEN EXISTS (SELECT 1 FROM k WHERE k.media = gl.media AND k.h = lower(regexp_split_to_array({fr.sql_strip('gl.source')}, '\\s+')[1])) THEN 'common' WHEN coalesce(o.k, 0) < 2 THEN 'once' END r FROM gl LEFT JOIN o ON o.media = gl.media AND o.source = gl.source),
  q AS (SELECT *, CASE WHEN r IS NULL THEN row_number() OVER (PARTITION BY media, target, rendering, r ORDER BY ord) END q FROM x) SELECT media, target, source, coalesce(r, CASE WHEN q = 1 THEN 'learned' ELSE 'owned' END) reason FROM q""",
+    "prompt_entries": f"""WITH {fr.CUES}, {_G}, {_PIN}, us AS (SELECT gl.*, row_number() OVER (PARTITION BY media, target ORDER BY source) o FROM gl WHERE EXISTS (SELECT 1 FROM pi WHERE pi.media = gl.media AND pi.target = gl.target AND pi.source = gl.source)),
+ en AS (SELECT (media, target) film, media, target, source, rendering, 0 tier, o FROM us UNION ALL SELECT (media, target), media, target, source, rendering, 2, -ord FROM gl WHERE (media, target, source) NOT IN (SELECT (media, target, source) FROM us)),
+ kn AS (SELECT film, source known, row_number() OVER (PARTITION BY film ORDER BY tier, o, source) ord FROM en),
+ wi AS (SELECT DISTINCT {fr.sql_key('media')} media, target, start_ms a, end_ms b FROM contexts WHERE {fr.sql_key('media')} <> '' AND target IS NOT NULL AND start_ms >= 0 AND start_ms < end_ms), dc AS (SELECT DISTINCT media, id, start_ms, text FROM cu WHERE media <> ''),
+ tb AS (SELECT wi.media, target, a, b, string_agg(text, ' ' ORDER BY start_ms, id, text) s FROM wi JOIN dc ON dc.media = wi.media AND start_ms >= a AND start_ms < b GROUP BY 1, 2, 3, 4), tx AS (SELECT (media, target) film, media, target, a, arg_max(s, b) AS text FROM tb GROUP BY media, target, a),
+ wd AS (SELECT DISTINCT film, a, regexp_replace(w, '[''’]s?$', '') AS name FROM (SELECT film, a, unnest(regexp_extract_all(text, '{_WD}')) w FROM tx)), nn AS (SELECT DISTINCT film, name FROM wd WHERE name <> ''), {fr.sql_established('nn', 'kn', 'film')},
+ re AS (SELECT wd.film, a, match source FROM wd JOIN es ON es.film = wd.film AND es.name = wd.name UNION SELECT en.film, a, source FROM tx JOIN en ON en.film = tx.film WHERE regexp_matches(source, '{fr.LETTER}') AND regexp_matches({fr.sql_twice('text')}, '(?i)(?:^|{fr.OTHER})' || {fr.sql_escaped(fr.sql_twice('source'))} || '(?:$|{fr.OTHER})')),
+ nw AS (SELECT *, row_number() OVER (PARTITION BY media, target ORDER BY ord DESC, source) r FROM gl),
+ al AS (SELECT re.film, re.a, re.source, rendering, 0 part, tier, o FROM re JOIN en ON en.film = re.film AND en.source = re.source UNION ALL SELECT tx.film, a, source, rendering, 1, 2, -ord FROM tx JOIN nw ON nw.media = tx.media AND nw.target = tx.target AND r <= 10),
+ un AS (SELECT *, row_number() OVER (PARTITION BY film, a, source ORDER BY part, tier, o) r FROM al), nt AS (SELECT *, row_number() OVER (PARTITION BY film, a ORDER BY part, tier, o, source) nth FROM un WHERE r = 1)
+ SELECT film[1] media, film[2] target, a window_ms, source, rendering, nth FROM nt WHERE nth <= 40""",
     "recogniser_hints": f"""WITH {_G}, {_PIN}, u AS (SELECT gl.media, gl.target, gl.source, 0 t, source o, 0 n FROM gl WHERE EXISTS (SELECT 1 FROM pi WHERE pi.media = gl.media AND pi.target = gl.target AND pi.source = gl.source)),
  l AS (SELECT media, target, source, 1 t, '' o, -ord n FROM gl WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.media = gl.media AND u.target = gl.target AND u.source = gl.source)), b AS (SELECT * FROM u UNION ALL SELECT * FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY media, target ORDER BY t, o, n, source) nth FROM b) SELECT media, target, source, nth FROM r WHERE nth <= 20""",
     "unique_profiles": f"SELECT {fr.sql_key('media')} media, target, min({fr.sql_key('profile')}) profile FROM profiles WHERE {fr.sql_key('media')} <> '' AND {fr.sql_key('profile')} <> '' AND target IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT {fr.sql_key('profile')}) = 1",
