@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import plain
 from spanloom.functions import text as tx
 from spanloom.operators import measures
+from spanloom.session import materialize
 
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’\-])*")
 _FINAL = re.compile(r"['’]s?$")
@@ -145,7 +146,7 @@ def new_and_variants(found: DataFrame, texts: DataFrame, known: DataFrame, film:
     if exact is not None:
         pinned = candidates.join(exact.select("name").distinct(), "name", "left_semi").select(film, "name", F.col("name").alias("match"), F.lit(0).alias("d"))
         match = pinned.unionByName(match.join(pinned.select(film, "name"), [film, "name"], "left_anti"))
-    match = match.select(film, "name", "match")
+    match = materialize(match.select(film, "name", "match"), "matches")  # read three times
     words = x.distinct().withColumn("name", F.explode("words")).join(match, [film, "name"], "left")
     hit = words.groupBy(film, "phrase").agg(F.max(F.col("match").isNotNull() & (F.size("words") > 1)).alias("hit"))
     parts = words.join(hit.where("hit"), [film, "phrase"], "left_semi").select(film, "name", "match")

@@ -141,7 +141,8 @@ def film_names(spark: SparkSession, folder: str) -> DataFrame:
 def film_variants(spark: SparkSession, folder: str) -> DataFrame:
     """New names of every film in a language of Latin script, and misspellings of its glossary's with the name meant."""
     texts = _latin_texts(spark, folder)
-    found = nouns.settled(materialize(nouns.film_runs(texts, ["profile", "block"]), "runs"), "profile")
+    texts = materialize(texts, "texts")
+    found = materialize(nouns.settled(materialize(nouns.film_runs(texts, ["profile", "block"]), "runs"), "profile"), "settled")
     films = fr.cues(spark, folder).where("media is not null").select("profile", "media").distinct()
     learned = load(spark, folder, "glossary").select(key_of("media").alias("media"), F.col("source").alias("known"), "seq").where("media is not null and source is not null and rendering is not null and source <> ''")
     known = films.join(learned, "media").groupBy("profile", "known").agg(F.min("seq").alias("ord"))
