@@ -20,9 +20,6 @@ LEASE_MS = 45_000
 #: The end of a coverage step is published as a new revision; so many are kept for late acknowledgements.
 KEPT_REVISIONS = 8
 
-#: State of a session that gets no row for so long, by the clock, is dropped; its lease, by the log, ended long before.
-FORGET_MS = 7 * 86_400_000
-
 LOG = "session_id string, epoch long, seq long, position_ms long, revision long, now_ms long"
 _OUT = "session_id string, epoch long, seq long, now_ms long, verdict string, revision long"
 _LOG_INTS = ["epoch", "seq", "position_ms", "revision", "now_ms"]
@@ -57,7 +54,7 @@ class SessionFence(StatefulProcessor):
     """One state row per session; a batch's rows are taken by time, epoch and sequence."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", _STATE, FORGET_MS)
+        self.state = handle.getValueState("session", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
         # a session's rows of one batch are put in order; their number is bounded by the trigger, not by the session
@@ -78,9 +75,10 @@ class SessionFence(StatefulProcessor):
 def fence(log: DataFrame) -> DataFrame:
     """A streaming log with the columns of ``LOG`` to verdicts. Needs the RocksDB state store.
 
-    Decisions take their time from the log; only the cleaning of forgotten state goes by the clock.
+    Decisions take their time from the log, never from the clock. With a time to live by the clock a run over what is
+    there would not end, so a session's state, one row, stays.
     """
-    return log.groupBy("session_id").transformWithStateInPandas(statefulProcessor=SessionFence(), outputStructType=_OUT, outputMode="Append", timeMode="ProcessingTime")
+    return log.groupBy("session_id").transformWithStateInPandas(statefulProcessor=SessionFence(), outputStructType=_OUT, outputMode="Append", timeMode="None")
 
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
