@@ -251,7 +251,8 @@ def fitted(docs: DataFrame, lines: DataFrame | None = None, labels: DataFrame |
     n = F.length("text")
     part = lambda i: F.substring(F.col("text"), (F.floor((n - TRAIN_CHARS) * i / (TRAIN_PARTS - 1)) + 1).cast("int"), F.lit(TRAIN_CHARS))
     sample = F.when(n <= TRAIN_PARTS * TRAIN_CHARS, F.col("text")).otherwise(F.concat_ws("\n", *[part(i) for i in range(TRAIN_PARTS)]))
-    rows = docs.select("doc_id", sample.alias("text")).join(ids, "doc_id").groupBy("doc_id", "code").agg(F.min("text").alias("text")).select("text", "code").collect()
+    # at most per_language ids of each language: few enough to go to every task, so that no text is moved for them
+    rows = docs.select("doc_id", sample.alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "code").agg(F.min("text").alias("text")).select("text", "code").collect()
     sample = sorted((r.text, r.code) for r in rows), _lines(lines, labels) if lines is not None and labels is not None else []
     name = hashlib.sha256(repr(sample).encode("utf-8", "replace")).hexdigest()
     if name not in _DONE:
@@ -266,9 +267,10 @@ def _lines(lines: DataFrame, labels: DataFrame) -> list[tuple[str, str, str]]:
     n = labels.select("owner", code_of(F.col("lang")).alias("code")).where(F.col("code").isin(*LANGUAGES) & F.col("owner").isNotNull()).groupBy("owner", "code").agg(F.count(F.lit(1)).alias("n"))
     owners = n.groupBy("owner").agg(F.max_by("code", F.struct("n", "code")).alias("code"))
     w = Window.partitionBy("code").orderBy(F.xxhash64("owner"), "owner")
+    # TRAIN_OWNERS of each language at most, so they go to every task
     owners = owners.withColumn("r", F.row_number().over(w)).where(F.col("r") <= TRAIN_OWNERS).drop("r")
     v = Window.partitionBy("owner").orderBy(F.xxhash64("id"), "id", "text")
-    x = lines.select("owner", "id", "text").where("id is not null and text is not null").join(owners, "owner").withColumn("r", F.row_number().over(v)).where(F.col("r") <= TRAIN_LINES)
+    x = lines.select("owner", "id", "text").where("id is not null and text is not null").join(F.broadcast(owners), "owner").withColumn("r", F.row_number().over(v)).where(F.col("r") <= TRAIN_LINES)
     return sorted((r.owner, r.text, r.code) for r in x.collect())
 
 
