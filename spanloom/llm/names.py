@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.session import materialize
+from spanloom.session import materialize, unsent
 
 # Words that say nothing about whom a name means, and kinds of organisations with their short forms.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor capt captain sgt sergeant lt col gen maj sir lady lord rev fr sr jr m mme mlle hr herr frau don dona the".split())
@@ -323,11 +323,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = materialize(nodes.select("node", F.col("node").alias("comp")), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("least"))
-        step = label.join(near, label["node"] == near["a"], "left").select("node", F.least("comp", F.coalesce("least", "comp")).alias("next"), "comp")
+        near = both.join(unsent(label.withColumnRenamed("node", "b")), "b").groupBy("a").agg(F.min("comp").alias("least"))
+        step = label.join(unsent(near), label["node"] == near["a"], "left").select("node", F.least("comp", F.coalesce("least", "comp")).alias("next"), "comp")
         # a label's own label is as good: halves the rounds
         jump = label.select(F.col("node").alias("next"), F.col("comp").alias("over"))
-        step = materialize(step.join(jump, "next").select("node", F.least("next", "over").alias("comp"), F.col("comp").alias("was")), "labels")
+        step = materialize(step.join(unsent(jump), "next").select("node", F.least("next", "over").alias("comp"), F.col("comp").alias("was")), "labels")
         if not step.where("comp <> was").limit(1).count():
             return step.select("node", "comp")
         label = step.select("node", "comp")
@@ -362,26 +362,26 @@ def same_names(glossary: DataFrame, media: Column, contexts: DataFrame, context_
     # a key of film, target and segment is a number: few bytes are moved for each
     keys = read.select("m", "target", "node", "words", "caps").mapInArrow(_keys(nick), "m string, target string, node long, ix array<string>, px array<string>")
     keyed = lambda c: keys.select("node", F.explode(c).alias("k"), "m", "target").select(F.xxhash64("m", "target", "k").alias("key"), "node")
-    pairs = keyed("ix").withColumnRenamed("node", "a").join(keyed("px").withColumnRenamed("node", "b"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("told"))
+    pairs = keyed("ix").withColumnRenamed("node", "a").join(unsent(keyed("px").withColumnRenamed("node", "b")), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("told"))
     said = contexts.select(context_media.alias("m"), "target", F.explode("variants").alias("x", "y")).where("m is not null and x is not null and y is not null").distinct()
     fold_case = lambda c: F.lower(F.trim(c))
     named = read.select("m", "target", fold_case("source").alias("s"), "node")
-    told = said.withColumn("s", fold_case("x")).join(named.withColumnRenamed("node", "p"), ["m", "target", "s"]).drop("s").withColumn("s", fold_case("y")).join(named.withColumnRenamed("node", "q"), ["m", "target", "s"])
+    told = said.withColumn("s", fold_case("x")).join(unsent(named.withColumnRenamed("node", "p")), ["m", "target", "s"]).drop("s").withColumn("s", fold_case("y")).join(unsent(named.withColumnRenamed("node", "q")), ["m", "target", "s"])
     told = told.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.lit(True).alias("told"))
     pairs = pairs.unionByName(told).groupBy("a", "b").agg(F.max("told").alias("told"))
     side = lambda p: read.select(F.col("node").alias(p), F.struct("m", "target").alias(p + "m"), F.col("words").alias(p + "w"), F.col("caps").alias(p + "c"), F.col("rendering").alias(p + "r"))
-    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where("am = bm").drop("am", "bm").mapInPandas(_verify(nick), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("kind", T.LongType())])), "kinds")
+    links = materialize(pairs.join(unsent(side("a")), "a").join(unsent(side("b")), "b").where("am = bm").drop("am", "bm").mapInPandas(_verify(nick), T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("kind", T.LongType())])), "kinds")
     comp = components(read, links.where("kind = 2"))
     # weak links between components: one joins another if it leans on that one only, and is vague throughout
     vague = read.select("node", ((F.size("words") == 1) | F.exists("words", lambda w: F.length(F.rtrim(w, F.lit("."))) == 1) | F.exists("words", lambda w: F.endswith(w, F.lit(".")))).alias("vague"))
-    c = comp.join(vague, "node")
+    c = comp.join(unsent(vague), "node")
     whole = c.groupBy("comp").agg(F.min("vague").alias("vague"))
-    w = links.where("kind = 1").select("a", "b").join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("ca", "cb").distinct()
+    w = links.where("kind = 1").select("a", "b").join(unsent(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))), "a").join(unsent(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))), "b").where("ca <> cb").select("ca", "cb").distinct()
     w = w.unionByName(w.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct()
-    w = w.join(whole.select(F.col("comp").alias("ca"), F.col("vague").alias("va")), "ca").join(whole.select(F.col("comp").alias("cb"), F.col("vague").alias("vb")), "cb").where("va and not vb")
+    w = w.join(unsent(whole.select(F.col("comp").alias("ca"), F.col("vague").alias("va"))), "ca").join(unsent(whole.select(F.col("comp").alias("cb"), F.col("vague").alias("vb"))), "cb").where("va and not vb")
     only = w.groupBy("ca").agg(F.min("cb").alias("to"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    final = comp.join(only.select(F.col("ca").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return rows.join(nodes.withColumnRenamed("source", "s2").withColumnRenamed("rendering", "r2").withColumnRenamed("m", "m2").withColumnRenamed("target", "t2"), (F.col("m") == F.col("m2")) & (F.col("target") == F.col("t2")) & (F.col("source") == F.col("s2")) & F.col("rendering").eqNullSafe(F.col("r2"))).select("seq", "node").join(final, "node").select("seq", "comp")
+    final = comp.join(unsent(only.select(F.col("ca").alias("comp"), "to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return rows.join(unsent(nodes.withColumnRenamed("source", "s2").withColumnRenamed("rendering", "r2").withColumnRenamed("m", "m2").withColumnRenamed("target", "t2")), (F.col("m") == F.col("m2")) & (F.col("target") == F.col("t2")) & (F.col("source") == F.col("s2")) & F.col("rendering").eqNullSafe(F.col("r2"))).select("seq", "node").join(unsent(final), "node").select("seq", "comp")
 
 
 def pairs_of(groups: DataFrame) -> DataFrame:

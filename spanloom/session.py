@@ -86,6 +86,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast, so never whole in the driver's memory: the join is by sorting.
+
+    For sides that grow with the input. Spark takes a table of :func:`materialize` for as large as its compressed file, and
+    exploded rows for as few as those before, so it would broadcast sides a hundred times its threshold.
+    """
+    return df.hint("merge")
+
+
 def forget(spark: SparkSession) -> int:
     """Delete the tables written so far, when no frame made from them will be read again; how many there were."""
     n = 0

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import names
+from spanloom.session import materialize
 
 G = "seq long, media string, target string, source string, rendering string, m string"
 
@@ -85,3 +86,16 @@ def test_links(spark):
 def test_near_names_with_other_renderings(spark):
     rows = [("F", "Henry Diazey", "ヘン・コンオ"), ("F", "Henry Diazzey", "ヘン・エモキサ"), ("F", "Henry Diazeyy", "ヘン・コンオ")]
     assert groups(spark, rows) == [[0, 2], [1]]
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(names, "materialize", lambda df, name: [plans.append(df._jdf.queryExecution().executedPlan().toString()), materialize(df, name)][1])
+    rows = [("F", "Robert Harlow", "ロバ・ハロ"), ("F", "Rob Harlow", "ロバ・ハロ"), ("F", "Harlow", None), ("F", "Penrose", "ペン"), ("F", "Pemrose", "ペン")]
+    assert groups(spark, rows, {"harlow": "Penrose"}) == [[0, 1, 2], [3, 4]]
+    context = spark.createDataFrame([("F", "ja", {"harlow": "Penrose"})], "media string, target string, variants map<string,string>")
+    nick = spark.createDataFrame([("Bob", "Robert")], "nick string, formal string")
+    df = spark.createDataFrame([(i, m, "ja", s, r, "") for i, (m, s, r) in enumerate(rows)], G)
+    plans.append(names.same_names(df, F.lower("media"), context, F.lower("media"), nick)._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) > 12
+    assert not [p for p in plans if "Broadcast" in p]
