@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import folds, models, nouns
 from spanloom.plans import frames as fr
-from spanloom.session import materialize
+from spanloom.session import materialize, unsent
 from spanloom.sources import captions
 from spanloom.sources.tables import key_of, load
 from spanloom.streaming import sessions
@@ -121,12 +121,12 @@ def _latin_films(spark: SparkSession, folder: str, x: DataFrame) -> DataFrame:
     c = c.where(~F.col("code").isin("", "und", "auto")).groupBy("profile").agg((F.count_if(F.col("code").isin(_LATIN)) * 2 > F.count(F.lit(1))).alias("said"))
     n = lambda letters: F.sum(F.length(F.regexp_replace("text", f"[^{letters}]", "")))
     t = x.groupBy("profile").agg((n("\\p{IsLatin}") * 2 > n("\\p{L}")).alias("shown"))
-    return t.join(c, "profile", "left").where(F.col("shown") | F.coalesce("said", F.lit(False))).select("profile")
+    return t.join(unsent(c), "profile", "left").where(F.col("shown") | F.coalesce("said", F.lit(False))).select("profile")
 
 
 def _latin_texts(spark: SparkSession, folder: str) -> DataFrame:
     x = _blocks(spark, folder).select("profile", "block", "text")
-    return x.join(_latin_films(spark, folder, x), "profile", "left_semi")
+    return x.join(unsent(_latin_films(spark, folder, x)), "profile", "left_semi")
 
 
 def film_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,7 +145,7 @@ def film_variants(spark: SparkSession, folder: str) -> DataFrame:
     found = materialize(nouns.settled(materialize(nouns.film_runs(texts, ["profile", "block"]), "runs"), "profile"), "settled")
     films = fr.cues(spark, folder).where("media is not null").select("profile", "media").distinct()
     learned = load(spark, folder, "glossary").select(key_of("media").alias("media"), F.col("source").alias("known"), "seq").where("media is not null and source is not null and rendering is not null and source <> ''")
-    known = films.join(learned, "media").groupBy("profile", "known").agg(F.min("seq").alias("ord"))
+    known = films.join(unsent(learned), "media").groupBy("profile", "known").agg(F.min("seq").alias("ord"))
     return nouns.new_and_variants(found, texts, known, "profile")
 
 

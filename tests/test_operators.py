@@ -267,6 +267,19 @@ def test_film_wide_names(spark):
     assert got == want and ("a", "Hanson", "Hansen") in got and ("b", "Hanson", None) in got
 
 
+def test_nothing_of_a_film_is_broadcast(spark, data, monkeypatch):
+    from spanloom.plans import folded
+
+    plans, write = [], folded.materialize
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (folded, nouns):
+        monkeypatch.setattr(module, "materialize", lambda df, name: [note(df), write(df, name)][1])
+    df = folded.film_variants(spark, data)
+    note(df)
+    assert df.count() > 0 and sum(p.count("SortMergeJoin") for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_fold_keeps_groups(spark):
     df = spark.createDataFrame([(k, i, f"{k}{i}") for k in "abc" for i in range(5)], "k string, i long, t string")
     got = folds.fold(df, ["k"], ["i"], lambda rs: [{"n": len(rs), "t": "".join(r["t"] for r in rs)}], "k string, n long, t string")
